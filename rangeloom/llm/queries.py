@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .debruijn import repeated_passages
 from .minhash import near_duplicates
 
 
@@ -15,5 +16,9 @@ def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {"op8_setsketch_near_dedup": op8_setsketch_near_dedup}
+def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"), k=13)
+
+
+QUERIES = {"op10_debruijn_substrings": op10_debruijn_substrings, "op8_setsketch_near_dedup": op8_setsketch_near_dedup}
 ORACLES: dict[str, str] = {}
