@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .debruijn import repeated_passages
+from .html_tree import extract_main_text
 from .minhash import near_duplicates
+from .packing import pack
+from .quality import quality_rules
+from .toxicity import classify
+
+#: The chain of the toxicity query: text that labellers call poor comes first, its probability feeds the toxic model.
+TOXIC_CHAIN = {"poor": "quality = 0", "toxic": "toxic = 1"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TOXIC_CHAIN)
+
+
+def op2_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.drop("score", "threshold")
+
+
 def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -20,5 +52,7 @@ def op10_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"), k=13)
 
 
-QUERIES = {"op10_debruijn_substrings": op10_debruijn_substrings, "op8_setsketch_near_dedup": op8_setsketch_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_toxicity_chain, op2_html_tree_model, op3_dynamic_packing, op4_quality_ratio, op8_setsketch_near_dedup, op10_debruijn_substrings)
+}
 ORACLES: dict[str, str] = {}

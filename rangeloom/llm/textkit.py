@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators where punctuation doesn't belong to words: ASCII but for letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 U = np.uint64
 
@@ -70,7 +72,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 class Texts:
     """The texts of one batch, as bytes and word arrays. ``w0[i]:w0[i+1]`` are the words of text ``i``."""
 
-    def __init__(self, column: pa.Array, *, lower: bool = False, hashes: bool = True):
+    def __init__(self, column: pa.Array, *, lower: bool = False, hashes: bool = True, separators: np.ndarray = SPACE):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
         if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
@@ -85,7 +87,7 @@ class Texts:
         self.buf = raw[at[0] : at[-1]]
         self.at = at - at[0]
         self.lower = lower
-        word = ~SPACE[self.buf]
+        word = ~separators[self.buf]
         size = len(self.buf)
         edge = np.zeros(size + 1, dtype=bool)
         edge[self.at] = True
