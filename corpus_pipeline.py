@@ -1,22 +1,65 @@
-"""The corpus pipeline: STAGES applied in order to the documents table."""
+"""The corpus pipeline: STAGES applied in order to the documents table, each stage's rows written and read again."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeloom.llm.debruijn import repeated_passages
 from rangeloom.llm.minhash import near_duplicates
+from rangeloom.llm.mixing import mix_sources
+from rangeloom.llm.packing import pack
+from rangeloom.llm.quality import quality_rules
+from rangeloom.llm.queries import tokenizer_path
+from rangeloom.llm.store import ensure_checkpoint_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go. Rows that repeat an id go together only if all of them are rejected."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = quality_rules(docs, labels).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five words, 0.8)."""
-    kept = near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """One document of each near-duplicate group stays: that of the smallest id."""
+    gone = near_duplicates(docs, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 13-word passages go from all documents but the first; a document of which no word is left goes too."""
+    cut = repeated_passages(docs.filter("doc_id is not null"), k=13, full=True).filter("n_removed > 0").select("doc_id", F.col("text").alias("left_text"), (F.col("n_words") > F.col("n_removed")).alias("stays")).dropDuplicates(["doc_id"])
+    out = docs.join(cut, "doc_id", "left").filter(F.coalesce("stays", F.lit(True)))
+    text = F.coalesce("left_text", "text")
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.char_length("left_text").cast("long")).alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated to their target weights and shuffled globally."""
+    return mix_sources(docs).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, in the shuffled order."""
+    return pack(docs, tokenizer_path())
+
 
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
 
-STAGES = [("near_dedup", near_dedup)]
+#: The likelihood ratio, the component search and the tokenizer can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents table; what passes between stages is Parquet in the checkpoint folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
