@@ -1,14 +1,701 @@
-"""Every query of the range ledger with its SQL twin."""
+"""Every query of the range ledger with its SQL twin.
+
+Inputs follow from the driver's tables: ``events`` is a log of range transitions (a user's id is the partition id, the event type the
+status it brings), ``orders``, ``lineitem`` and ``labels`` are id spaces, the latter two with holes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, scalars
+from ..operators import archive, assign, breaker, gaps, metrics, planner, process, transitions
+from ..operators import ledger as led
+from ..operators.neighbours import bounds_of, ordinal
+from ..sources.tables import keys_like, ledger_from_json, queue_head, read, to_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+HOUR, DAY = 3600, 86400
+#: Ranges of the lineitem key space have this width in the examples, so that holes of a few keys matter.
+TILE = 10
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- shared inputs, in both languages
+
+
+def now():
+    """The time that all queries take as the present."""
+    return F.expr("timestamp_ntz'2024-01-31 00:00:00'")
+
+
+STATUS_OF = {"signup": "pending", "view": "claimed", "click": "running", "purchase": "completed", "error": "failed"}
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger that the event log leaves: one aggregation per partition id."""
+    events = read(spark, sf_dir, "events")
+    status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])
+    last = F.max_by(F.struct("event_id", "ts", "event_type"), F.struct("ts", "event_id")).alias("l")
+    rows = events.groupBy(F.col("user_id").alias("partition_id")).agg(
+        last, F.count(F.lit(1)).alias("version"), F.min("ts").alias("created_at"), F.max(F.when(F.col("event_type").isin("view", "click"), F.col("ts"))).alias("last_heartbeat")
+    )
+    worker = F.when(F.col("status") == "pending", "").otherwise(F.concat(F.lit("worker-"), (F.col("l.event_id") % 7).cast("string")))
+    rows = rows.withColumn("status", status[F.col("l.event_type")])
+    return rows.select(
+        "partition_id", (F.col("partition_id") * 100 + 1).alias("min_id"), ((F.col("partition_id") + 1) * 100).alias("max_id"), worker.alias("worker_id"), "last_heartbeat", "status",
+        F.col("l.ts").alias("updated_at"), "version", F.when(F.col("status") == "failed", F.concat(F.lit("event "), F.col("l.event_id").cast("string"))).alias("error"), "created_at",
+    )
+
+
+LEDGER = """WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS version,
+    min(ts) OVER (PARTITION BY user_id) AS created_at, max(CASE WHEN event_type IN ('view', 'click') THEN ts END) OVER (PARTITION BY user_id) AS last_heartbeat FROM events),
+named AS (SELECT *, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status FROM last WHERE rn = 1),
+ledger AS (SELECT user_id AS partition_id, user_id * 100 + 1 AS min_id, (user_id + 1) * 100 AS max_id, CASE WHEN status = 'pending' THEN '' ELSE 'worker-' || (event_id % 7) END AS worker_id,
+    last_heartbeat, status, ts AS updated_at, version, CASE WHEN status = 'failed' THEN 'event ' || event_id END AS error, created_at FROM named)
+"""
+NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def islands_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.islands(read(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+ISLANDS = """WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), grouped AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM ids),
+islands AS (SELECT min(id) AS min_id, max(id) AS max_id, count(*) AS n_ids FROM grouped GROUP BY g)
+"""
+RANGES = ISLANDS + ", ranges AS (SELECT row_number() OVER (ORDER BY min_id) AS partition_id, min_id, max_id FROM islands)\n"
+
+
+def numbered_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = bounds_of(read(spark, sf_dir, "lineitem"), "l_orderkey")
+    return ordinal(islands_of_lineitem(spark, sf_dir).select("min_id", "max_id"), "min_id", "partition_id", bounds=bounds)
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that nest and overlap: one per order that is a multiple of 50, of a width its customer gives."""
+    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+    return orders.select(F.col("o_orderkey").alias("partition_id"), F.col("o_orderkey").alias("min_id"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 190).alias("max_id"))
+
+
+OVERLAPPING = "WITH ranges AS (SELECT o_orderkey AS partition_id, o_orderkey AS min_id, o_orderkey + 1 + o_custkey % 190 AS max_id FROM orders WHERE o_orderkey % 50 = 0)\n"
+
+
+def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).filter("worker_id <> ''").select("worker_id").distinct()
+
+
+H32 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+RING = LEDGER + f""", workers AS (SELECT DISTINCT worker_id FROM ledger WHERE worker_id <> ''),
+points AS (SELECT w.worker_id, unnest([w.worker_id || ':' || i, i || ':' || w.worker_id]) AS key FROM workers w, range(50) r(i)),
+ring AS (SELECT {H32.format("key")} AS h, max(worker_id) AS worker_id FROM points GROUP BY 1),
+assigned AS (SELECT partition_id, arg_min(ring.worker_id, CASE WHEN h >= {H32.format("partition_id::VARCHAR")} THEN h ELSE h + 4294967296 END) AS worker_id FROM ledger, ring GROUP BY partition_id)
+"""
+
+
+def breaker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as attempts, purchases as successes and errors as failures of workers 0 to 6."""
+    kind = F.create_map(*[F.lit(x) for x in ("view", "attempt", "purchase", "success", "error", "failure")])[F.col("event_type")]
+    rows = read(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "purchase", "error"))
+    return rows.select(F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")).alias("worker_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.col("user_id").alias("partition_id"))
+
+
+BREAKER = "WITH ev AS (SELECT 'worker-' || (event_id % 7) AS worker_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'attempt' WHEN 'purchase' THEN 'success' ELSE 'failure' END AS kind, user_id AS partition_id FROM events WHERE event_type IN ('view', 'purchase', 'error'))\n"
+
+
+# --- scans, filters, point lookups
+
+
+@query(LEDGER + "SELECT * FROM ledger")
+def ledger_latest(spark, sf_dir):
+    return ledger(spark, sf_dir)
+
+
+def _filtered(spark, sf_dir, **options):
+    active, done = archive.tiers(ledger(spark, sf_dir))
+    return led.query(active, led.Filters(**options), now(), done).select("partition_id", "status", "worker_id", "updated_at")
+
+
+_SHOWN = "SELECT partition_id, status, worker_id, updated_at FROM ledger WHERE status <> 'completed' AND "
+
+
+@query(LEDGER + _SHOWN + "status IN ('pending', 'running')")
+def ledger_filter_status(spark, sf_dir):
+    return _filtered(spark, sf_dir, statuses=("pending", "running"))
+
+
+@query(LEDGER + _SHOWN + f"updated_at < {NOW_SQL} - INTERVAL 36 HOUR")
+def ledger_filter_stale(spark, sf_dir):
+    return _filtered(spark, sf_dir, stale_seconds=36 * HOUR)
+
+
+@query(LEDGER + _SHOWN + f"updated_at < {NOW_SQL} - INTERVAL 36 HOUR AND worker_id <> 'worker-3'")
+def ledger_filter_stale_excl(spark, sf_dir):
+    return _filtered(spark, sf_dir, stale_seconds=36 * HOUR, exclude_worker="worker-3")
+
+
+@query(LEDGER + _SHOWN + "partition_id BETWEEN 10 AND 120 AND partition_id NOT IN (11, 12, 40)")
+def ledger_filter_range_notin(spark, sf_dir):
+    return _filtered(spark, sf_dir, min_id=10, max_id=120, exclude_ids=(11, 12, 40))
+
+
+@query(LEDGER + _SHOWN + "false")
+def ledger_filter_stale_zero_hash(spark, sf_dir):
+    return _filtered(spark, sf_dir, stale_seconds=0, mode="hash")
+
+
+@query(LEDGER + _SHOWN + "true")
+def ledger_filter_stale_zero_simple(spark, sf_dir):
+    return _filtered(spark, sf_dir, stale_seconds=0, mode="simple")
+
+
+@query(LEDGER + _SHOWN + "status IN ('running', 'failed') ORDER BY partition_id LIMIT 10")
+def ledger_filter_limit(spark, sf_dir):
+    """The limit is the feature: the rows of smallest partition id."""
+    return _filtered(spark, sf_dir, statuses=("running", "failed"), limit=10)
+
+
+@query(LEDGER + "SELECT partition_id, status, worker_id, updated_at FROM ledger WHERE status IN ('completed', 'failed')")
+def ledger_filter_with_archive(spark, sf_dir):
+    return _filtered(spark, sf_dir, statuses=("completed", "failed"), include_archived=True)
+
+
+@query(LEDGER + "SELECT partition_id, status, worker_id FROM ledger WHERE status = 'pending' AND worker_id = ''")
+def pending_unowned(spark, sf_dir):
+    return ledger(spark, sf_dir).filter("status = 'pending' and worker_id = ''").select("partition_id", "status", "worker_id")
+
+
+@query(LEDGER + "SELECT partition_id, status, CASE WHEN status = 'completed' THEN 'archived' ELSE 'active' END AS tier FROM ledger")
+def ledger_all_tiers(spark, sf_dir):
+    active, done = archive.tiers(ledger(spark, sf_dir))
+    return active.withColumn("tier", F.lit("active")).unionByName(done.withColumn("tier", F.lit("archived"))).select("partition_id", "status", "tier")
+
+
+@query(LEDGER + "SELECT partition_id, status, version, CASE WHEN status = 'completed' THEN 1 ELSE 0 END AS tier FROM ledger WHERE partition_id IN (1, 7, 20, 33, 90, 149)")
+def ledger_point_lookup(spark, sf_dir):
+    active, done = archive.tiers(ledger(spark, sf_dir))
+    return led.lookup([active, done], [1, 7, 20, 33, 90, 149, -5]).select("partition_id", "status", "version", "tier")
+
+
+@query(LEDGER + "SELECT partition_id, min_id, max_id, worker_id, status, version FROM ledger")
+def ledger_json_scan(spark, sf_dir):
+    """Rows as JSON documents and back, with broken ones among them left out."""
+    lines = to_json(ledger(spark, sf_dir))
+    broken = lines.limit(3).select(F.lit("{not json").alias("value"))
+    return ledger_from_json(lines.unionByName(broken)).select("partition_id", "min_id", "max_id", "worker_id", "status", "version")
+
+
+@query(LEDGER + "SELECT substr(worker_id, 8) AS key, count(*) AS n FROM ledger WHERE worker_id LIKE 'worker-_' GROUP BY 1")
+def keys_by_glob(spark, sf_dir):
+    keys = ledger(spark, sf_dir).select(F.col("worker_id").alias("key"))
+    return keys_like(keys, "?", "worker-").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- statistics
+
+_STATS = """count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'claimed') AS claimed, count(*) FILTER (status = 'running') AS running,
+count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, coalesce(max(partition_id), 0) AS max_partition_id, coalesce(max(max_id), 0) AS last_allocated_id,
+CASE WHEN count(*) > 0 THEN count(*) FILTER (status = 'completed') / count(*) ELSE 0 END AS completion_rate, CASE WHEN count(*) > 0 THEN count(*) FILTER (status = 'failed') / count(*) ELSE 0 END AS failure_rate"""
+
+
+@query(LEDGER + f"SELECT {_STATS} FROM ledger")
+def ledger_stats(spark, sf_dir):
+    return led.stats(ledger(spark, sf_dir))
+
+
+@query(LEDGER + f"SELECT {_STATS} FROM ledger")
+def ledger_stats_rebuild(spark, sf_dir):
+    """From both tiers again."""
+    active, done = archive.tiers(ledger(spark, sf_dir))
+    return led.stats(active.unionByName(done))
+
+
+@query(LEDGER + f"SELECT {_STATS} FROM ledger WHERE partition_id < 0")
+def ledger_stats_empty(spark, sf_dir):
+    return led.stats(ledger(spark, sf_dir).filter("partition_id < 0"))
+
+
+@query("""WITH s AS (SELECT *, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events),
+t AS (SELECT status, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM s)
+SELECT status, cast(sum(d) AS BIGINT) AS n FROM (SELECT status, 1 AS d FROM t UNION ALL SELECT old, -1 FROM t WHERE old IS NOT NULL) GROUP BY status""")
+def ledger_stats_delta(spark, sf_dir):
+    """Counters kept by each transition's +1 and -1 end where the ledger's counts are."""
+    from pyspark.sql import Window
+
+    status = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])[F.col("event_type")]
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    moves = read(spark, sf_dir, "events").select(status.alias("new_status"), F.lag(status).over(by).alias("old_status"))
+    return led.stats_deltas(moves)
+
+
+@query(LEDGER + "SELECT min_id // 1000 AS bucket, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM ledger GROUP BY 1")
+def stats_by_range(spark, sf_dir):
+    return led.metadata_counts(ledger(spark, sf_dir), F.floor(F.col("min_id") / 1000), "bucket")
+
+
+@query(LEDGER + "SELECT worker_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM ledger GROUP BY 1")
+def stats_by_worker(spark, sf_dir):
+    return led.metadata_counts(ledger(spark, sf_dir), F.col("worker_id"), "worker_id")
+
+
+@query(LEDGER + "SELECT cast(date_trunc('hour', updated_at) AS TIMESTAMP) AS hour, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM ledger GROUP BY 1")
+def stats_by_hour(spark, sf_dir):
+    return led.metadata_counts(ledger(spark, sf_dir), F.date_trunc("hour", "updated_at").cast("timestamp_ntz"), "hour")
+
+
+# --- planning
+
+
+def _plan(spark, sf_dir, size, last=0):
+    top = read(spark, sf_dir, "orders").agg(F.max("o_orderkey").cast("long").alias("next_id"))
+    return planner.plan_ranges(top.select(F.lit(last).cast("long").alias("last_id"), "next_id", F.lit(0).cast("long").alias("max_partition_id")), size)
+
+
+def _plan_sql(size: int, last: int = 0) -> str:
+    return f"""WITH b AS (SELECT max(o_orderkey) AS nxt, greatest(1, (max(o_orderkey) - {last} + {size - 1}) // {size}) AS n FROM orders), i AS (SELECT nxt, n, unnest(range(0, n)) AS i FROM b)
+SELECT 1 + i AS partition_id, {last} + i * {size} + 1 AS min_id, CASE WHEN i = n - 1 THEN nxt ELSE {last} + (i + 1) * {size} END AS max_id FROM i"""
+
+
+@query(_plan_sql(3000))
+def plan_ranges_orders(spark, sf_dir):
+    return _plan(spark, sf_dir, 0)
+
+
+@query(_plan_sql(700, 123))
+def plan_ranges_remainder(spark, sf_dir):
+    return _plan(spark, sf_dir, 700, 123)
+
+
+@query("SELECT coalesce(max(id), 100) AS next_max_id FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey > 100 ORDER BY 1 LIMIT 500)")
+def planner_next_max_id(spark, sf_dir):
+    return planner.RangeSource(read(spark, sf_dir, "lineitem"), "l_orderkey").next_max_id(100, 500)
+
+
+@query("SELECT n, size, workers, multiple::BIGINT AS multiple, look::BIGINT AS look, effective::BIGINT AS effective FROM (VALUES (1, 1000, 2, 3, 9000, 1000), (2, 1000, 4, 3, 12000, 1000), (3, 0, 4, 3, 1000000, 3000), (4, 1000000000, 1000, 10000000000, 1000000, 1000000000), (5, 1000, 10, 5, 50000, 1000)) t(n, size, workers, multiple, look, effective)")
+def look_ahead_table(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 1000, 2, 3), (2, 1000, 4, 3), (3, 0, 4, 3), (4, 10**9, 1000, 10**10), (5, 1000, 10, 5)], "n int, size int, workers int, multiple long")
+    return rows.select("n", "size", "workers", "multiple", scalars.look_ahead(F.col("size"), F.col("workers"), F.col("multiple")).alias("look"), scalars.effective_size(F.col("size")).alias("effective"))
+
+
+@query(LEDGER + "SELECT count(*) FILTER (status IN ('pending', 'claimed')) AS waiting, count(*) FILTER (status IN ('pending', 'claimed')) < 1000 AS allocate FROM ledger")
+def backpressure_decision(spark, sf_dir):
+    return planner.may_allocate(led.stats(ledger(spark, sf_dir)))
+
+
+@query(f"""WITH t AS (SELECT unnest(range(0, (SELECT max(l_orderkey) FROM lineitem), {TILE})) AS a)
+SELECT a AS min_id, a + {TILE - 1} AS max_id FROM t WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey > a AND l_orderkey <= a + {TILE - 1})""")
+def range_has_data(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    top = lines.agg(F.max("l_orderkey").alias("top"))
+    tiles = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1, F.lit(TILE).cast("long"))).alias("min_id")).withColumn("max_id", F.col("min_id") + TILE - 1)
+    return gaps.has_data(tiles, lines, "l_orderkey", size=TILE)
+
+
+# --- gaps and islands
+
+
+@query("WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), n AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ids) SELECT id + 1 AS start_id, nxt - 1 AS end_id FROM n WHERE id + 1 < nxt")
+def gaps_lineitem(spark, sf_dir):
+    return gaps.id_gaps(read(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("WITH ids AS (SELECT DISTINCT doc_id AS id FROM labels), n AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ids) SELECT id + 1 AS start_id, nxt - 1 AS end_id FROM n WHERE id + 1 < nxt")
+def gaps_labels(spark, sf_dir):
+    return gaps.id_gaps(read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(ISLANDS + "SELECT * FROM islands")
+def islands_lineitem(spark, sf_dir):
+    return islands_of_lineitem(spark, sf_dir)
+
+
+@query(OVERLAPPING + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE max_id + 1 < nxt")
+def gaps_adjacent_overlap(spark, sf_dir):
+    return gaps.gaps_adjacent(overlapping(spark, sf_dir))
+
+
+@query(OVERLAPPING + "SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt")
+def gaps_covered_overlap(spark, sf_dir):
+    return gaps.gaps_covered(overlapping(spark, sf_dir))
+
+
+_FILL = """, cut AS (SELECT g.start_id, g.end_id FROM gaps g), tiles AS (SELECT a AS min_id, least(a + 39, end_id) AS max_id FROM (SELECT end_id, unnest(generate_series(start_id, end_id, 40)) AS a FROM cut)),
+kept AS (SELECT * FROM tiles t WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey > t.min_id AND l_orderkey <= t.max_id))
+SELECT 1000 + row_number() OVER (ORDER BY min_id) - 1 AS partition_id, min_id, max_id FROM kept"""
+
+
+@query(OVERLAPPING + ", gaps AS (SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt)" + _FILL)
+def gap_fill_plan(spark, sf_dir):
+    return gaps.split_gaps(gaps.gaps_covered(overlapping(spark, sf_dir)), read(spark, sf_dir, "lineitem"), "l_orderkey", size=40, next_id=1000)
+
+
+@query(RANGES + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt, lead(partition_id) OVER (ORDER BY min_id) AS np FROM ranges) WHERE max_id + 1 < nxt AND (partition_id > 200 OR np > 200)")
+def gaps_incremental(spark, sf_dir):
+    return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200)
+
+
+_PROBES = "probes AS (SELECT o_orderkey AS probe_id, o_orderkey AS self_id, o_orderkey AS min_id, o_orderkey + o_custkey % 70 AS max_id FROM orders WHERE o_orderkey % 25 = 7)"
+
+
+@query(OVERLAPPING + ", " + _PROBES + """, j AS (SELECT p.probe_id, p.min_id AS mn, p.max_id AS mx, r.* FROM probes p LEFT JOIN ranges r ON r.partition_id <> p.self_id)
+SELECT probe_id, CASE WHEN NOT bool_or(min_id <= mn AND max_id >= mn) THEN max(CASE WHEN max_id < mn THEN {'a': max_id, 'p': partition_id} END).p END AS prev_id,
+CASE WHEN NOT bool_or(min_id <= mx AND max_id >= mx) THEN min(CASE WHEN min_id > mx THEN {'a': min_id, 'p': partition_id} END).p END AS next_id FROM j GROUP BY probe_id""")
+def adjacent_ranges(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 25 = 7")
+    probes = orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_orderkey").alias("self_id"), F.col("o_orderkey").alias("min_id"), (F.col("o_orderkey") + F.col("o_custkey") % 70).alias("max_id"))
+    return gaps.adjacent_ranges(probes, overlapping(spark, sf_dir))
+
+
+@query(RANGES + """, n AS (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges), first_break AS (SELECT min(min_id) AS place FROM n WHERE nxt IS NOT NULL AND max_id + 1 < nxt)
+SELECT coalesce(max(max_id), 0) AS confirmed_max_id FROM ranges WHERE min_id < coalesce((SELECT place FROM first_break), (SELECT max(min_id) FROM ranges))""")
+def contiguous_prefix(spark, sf_dir):
+    return gaps.contiguous_prefix(numbered_islands(spark, sf_dir))
+
+
+# --- assignment
+
+
+@query(RING + "SELECT * FROM assigned")
+def ring_assignment(spark, sf_dir):
+    return assign.prefer(ledger(spark, sf_dir).select("partition_id"), assign.ring(workers(spark, sf_dir)))
+
+
+@query(RING + ", c AS (SELECT w.worker_id, count(a.partition_id) AS n FROM workers w LEFT JOIN assigned a USING (worker_id) GROUP BY 1) SELECT count(*) AS worker_count, cast(sum(n) AS BIGINT) AS total, var_pop(n) AS variance, CASE WHEN var_pop(n) = 0 THEN 100 ELSE least(100, greatest(0, 100 * exp(-sqrt(var_pop(n)) / avg(n)))) END AS score FROM c")
+def ring_distribution(spark, sf_dir):
+    names = workers(spark, sf_dir)
+    return assign.quality(assign.distribution(names, assign.prefer(ledger(spark, sf_dir).select("partition_id"), assign.ring(names))))
+
+
+@query(RING + f""", less AS (SELECT * FROM ring WHERE worker_id <> 'worker-0'),
+after AS (SELECT partition_id, arg_min(less.worker_id, CASE WHEN h >= {H32.format("partition_id::VARCHAR")} THEN h ELSE h + 4294967296 END) AS new_worker FROM ledger, less GROUP BY partition_id)
+SELECT partition_id, worker_id AS old_worker, new_worker FROM assigned JOIN after USING (partition_id) WHERE worker_id <> new_worker""")
+def ring_rebalance_diff(spark, sf_dir):
+    """One worker leaves: only its ranges move."""
+    parts, names = ledger(spark, sf_dir).select("partition_id"), workers(spark, sf_dir)
+    return assign.moved(assign.prefer(parts, assign.ring(names)), assign.prefer(parts, assign.ring(names.filter("worker_id <> 'worker-0'"))))
+
+
+@query(LEDGER + f"SELECT partition_id, (status = 'claimed' AND updated_at < {NOW_SQL} - INTERVAL 48 HOUR AND worker_id <> 'worker-1') OR coalesce(status = 'running' AND last_heartbeat < {NOW_SQL} - INTERVAL 120 HOUR AND worker_id <> 'worker-1', false) AS reclaim FROM ledger")
+def reclaimable(spark, sf_dir):
+    return ledger(spark, sf_dir).select("partition_id", assign.reclaimable("worker-1", now(), 24 * HOUR).alias("reclaim"))
+
+
+@query(LEDGER + f"SELECT partition_id, worker_id FROM ledger WHERE status IN ('claimed', 'running') AND last_heartbeat < {NOW_SQL} - INTERVAL 30 HOUR")
+def preemptable(spark, sf_dir):
+    return ledger(spark, sf_dir).filter(assign.preemptable(now(), 30 * HOUR)).select("partition_id", "worker_id")
+
+
+@query(LEDGER + f"""SELECT status, arg_min(partition_id, {{'t': CASE status WHEN 'claimed' THEN updated_at ELSE last_heartbeat END, 'p': partition_id}}) AS partition_id FROM ledger
+WHERE worker_id <> 'worker-1' AND ((status = 'claimed' AND updated_at < {NOW_SQL} - INTERVAL 24 HOUR) OR (status = 'running' AND last_heartbeat < {NOW_SQL} - INTERVAL 60 HOUR)) GROUP BY status""")
+def oldest_reclaim(spark, sf_dir):
+    return assign.oldest_reclaim(ledger(spark, sf_dir), "worker-1", now(), 12 * HOUR)
+
+
+@query("SELECT n, CASE WHEN n <= 3 THEN n WHEN n <= 10 THEN (3 * n + 3) // 4 WHEN n <= 50 THEN (n + 1) // 2 ELSE least(greatest(n // 2, 5), 20) END AS tries FROM range(1, 201) t(n)")
+def try_count_table(spark, sf_dir):
+    return spark.range(1, 201).select(F.col("id").alias("n"), hashing.try_count(F.col("id")).alias("tries"))
+
+
+@query(LEDGER + f"SELECT worker_id, max(updated_at) AS last_beat FROM ledger WHERE worker_id <> '' GROUP BY 1 HAVING max(updated_at) > {NOW_SQL} - INTERVAL 2 DAY")
+def active_workers(spark, sf_dir):
+    beats = ledger(spark, sf_dir).filter("worker_id <> ''").select("worker_id", F.col("updated_at").alias("ts"))
+    return assign.alive(beats, now(), 2 * DAY)
+
+
+@query("SELECT * FROM (VALUES ('worker-1', 'removed'), ('worker-9', 'added'), ('worker-8', 'added')) t(worker_id, change)")
+def worker_set_changes(spark, sf_dir):
+    old, new = (spark.createDataFrame([(f"worker-{i}",) for i in ids], "worker_id string") for ids in ((1, 2, 3), (2, 3, 8, 9)))
+    return assign.set_changes(old, new, "worker_id")
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    return assign.trial_orders(workers(spark, sf_dir), ledger(spark, sf_dir).filter("status = 'pending'"))
+
+
+@query()
+def fnv_seed(spark, sf_dir):
+    return workers(spark, sf_dir).select("worker_id", hashing.fnv1a32(F.col("worker_id")).alias("seed"))
+
+
+# --- transitions
+
+
+def _requests(spark, sf_dir):
+    """Two requests for every fifth partition, by workers of their number."""
+    rows = read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select((F.col("c_custkey") % 160).alias("partition_id"), F.col("c_custkey").alias("request_id"))
+    return rows.select("request_id", "partition_id", F.concat(F.lit("worker-"), (F.col("request_id") % 7).cast("string")).alias("worker_id"))
+
+
+_REQUESTS = ", requests AS (SELECT c_custkey AS request_id, c_custkey % 160 AS partition_id, 'worker-' || (c_custkey % 7) AS worker_id FROM customer WHERE c_custkey % 5 = 0)\n"
+
+
+@query(LEDGER + _REQUESTS + f""", w AS (SELECT r.*, CASE WHEN l.worker_id = r.worker_id AND status IN ('claimed', 'running') THEN 'renewed' WHEN status = 'pending' AND l.worker_id = '' THEN 'claimed'
+WHEN status IN ('claimed', 'running') AND last_heartbeat < {NOW_SQL} - INTERVAL 5 MINUTE THEN 'preempted' ELSE 'denied' END AS want FROM requests r LEFT JOIN ledger l USING (partition_id)),
+x AS (SELECT *, min(CASE WHEN want IN ('claimed', 'preempted') THEN request_id END) OVER (PARTITION BY partition_id) AS winner FROM w)
+SELECT request_id, partition_id, worker_id, CASE WHEN want IN ('claimed', 'preempted') AND request_id <> winner THEN 'denied' ELSE want END AS outcome FROM x""")
+def acquire_outcomes(spark, sf_dir):
+    return transitions.acquire(ledger(spark, sf_dir), _requests(spark, sf_dir), now())
+
+
+def _release_sql(owner_kept: str) -> str:
+    return LEDGER + f"""SELECT partition_id, CASE WHEN status IN ('completed', 'failed') THEN status ELSE 'pending' END AS status, CASE WHEN status IN ({owner_kept}) THEN worker_id ELSE '' END AS worker_id,
+CASE WHEN status = 'completed' THEN last_heartbeat END AS last_heartbeat FROM ledger WHERE worker_id <> ''"""
+
+
+def _release(spark, sf_dir, mode):
+    rows = ledger(spark, sf_dir)
+    return transitions.release(rows, rows.filter("worker_id <> ''").select("partition_id", "worker_id"), mode=mode)
+
+
+@query(_release_sql("'completed', 'failed'"))
+def release_outcomes_hash(spark, sf_dir):
+    return _release(spark, sf_dir, "hash")
+
+
+@query(_release_sql("'completed'"))
+def release_outcomes_simple(spark, sf_dir):
+    return _release(spark, sf_dir, "simple")
+
+
+@query(LEDGER + "SELECT partition_id, 'pending' AS status, '' AS worker_id, version + 1 AS version FROM ledger WHERE status = 'failed'")
+def retry_failed(spark, sf_dir):
+    return transitions.retry_failed(ledger(spark, sf_dir)).select("partition_id", "status", "worker_id", "version")
+
+
+_CREATE = LEDGER + ", wanted AS (SELECT o_orderkey AS partition_id, o_orderkey * 100 + 1 AS min_id, (o_orderkey + 1) * 100 + CASE WHEN o_orderkey % 9 = 0 THEN 50 ELSE 0 END AS max_id FROM orders WHERE o_orderkey < 400)\n"
+
+
+def _create(spark, sf_dir, mode):
+    orders = read(spark, sf_dir, "orders").filter("o_orderkey < 400")
+    wanted = orders.select(F.col("o_orderkey").alias("partition_id"), (F.col("o_orderkey") * 100 + 1).alias("min_id"), ((F.col("o_orderkey") + 1) * 100 + F.when(F.col("o_orderkey") % 9 == 0, 50).otherwise(0)).alias("max_id"))
+    return transitions.create_if_absent(ledger(spark, sf_dir), wanted, mode=mode)
+
+
+_STATE = ", state AS (SELECT w.*, CASE WHEN l.partition_id IS NULL THEN 'created' WHEN l.min_id = w.min_id AND l.max_id = w.max_id THEN 'exists' ELSE 'conflict' END AS outcome FROM wanted w LEFT JOIN ledger l USING (partition_id))\n"
+
+
+@query(_CREATE + _STATE + "SELECT * FROM state")
+def create_if_absent_hash(spark, sf_dir):
+    return _create(spark, sf_dir, "hash")
+
+
+@query(_CREATE + _STATE + """SELECT * FROM state WHERE outcome <> 'conflict' UNION ALL
+SELECT (SELECT max(p) FROM (SELECT max(partition_id) AS p FROM ledger UNION ALL SELECT max(partition_id) FROM wanted)) + row_number() OVER (ORDER BY partition_id), min_id, max_id, 'created' FROM state WHERE outcome = 'conflict'""")
+def create_if_absent_simple(spark, sf_dir):
+    return _create(spark, sf_dir, "simple")
+
+
+@query(_plan_sql(70) .replace("SELECT 1 + i AS partition_id", ", p AS (SELECT 1 + i AS partition_id").replace(" FROM i", " FROM i) SELECT *, (partition_id - 1) // 50 + 1 AS batch_no FROM p", 1).replace("FROM b)\n, p", "FROM b), p"))
+def create_batches(spark, sf_dir):
+    return transitions.batches(_plan(spark, sf_dir, 70))
+
+
+_UPDATES = LEDGER + ", updates AS (SELECT partition_id, CASE WHEN partition_id % 3 = 0 THEN version ELSE version - 1 END AS expected FROM ledger UNION ALL SELECT 100000 + partition_id, 0 FROM ledger WHERE partition_id % 10 = 0)\n"
+
+
+def _updates(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    known = rows.select("partition_id", F.when(F.col("partition_id") % 3 == 0, F.col("version")).otherwise(F.col("version") - 1).alias("expected"))
+    return rows, known.unionByName(rows.filter("partition_id % 10 = 0").select((F.col("partition_id") + 100000).alias("partition_id"), F.lit(0).cast("long").alias("expected")))
+
+
+@query(_UPDATES + """SELECT u.partition_id, CASE WHEN l.partition_id IS NULL AND expected = 0 THEN 'created' WHEN version = expected THEN 'updated' ELSE 'stale' END AS outcome,
+CASE WHEN (l.partition_id IS NULL AND expected = 0) OR version = expected THEN expected + 1 ELSE version END AS version FROM updates u LEFT JOIN ledger l USING (partition_id)""")
+def compare_and_set(spark, sf_dir):
+    rows, updates = _updates(spark, sf_dir)
+    return transitions.compare_and_set(rows, updates, now())
+
+
+@query(_UPDATES + f"""SELECT l.partition_id, CASE WHEN u.expected = l.version THEN 'failed' ELSE status END AS status, CASE WHEN u.expected = l.version THEN {NOW_SQL} ELSE updated_at END AS updated_at,
+version + CASE WHEN u.expected = l.version THEN 1 ELSE 0 END AS version, CASE WHEN u.expected = l.version THEN 'gave up' ELSE error END AS error FROM ledger l LEFT JOIN updates u USING (partition_id)""")
+def update_status(spark, sf_dir):
+    rows, updates = _updates(spark, sf_dir)
+    options = F.lit(None).cast("map<string,string>")
+    changed = updates.select("partition_id", "expected", F.lit("failed").alias("status"), F.lit("gave up").alias("error"), options.alias("options"))
+    return transitions.apply_updates(rows.withColumn("options", options), changed, now()).select("partition_id", "status", "updated_at", "version", "error")
+
+
+@query(LEDGER + "SELECT partition_id, status FROM ledger WHERE partition_id NOT IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
+def delete_partitions(spark, sf_dir):
+    gone = read(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select(F.col("l_orderkey").alias("partition_id"))
+    return transitions.delete(ledger(spark, sf_dir), gone).select("partition_id", "status")
+
+
+# --- processing
+
+_PLANNED = f"planned AS ({_plan_sql(1000)})"
+
+
+@query("WITH " + _PLANNED + ", counts AS (SELECT partition_id, count(l_orderkey) AS n_items FROM planned LEFT JOIN lineitem ON l_orderkey BETWEEN min_id AND max_id GROUP BY 1) SELECT p.*, n_items FROM planned p JOIN counts USING (partition_id)")
+def process_ranges(spark, sf_dir):
+    return process.count_items(_plan(spark, sf_dir, 1000), read(spark, sf_dir, "lineitem"), "l_orderkey", size=1000)
+
+
+@query(LEDGER + "SELECT partition_id, worker_id, CASE WHEN partition_id % 10 = 3 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN partition_id % 10 = 3 THEN 0 ELSE 100 END::BIGINT AS n_items, CASE WHEN partition_id % 10 = 3 THEN 'range ' || partition_id END AS error FROM ledger")
+def run_processor(spark, sf_dir):
+    def work(low: int, high: int, options: dict) -> int:
+        if options["partition_id"] % 10 == 3:
+            raise ValueError(f"range {options['partition_id']}")
+        return high - low + 1
+
+    return process.run_processor(ledger(spark, sf_dir).withColumn("options", F.lit(None).cast("map<string,string>")), work)
+
+
+# --- archive
+
+
+@query(LEDGER + ", a AS (SELECT partition_id, row_number() OVER (ORDER BY partition_id) AS place, count(*) OVER () AS n FROM ledger WHERE status = 'completed') SELECT partition_id, (place - 1) // 5 + 1 AS batch_no FROM a WHERE n > 12 AND place <= (n - 12 + 4) // 5 * 5")
+def archive_tiering(spark, sf_dir):
+    return archive.compression_plan(archive.tiers(ledger(spark, sf_dir))[1], threshold=12, batch=5)
+
+
+@query(LEDGER + """, a AS (SELECT partition_id, row_number() OVER (ORDER BY partition_id) AS place, count(*) OVER () AS n FROM ledger WHERE status = 'completed'), b AS (SELECT CASE WHEN n > 12 AND place <= (n - 12 + 4) // 5 * 5 THEN (place - 1) // 5 + 1 END AS batch FROM a)
+SELECT count(*) FILTER (batch IS NULL) AS uncompressed_partitions, count(DISTINCT batch) AS compressed_batches, count(DISTINCT batch) * 5 AS estimated_compressed_partitions, count(*) FILTER (batch IS NULL) + count(DISTINCT batch) * 5 AS total_estimated_partitions, count(DISTINCT batch) > 0 AS compression_enabled FROM b""")
+def archive_stats(spark, sf_dir):
+    done = archive.tiers(ledger(spark, sf_dir))[1]
+    return archive.archive_stats(done, archive.compression_plan(done, threshold=12, batch=5), batch=5)
+
+
+def _registered(spark, sf_dir):
+    return ledger(spark, sf_dir).filter("worker_id <> ''").groupBy("worker_id").agg(F.min("created_at").alias("register_time"))
+
+
+_CODES = LEDGER + ", codes AS (SELECT worker_id, row_number() OVER (ORDER BY min(created_at), worker_id) AS code FROM ledger WHERE worker_id <> '' GROUP BY worker_id)\n"
+
+
+@query(_CODES + "SELECT * FROM codes")
+def worker_dictionary(spark, sf_dir):
+    return archive.worker_dictionary(_registered(spark, sf_dir))
+
+
+@query(_CODES + "SELECT partition_id, CASE code WHEN 0 THEN '' ELSE coalesce(worker_id, 'unknown_worker_' || code) END AS worker_id FROM (SELECT partition_id, partition_id % 12 AS code FROM ledger) LEFT JOIN codes USING (code)")
+def worker_decode_unknown(spark, sf_dir):
+    rows = ledger(spark, sf_dir).select("partition_id", (F.col("partition_id") % 12).alias("code"))
+    return archive.decode_workers(rows, archive.worker_dictionary(_registered(spark, sf_dir))).select("partition_id", "worker_id")
+
+
+def _archive_round(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    codes = archive.worker_dictionary(_registered(spark, sf_dir))
+    plan = rows.select("partition_id", F.expr("partition_id div 64 + 1").alias("batch_no"))
+    return archive.compress(rows, plan, codes), codes
+
+
+@query()
+def batch_codec_sizes(spark, sf_dir):
+    blobs = _archive_round(spark, sf_dir)[0]
+    sums = blobs.agg(F.sum("partition_count").alias("n_rows"), F.sum("json_bytes").alias("json_bytes"), F.sum("binary_bytes").alias("binary_bytes"), F.sum(F.length("compressed_data")).alias("gzip_bytes"))
+    return sums.withColumn("saved", 1 - F.col("gzip_bytes") / F.col("json_bytes"))
+
+
+@query(LEDGER + "SELECT partition_id, min_id, max_id, worker_id, status, error, cast(date_trunc('second', updated_at) AS TIMESTAMP) AS updated_at, cast(date_trunc('second', created_at) AS TIMESTAMP) AS created_at FROM ledger")
+def batch_codec_round_trip(spark, sf_dir):
+    """What the codec keeps: seconds of times; version, options and heartbeat are lost."""
+    blobs, codes = _archive_round(spark, sf_dir)
+    return archive.decompress(blobs, codes).select("partition_id", "min_id", "max_id", "worker_id", "status", "error", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+# --- circuit breaker
+
+
+@query(BREAKER + ", m AS (SELECT *, sum(CASE WHEN kind = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY worker_id ORDER BY ts, seq) AS island FROM ev WHERE kind <> 'attempt'), r AS (SELECT worker_id, island, count(*) AS n FROM m WHERE kind = 'failure' GROUP BY 1, 2) SELECT worker_id, count(*) AS n_runs, max(n) AS longest FROM r GROUP BY 1")
+def breaker_consecutive_islands(spark, sf_dir):
+    return breaker.failure_runs(breaker_events(spark, sf_dir))
+
+
+@query(BREAKER + ", f AS (SELECT * FROM ev WHERE kind = 'failure') SELECT a.seq, a.worker_id, count(DISTINCT b.partition_id) AS n_failed FROM f a JOIN f b ON a.worker_id = b.worker_id AND b.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts GROUP BY 1, 2")
+def breaker_failure_window(spark, sf_dir):
+    return breaker.failure_windows(breaker_events(spark, sf_dir), 6 * HOUR)
+
+
+@query()
+def breaker_automaton(spark, sf_dir):
+    """Event times are divided by 100, so that the thresholds of seconds and minutes meet some of the log."""
+    events = breaker_events(spark, sf_dir).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e8))
+    return breaker.automaton(events)
+
+
+# --- commands and metrics
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10")
+def command_queue_head(spark, sf_dir):
+    """The ten commands that a poll takes, oldest first; the limit is the feature."""
+    return queue_head(read(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "user_id"), 10, "event_id", "event_id")
+
+
+_BOUNDS = "(VALUES (0.001::DOUBLE), (0.005), (0.01), (0.05), (0.1), (0.5), (1.0), (5.0), (10.0), (30.0), (60.0), ('inf'::DOUBLE)) b(le)"
+
+
+@query(f"SELECT le, (SELECT count(*) FROM events WHERE value <= le) AS n FROM {_BOUNDS}")
+def metric_histogram(spark, sf_dir):
+    return metrics.histogram(read(spark, sf_dir, "events"), "value", metrics.TASK_BUCKETS)
+
+
+@query("SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) AS n, count(*) * 1.0::DOUBLE AS per_hour FROM events GROUP BY 1")
+def metric_rate_per_hour(spark, sf_dir):
+    return metrics.rate_per_hour(read(spark, sf_dir, "events"), 60)
+
+
+@query(f"""WITH h AS (SELECT le, (SELECT count(*) FROM events WHERE value <= le) AS n FROM {_BOUNDS}), r AS (SELECT le, n, lag(le, 1, 0) OVER (ORDER BY le) AS low, lag(n, 1, 0) OVER (ORDER BY le) AS below, max(n) OVER () AS total FROM h)
+SELECT 0.95::DOUBLE AS q, arg_min(CASE WHEN le = 'inf' THEN 60 ELSE low + (le - low) * (0.95::DOUBLE * total - below) / nullif(n - below, 0) END, le) AS value FROM r WHERE n >= 0.95::DOUBLE * total""")
+def metric_p95(spark, sf_dir):
+    return metrics.quantile(metrics.histogram(read(spark, sf_dir, "events"), "value", metrics.TASK_BUCKETS), 0.95)
+
+
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error') / count(*) AS ratio FROM events GROUP BY 1")
+def metric_error_ratio(spark, sf_dir):
+    return metrics.error_ratio(read(spark, sf_dir, "events"), F.col("event_type") == "error", "user_id")
+
+
+@query("SELECT event_type, count(value) AS n, avg(value) AS mean FROM events GROUP BY 1")
+def metric_mean_duration(spark, sf_dir):
+    return metrics.mean_by(read(spark, sf_dir, "events").select("event_type", F.col("value").cast("decimal(20,6)").alias("value")), "value", "event_type").withColumn("mean", F.col("mean").cast("double"))
+
+
+@query(RING + """SELECT 'partitions' AS metric, status AS label, count(*)::DOUBLE AS value FROM ledger GROUP BY status UNION ALL SELECT 'assigned', worker_id, count(*)::DOUBLE FROM ledger WHERE worker_id <> '' GROUP BY 2
+UNION ALL SELECT 'active_workers', '', count(*)::DOUBLE FROM workers""")
+def metric_snapshot(spark, sf_dir):
+    return metrics.snapshot(ledger(spark, sf_dir), workers(spark, sf_dir))
+
+
+@query(LEDGER + f"SELECT worker_id, max(last_heartbeat) AS last_beat, coalesce(max(last_heartbeat) < {NOW_SQL} - INTERVAL 30 HOUR, true) AS is_stale FROM ledger WHERE worker_id <> '' GROUP BY 1")
+def heartbeat_alert(spark, sf_dir):
+    beats = ledger(spark, sf_dir).filter("worker_id <> ''").groupBy("worker_id").agg(F.max("last_heartbeat").alias("last_beat"))
+    return beats.withColumn("is_stale", F.coalesce(F.col("last_beat") < now() - F.expr("INTERVAL 30 HOURS"), F.lit(True)))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count()
+    """Ranges over the line items' key space without those that hold nothing, each with its worker on the ring and its item count."""
+    lines = read(spark, sf_dir, "lineitem")
+    top = lines.agg(F.max("l_orderkey").alias("next_id"))
+    plan = planner.plan_ranges(top.select(F.lit(0).cast("long").alias("last_id"), "next_id", F.lit(0).cast("long").alias("max_partition_id")), 100)
+    plan = gaps.has_data(plan, lines, "l_orderkey", size=100, start_exclusive=False)
+    names = spark.createDataFrame([(f"worker-{i}",) for i in range(7)], "worker_id string")
+    return process.count_items(assign.prefer(plan, assign.ring(names)), lines, "l_orderkey", size=100)
+
+
+@query(f"""WITH planned AS (SELECT 1 + i AS partition_id, i * 100 + 1 AS min_id, least((i + 1) * 100, (SELECT max(l_orderkey) FROM lineitem)) AS max_id FROM range((SELECT greatest(1, (max(l_orderkey) + 99) // 100) FROM lineitem)) t(i)),
+points AS (SELECT 'worker-' || w AS worker_id, unnest(['worker-' || w || ':' || i, i || ':' || 'worker-' || w]) AS key FROM range(7) a(w), range(50) r(i)), ring AS (SELECT {H32.format("key")} AS h, max(worker_id) AS worker_id FROM points GROUP BY 1),
+assigned AS (SELECT partition_id, arg_min(ring.worker_id, CASE WHEN h >= {H32.format("partition_id::VARCHAR")} THEN h ELSE h + 4294967296 END) AS worker_id FROM planned, ring GROUP BY partition_id),
+counts AS (SELECT partition_id, count(*) AS n_items FROM planned JOIN lineitem ON l_orderkey BETWEEN min_id AND max_id GROUP BY 1)
+SELECT partition_id, min_id, max_id, worker_id, n_items FROM planned JOIN assigned USING (partition_id) JOIN counts USING (partition_id)""")
+def plan_assign_count(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
