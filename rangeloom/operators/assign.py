@@ -32,7 +32,7 @@ def prefer(parts: DataFrame, points: DataFrame, *, id_col: str = "partition_id")
     held = points.groupBy(F.floor(F.col("h") / width).alias("slot")).agg(F.sort_array(F.collect_list(F.struct("h", "worker_id"))).alias("points"))
     table = points.sparkSession.range(slots).withColumnRenamed("id", "slot").join(held, "slot", "left")
     # Slots are as many as ring points, the window runs over them alone.
-    behind = F.first(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing))
+    behind = F.last(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1))
     first = points.agg(F.min(F.struct("h", "worker_id"))["worker_id"].alias("around"))
     table = table.select("slot", "points", behind["worker_id"].alias("behind")).join(F.broadcast(first))  # one row
     if slots <= BROADCAST_SLOTS:
@@ -68,6 +68,11 @@ def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return added.withColumn("change", F.lit("added")).unionByName(gone.withColumn("change", F.lit("removed")))
 
 
+def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(same): whether two tables hold the same keys."""
+    return set_changes(a.select(key).distinct(), b.select(key).distinct(), key).agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
 def alive(beats: DataFrame, now: Column, seconds: int = 180) -> DataFrame:
     """(worker_id, last_beat) of workers heard of less than ``seconds`` ago."""
     return beats.groupBy("worker_id").agg(F.max("ts").alias("last_beat")).filter(F.col("last_beat") > now - F.expr(f"make_dt_interval(0, 0, 0, {seconds})"))

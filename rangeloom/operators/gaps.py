@@ -69,6 +69,26 @@ def split_gaps(gaps: DataFrame, ids: DataFrame, key: str, *, size: int, next_id:
     return ordinal(kept, "min_id", "partition_id", first=next_id).select("partition_id", "min_id", "max_id")
 
 
+def overlaps(a: DataFrame, b: DataFrame, *, size: int) -> DataFrame:
+    """(a_id, b_id) of ranges that share an id, each pair once.
+
+    Both sides are laid on cells of width ``size``; a pair is taken in the cell where its common part begins.
+    """
+    cell = lambda df, p: df.select(F.col("partition_id").alias(f"{p}_id"), F.col("min_id").alias(f"{p}_min"), F.col("max_id").alias(f"{p}_max"), F.explode(F.sequence(F.floor(F.col("min_id") / size), F.floor(F.col("max_id") / size))).alias("cell"))
+    pairs = cell(a, "a").join(cell(b, "b"), "cell").filter("a_min <= b_max and b_min <= a_max")
+    return pairs.filter(F.col("cell") == F.floor(F.greatest("a_min", "b_min") / size)).select("a_id", "b_id")
+
+
+def unconfirmed(gaps_: DataFrame, confirmed: int) -> DataFrame:
+    """Gaps that don't lie wholly at or below an id up to which the space is known to be whole."""
+    return gaps_.filter(~((F.col("start_id") <= confirmed) & (F.col("end_id") <= confirmed)))
+
+
+def newest(ranges: DataFrame, n: int = 500) -> DataFrame:
+    """The ``n`` ranges of largest partition id, as the planner's range cache keeps them."""
+    return ranges.orderBy(F.desc("partition_id")).limit(n)
+
+
 def gaps_around_new(ranges: DataFrame, since: int) -> DataFrame:
     """Gaps that touch a range of partition id above ``since`` on either side."""
     out = with_next(ranges.select("partition_id", "min_id", "max_id"), "min_id", {"following": "min_id", "next_pid": "partition_id"})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STATUSES, rate
@@ -91,3 +91,19 @@ def stats_deltas(transitions: DataFrame) -> DataFrame:
 def metadata_counts(rows: DataFrame, by: Column, name: str) -> DataFrame:
     """Rows per group with how many completed and failed: the range, worker and hour layers."""
     return rows.groupBy(by.alias(name)).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def worker_speed(events: DataFrame) -> DataFrame:
+    """(worker_id, items, seconds, per_second, success) of finished work (worker_id, items, seconds, ok)."""
+    out = events.groupBy("worker_id").agg(F.sum("items").alias("items"), F.sum("seconds").alias("seconds"), (F.count_if("ok") / F.count(F.lit(1))).alias("success"))
+    return out.select("worker_id", "items", "seconds", F.when(F.col("seconds") > 0, F.col("items") / F.col("seconds")).alias("per_second"), "success")
+
+
+def owner_spans(events: DataFrame, key: str, owner: str) -> DataFrame:
+    """(key, owner, since, until): who held a key from when to when (null: still), from a log (ts, seq) of its holders.
+
+    A key's log is ordered in one window; keys are locks or ranges, each with its own short log.
+    """
+    by = Window.partitionBy(key).orderBy("ts", "seq")
+    changes = events.withColumn("__before", F.lag(owner).over(by)).filter(~F.col(owner).eqNullSafe(F.col("__before")))
+    return changes.select(key, owner, F.col("ts").alias("since"), F.lead("ts").over(by).alias("until"))

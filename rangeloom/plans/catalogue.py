@@ -195,7 +195,7 @@ def ledger_point_lookup(spark, sf_dir):
 def ledger_json_scan(spark, sf_dir):
     """Rows as JSON documents and back, with broken ones among them left out."""
     lines = to_json(ledger(spark, sf_dir))
-    broken = lines.limit(3).select(F.lit("{not json").alias("value"))
+    broken = spark.createDataFrame([("{not json",), ("",), (None,)], "value string")
     return ledger_from_json(lines.unionByName(broken)).select("partition_id", "min_id", "max_id", "worker_id", "status", "version")
 
 
@@ -680,6 +680,73 @@ def heartbeat_alert(spark, sf_dir):
     return beats.withColumn("is_stale", F.coalesce(F.col("last_beat") < now() - F.expr("INTERVAL 30 HOURS"), F.lit(True)))
 
 
+@query(OVERLAPPING + ", others AS (SELECT c_custkey AS partition_id, c_custkey * 9 AS min_id, c_custkey * 9 + c_custkey % 40 AS max_id FROM customer) SELECT a.partition_id AS a_id, b.partition_id AS b_id FROM ranges a JOIN others b ON a.min_id <= b.max_id AND b.min_id <= a.max_id")
+def range_overlaps(spark, sf_dir):
+    others = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("partition_id"), (F.col("c_custkey") * 9).alias("min_id"), (F.col("c_custkey") * 9 + F.col("c_custkey") % 40).alias("max_id"))
+    return gaps.overlaps(overlapping(spark, sf_dir), others, size=100)
+
+
+@query("WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), n AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ids) SELECT id + 1 AS start_id, nxt - 1 AS end_id FROM n WHERE id + 1 < nxt AND NOT (id + 1 <= 400 AND nxt - 1 <= 400)")
+def gaps_unconfirmed(spark, sf_dir):
+    return gaps.unconfirmed(gaps.id_gaps(read(spark, sf_dir, "lineitem"), "l_orderkey"), 400)
+
+
+@query(RANGES + "SELECT * FROM ranges ORDER BY partition_id DESC LIMIT 20")
+def range_cache_trim(spark, sf_dir):
+    """The limit is the feature: the newest ranges."""
+    return gaps.newest(numbered_islands(spark, sf_dir), 20).select("partition_id", "min_id", "max_id")
+
+
+@query("SELECT true AS same")
+def worker_sets_equal(spark, sf_dir):
+    names = workers(spark, sf_dir)
+    return assign.same_set(names, names.orderBy(F.desc("worker_id")), "worker_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'kept' AS b, CASE WHEN event_id % 2 = 0 THEN 'added' END AS c FROM events WHERE event_type = 'signup'")
+def options_merge(spark, sf_dir):
+    events = read(spark, sf_dir, "events").filter("event_type = 'signup'")
+    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("a"), F.lit("new"), F.lit("c"), F.lit("added")))
+    merged = scalars.merge_options(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept")), new)
+    return events.select("event_id", merged.alias("o")).select("event_id", *[F.try_element_at("o", F.lit(k)).alias(k) for k in "abc"])
+
+
+@query("""WITH s AS (SELECT 'worker-' || (user_id % 40) AS worker_id, ts, event_id, event_type FROM events WHERE event_type IN ('signup', 'error')), r AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY ts DESC, event_id DESC) AS n, min(ts) FILTER (event_type = 'signup') OVER (PARTITION BY worker_id) AS register_time FROM s)
+SELECT worker_id, register_time, CASE WHEN event_type = 'error' THEN ts END AS stop_time FROM r WHERE n = 1""")
+def worker_registry(spark, sf_dir):
+    """Registrations and stops as a log: the first registration and, if a stop came last, its time; rows of stopped workers stay."""
+    log = read(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error")).select(F.concat(F.lit("worker-"), (F.col("user_id") % 40).cast("string")).alias("worker_id"), "ts", "event_id", "event_type")
+    first = log.filter("event_type = 'signup'").groupBy("worker_id").agg(F.min("ts").alias("register_time"))
+    last = led.latest(log, "worker_id", ["ts", "event_id"]).select("worker_id", F.when(F.col("event_type") == "error", F.col("ts")).alias("stop_time"))
+    return last.join(first, "worker_id", "left").select("worker_id", "register_time", "stop_time")
+
+
+@query("SELECT user_id, count(*) AS n FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.event_id = e.event_id + 1) GROUP BY 1")
+def queue_remaining(spark, sf_dir):
+    """Queue length per user: items put in (views) less those taken out (a purchase as the next event)."""
+    events = read(spark, sf_dir, "events")
+    taken = events.filter("event_type = 'purchase'").select((F.col("event_id") - 1).alias("event_id"))
+    return events.filter("event_type = 'view'").join(taken, "event_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS counter, cast(sum(event_id % 5) AS BIGINT) AS value FROM events GROUP BY 1")
+def counters(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("counter")).agg(F.sum(F.col("event_id") % 5).alias("value"))
+
+
+@query("SELECT worker_id, cast(sum(items) AS BIGINT) AS items, cast(sum(seconds) AS BIGINT) AS seconds, CASE WHEN sum(seconds) > 0 THEN sum(items) / sum(seconds) END AS per_second, count(*) FILTER (ok) / count(*) AS success FROM (SELECT 'worker-' || (event_id % 7) AS worker_id, user_id AS items, event_id % 60 AS seconds, event_type <> 'error' AS ok FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY 1")
+def worker_speed(spark, sf_dir):
+    done = read(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
+    return led.worker_speed(done.select(F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")).alias("worker_id"), F.col("user_id").alias("items"), (F.col("event_id") % 60).alias("seconds"), (F.col("event_type") != "error").alias("ok")))
+
+
+@query("""WITH e AS (SELECT user_id % 3 AS lock_id, 'worker-' || (event_id % 7) AS owner, ts, event_id AS seq FROM events WHERE event_type = 'signup'), c AS (SELECT *, lag(owner) OVER (PARTITION BY lock_id ORDER BY ts, seq) AS before FROM e),
+d AS (SELECT * FROM c WHERE owner IS DISTINCT FROM before) SELECT lock_id, owner, ts AS since, lead(ts) OVER (PARTITION BY lock_id ORDER BY ts, seq) AS until FROM d""")
+def lock_owner_timeline(spark, sf_dir):
+    log = read(spark, sf_dir, "events").filter("event_type = 'signup'").select((F.col("user_id") % 3).alias("lock_id"), F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")).alias("owner"), "ts", F.col("event_id").alias("seq"))
+    return led.owner_spans(log, "lock_id", "owner")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges over the line items' key space without those that hold nothing, each with its worker on the ring and its item count."""
     lines = read(spark, sf_dir, "lineitem")
