@@ -262,13 +262,13 @@ def _spans(chunk: Chunk, at: np.ndarray, source_id: np.ndarray, source_at: np.nd
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)
 
 
-def _chunk_of(column: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are at most ``column``: a binary search in the plan; null ids get a chunk of their own behind."""
+def _chunk_of(column: Column, text: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are at most ``column``: a binary search in the plan; null ids get as many chunks behind, by text."""
     n = len(bounds)
     held = F.array(*[F.lit(b) for b in bounds]) if n else F.array().cast("array<bigint>")
     steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)]) if n else F.array().cast("array<int>")
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= column), at + step).otherwise(at))
-    return F.when(column.isNull(), F.lit(n + 1)).otherwise(found).cast("long")
+    return F.when(column.isNull(), n + 1 + F.pmod(F.xxhash64(text), F.lit(n + 1))).otherwise(found).cast("long")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, chunk_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
@@ -289,7 +289,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bounds = sorted({int(x) for x in rows.select(F.col("id")).na.drop().approxQuantile("id", [i / n for i in range(1, n)], 1 / (8 * n))}) if n > 1 else []
     null_chunk = len(bounds) + 1
     buckets = 2 * width
-    rows = rows.withColumn("chunk", _chunk_of(F.col("id"), bounds))
+    rows = rows.withColumn("chunk", _chunk_of(F.col("id"), F.col("text"), bounds))
     chunks = rows.groupBy("chunk")
     edges = chunks.applyInArrow(_send(k, buckets), "bucket long, chunk long, edges binary")
     asks = edges.groupBy("bucket").applyInArrow(_ask(null_chunk), "chunk long, bucket long, asked binary")
