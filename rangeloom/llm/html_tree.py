@@ -136,17 +136,24 @@ def parse(source: str) -> list[Node]:
 
 
 def look(node: Node) -> tuple:
-    """What the node potential sees."""
+    """What the node potential sees: kind and class words together, class words alone, kind and size together, links, a copyright sign."""
     words = set(_WORD.findall(node.names)) if node.names else ()
     names = "away" if words and not _AWAY.isdisjoint(words) else "main" if words and not _MAIN.isdisjoint(words) else "none"
     size = 0 if not node.length else 1 if node.length < 25 else 2 if node.length < 80 else 3
-    return KINDS.get(node.tag, "other"), names, size, bool(node.length) and 2 * node.linked >= node.length, node.sign
+    kind = KINDS.get(node.tag, "other")
+    return (kind, names), names, (kind, size), bool(node.length) and 2 * node.linked >= node.length, node.sign
+
+
+def holder(node: Node) -> int:
+    """1 for roots and plain containers, in which content may start; 0 for elements that say what they are."""
+    kind = KINDS.get(node.tag, "other")
+    return int(kind == "root" or (kind == "other" and look(node)[1] == "none"))
 
 
 class Model:
-    """Log potentials: of each value of each feature by label, and of child label by parent label."""
+    """Log potentials of each value of each feature by label; ``edge[holder][parent label][child label]``."""
 
-    def __init__(self, feature: list[dict], edge: list[list[float]]):
+    def __init__(self, feature: list[dict], edge: list[list[list[float]]]):
         self.feature, self.edge = feature, edge
         self.known: dict[tuple, tuple[float, float]] = {}
 
@@ -154,7 +161,7 @@ class Model:
     def fit(cls, pages: Iterable[str], smoothing: float = 0.1) -> Model:
         """Smoothed maximum likelihood from pages whose elements carry data-label="content" or "away" (inherited downward)."""
         seen = [[Counter(), Counter()] for _ in range(5)]
-        edge = [[smoothing, smoothing], [smoothing, smoothing]]
+        edge = [[[smoothing, smoothing], [smoothing, smoothing]] for _ in range(2)]
         for page in pages:
             nodes = parse(page)
             label: list[int] = []
@@ -162,7 +169,7 @@ class Model:
                 y = int(node.given == "content") if node.given else label[node.parent] if node.parent >= 0 else 0
                 label.append(y)
                 if node.parent >= 0:
-                    edge[label[node.parent]][y] += 1
+                    edge[holder(nodes[node.parent])][label[node.parent]][y] += 1
                 for table, value in zip(seen, look(node), strict=True):
                     table[y][value] += 1
         feature = []
@@ -172,7 +179,7 @@ class Model:
             known = {v: tuple(math.log((t[v] + smoothing) / n) for t, n in zip(table, totals, strict=True)) for v in values}
             known[None] = tuple(math.log(smoothing / n) for n in totals)
             feature.append(known)
-        return cls(feature, [[x / sum(row) for x in row] for row in edge])
+        return cls(feature, [[[x / sum(row) for x in row] for row in table] for table in edge])
 
     def potential(self, node: Node) -> tuple[float, float]:
         key = look(node)
@@ -186,14 +193,16 @@ class Model:
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node: messages from the leaves up, then from the root down."""
-        (e00, e01), (e10, e11) = self.edge
+        tables = [(*t[0], *t[1]) for t in self.edge]
         n = len(nodes)
+        above = [tables[0], *(tables[holder(nodes[node.parent])] for node in nodes[1:])]
         up0, up1 = [0.0] * n, [0.0] * n
         for i, node in enumerate(nodes):
             up0[i], up1[i] = self.potential(node)
         to0, to1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):
             a, b = up0[i], up1[i]
+            e00, e01, e10, e11 = above[i]
             m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
             scale = m0 + m1
             to0[i], to1[i] = m0, m1 = m0 / scale, m1 / scale
@@ -210,6 +219,7 @@ class Model:
                 b = down1[p] * up1[p] / max(to1[i], 1e-300)
                 scale = a + b
                 a, b = a / scale, b / scale
+                e00, e01, e10, e11 = above[i]
                 down0[i], down1[i] = a * e00 + b * e10, a * e01 + b * e11
             a, b = down0[i] * up0[i], down1[i] * up1[i]
             belief[i] = b / (a + b)

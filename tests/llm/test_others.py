@@ -140,7 +140,7 @@ def test_marginals_are_exact():
     total, content = 0.0, [0.0] * len(nodes)
     for code in range(1 << len(nodes)):
         y = [(code >> i) & 1 for i in range(len(nodes))]
-        p = float(np.prod([weights[i][y[i]] for i in range(len(nodes))]) * np.prod([model.edge[y[x.parent]][y[i]] for i, x in enumerate(nodes) if i]))
+        p = float(np.prod([weights[i][y[i]] for i in range(len(nodes))]) * np.prod([model.edge[html_tree.holder(nodes[x.parent])][y[x.parent]][y[i]] for i, x in enumerate(nodes) if i]))
         total += p
         content = [c + p * v for c, v in zip(content, y, strict=True)]
     assert np.allclose(model.marginals(nodes), [c / total for c in content])
