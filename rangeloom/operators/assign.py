@@ -33,8 +33,8 @@ def prefer(parts: DataFrame, points: DataFrame, *, id_col: str = "partition_id")
     table = points.sparkSession.range(slots).withColumnRenamed("id", "slot").join(held, "slot", "left")
     # Slots are as many as ring points, the window runs over them alone.
     behind = F.last(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1))
-    first = points.agg(F.min(F.struct("h", "worker_id"))["worker_id"].alias("around"))
-    table = table.select("slot", "points", behind["worker_id"].alias("behind")).join(F.broadcast(first))  # one row
+    around = F.last(F.get("points", F.lit(0)), ignorenulls=True).over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    table = table.select("slot", "points", behind["worker_id"].alias("behind"), around["worker_id"].alias("around"))
     if slots <= BROADCAST_SLOTS:
         table = F.broadcast(table)
     given = parts.withColumn("__h", hash32(F.col(id_col).cast("string")))

@@ -42,11 +42,10 @@ def islands(ids: DataFrame, key: str) -> DataFrame:
 def contiguous_prefix(ranges: DataFrame) -> DataFrame:
     """(confirmed_max_id): the largest end of the run of ranges from the first start without a break, its last range left out; 0 if none."""
     out = with_next(ranges.select("min_id", "max_id"), "min_id", {"following": "min_id"})
-    first_break = out.filter("following is not null and max_id + 1 < following").agg(F.min("min_id").alias("at"))
-    last = ranges.agg(F.max("min_id").alias("last"))
-    confirmed = ranges.join(F.broadcast(first_break)).join(F.broadcast(last))  # one row each
-    inside = confirmed.filter("min_id < coalesce(at, last)")
-    return inside.agg(F.coalesce(F.max("max_id"), F.lit(0)).cast("long").alias("confirmed_max_id"))
+    place = out.filter("following is not null and max_id + 1 < following").agg(F.min("min_id")).first()[0]
+    if place is None:
+        place = ranges.agg(F.max("min_id")).first()[0]
+    return ranges.filter(F.col("min_id") < F.lit(place)).agg(F.coalesce(F.max("max_id"), F.lit(0)).cast("long").alias("confirmed_max_id"))
 
 
 def has_data(ranges: DataFrame, ids: DataFrame, key: str, *, low: str = "min_id", high: str = "max_id", size: int, start_exclusive: bool = True) -> DataFrame:
