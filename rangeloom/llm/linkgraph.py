@@ -34,16 +34,14 @@ def rule_for(host: Column, path: Column, rules: tuple) -> Column:
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds`` (host, weight), which sum to one, over ``edges`` (src, dst, share).
 
-    The shares of a source sum to one; what hosts without links hold goes back to the seeds. Lineage is cut every
-    fifth round.
+    The shares of a source sum to one; what hosts without links hold goes back to the seeds. Every round's moved ranks
+    are checkpointed, which keeps lineage short; one number, their sum, comes to the driver.
     """
     rank = seeds.select("host", F.col("weight").alias("rank"))
-    for i in range(rounds):
-        moved = edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        moved = cut(moved) if i % 5 == 4 else moved
-        arrived = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("sum"))
-        home = seeds.join(F.broadcast(arrived))  # one row
-        home = home.select("host", (F.col("weight") * (1 - damping * F.col("sum"))).alias("rank"))
+    for _ in range(rounds):
+        moved = cut(edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got")))
+        arrived = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
+        home = seeds.select("host", (F.col("weight") * (1 - damping * arrived)).alias("rank"))
         rank = home.unionByName(moved.select("host", (damping * F.col("got")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
     return rank
 
