@@ -31,7 +31,8 @@ def tokenizer_path() -> str:
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TOXIC_CHAIN)
+    found = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TOXIC_CHAIN)
+    return found.select("doc_id", "p_poor", "p_toxic", found["is_toxic"].alias("toxic"))
 
 
 def op2_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
