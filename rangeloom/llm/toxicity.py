@@ -159,7 +159,8 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *,
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     kinds = ", ".join(f"y{i} int" for i in range(len(categories)))
     sample = rows.join(F.broadcast(known), "id").mapInArrow(_sample_rows, f"id long, {kinds}, words binary")  # bounded by sample_rows
-    sample = sample.toPandas().drop_duplicates("id").sort_values("id", ignore_index=True)  # bounded by sample_rows
+    sample = sample.groupBy("id", *[f"y{i}" for i in range(len(categories))]).agg(F.min("words").alias("words"))  # one row of an id that repeats
+    sample = sample.toPandas().sort_values("id", ignore_index=True)  # bounded by sample_rows
     found = [np.frombuffer(x, dtype=np.uint64) for x in sample["words"]]
     h = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
     doc = np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64)
