@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = rows.join(wanted, "id").mapInArrow(_set_rows(shingle), "rep long, items binary").dropDuplicates(["rep"])
     sets = cut(sets.join(classes.select("rep", "sketch"), "rep"))
-    counts = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    # Counts are cut off before they are joined: a join of two plain exchanges is one that Spark can split where a hub is frequent.
+    counts = cut(members.groupBy("hub").agg(F.count(F.lit(1)).alias("size")))
     placed = members.join(counts, "hub").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
     placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("rep", "hub"), "blocks")))
     link = _link_unit(percent)
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = cut(linked(small.unionByName(star)))
     # What did not link with its hub meets every block of the cluster.
     near = first.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct()
-    out = large.filter("rep <> hub").join(near, ["hub", "rep"], "left_anti").select("hub", "rep")
-    out = out.join(out.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")), "hub")
+    out = cut(large.filter("rep <> hub").join(near, ["hub", "rep"], "left_anti").select("hub", "rep"))
+    out = out.join(cut(out.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))), "hub")
     out = cut(out.withColumn("x", F.pmod(F.xxhash64("rep", "hub", F.lit(1)), "parts")).select("hub", "x", "rep"))
     meets = out.select("hub", "x").distinct().join(large.select("hub", F.col("block").alias("y")).distinct(), "hub")
     left = meets.join(out, ["hub", "x"]).select("hub", "x", "y", F.lit(0).alias("side"), "rep")
