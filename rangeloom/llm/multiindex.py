@@ -2,8 +2,9 @@
 
 Unit vectors are cut in halves, each with its own codebook (k-means on a bounded sample); a pair of codes is a cell of
 the product grid and every vector is filed in one. A multi-sequence traversal visits cells in ascending distance to the
-vector, as many as brute force over a sample of queries says are needed for the target recall. Pairs met in a visited cell are
-verified in double precision. Equal vectors are one class of the index; cells with many members are cut in blocks.
+vector, as many as a sample of queries needs for the target recall, of its links by brute force and of made-up partners at the
+least cosine that links. Pairs met in a visited cell are verified in double precision. A vector is sent once to each region
+of cells that it visits. Equal vectors are one class of the index; regions with many members are cut in blocks.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from .components import connected, forest
 from .store import cut
 
-#: Classes in a block, about.
-BLOCK = 768
+#: Classes in a block of members of a region, about; visitors in a block; visitors that meet a cell's members at a time.
+BLOCK, GUESTS, SLICE = 3072, 12288, 2048
+#: Made-up partners per sample query.
+PARTNERS = 8
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -62,6 +65,20 @@ class Grid:
         one, two = self.distances(x)
         return one.argmin(axis=1) * self.size + two.argmin(axis=1)
 
+    def region(self, cells: np.ndarray, span: int) -> np.ndarray:
+        """Cells of one first code and ``span`` neighbouring second ones are a region."""
+        return cells // self.size * -(-self.size // span) + cells % self.size // span
+
+    def visits_to(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many visits a row takes to see a cell for certain: the cells no farther than it, ties included."""
+        out = np.zeros(len(x), dtype=np.int64)
+        for at in range(0, len(x), 1024):
+            one, two = self.distances(x[at : at + 1024])
+            for k, c in enumerate(cells[at : at + 1024]):
+                i, j = divmod(int(c), self.size)
+                out[at + k] = np.searchsorted(np.sort(two[k]), one[k, i] + two[k, j] - one[k] + 1e-12, side="right").sum()
+        return out
+
     def traversal(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The ``visits`` cells nearest to each row, nearest first (rows, visits).
 
@@ -79,47 +96,86 @@ class Grid:
         return np.take_along_axis(i, best, axis=1) * self.size + np.take_along_axis(j, best, axis=1)
 
 
-def _rank_rows(grid: Grid, queries: np.ndarray, width: int, level: float) -> callable:
-    """How far down the traversals of the sample queries the cells of their true links lie: (rank, links) per task."""
-    order = np.argsort(grid.traversal(queries, len(grid.books[0]) * grid.size), axis=1)
+def _rank_rows(grid: Grid, reps: np.ndarray, queries: np.ndarray, width: int, level: float) -> callable:
+    """How many visits of the sample queries their true links (never a query with itself) take: (visits, links) per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(order.shape[1], dtype=np.int64)
+        held: dict[int, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                x = _vectors(batch.column("embedding").slice(at, 4096), width)
-                q, y = np.nonzero(queries @ x.T >= level)
-                total += np.bincount(order[q, grid.cell(x)[y]], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["rank", "links"])
+                part = batch.slice(at, 4096)
+                x = _vectors(part.column("embedding"), width)
+                q, y = np.nonzero((queries @ x.T >= level) & (reps[:, None] != part.column("rep").to_numpy()[None, :]))
+                pairs, links = np.unique(np.stack([q, grid.cell(x)[y]], axis=1), axis=0, return_counts=True)
+                for k, count in zip(grid.visits_to(queries[pairs[:, 0]], pairs[:, 1]), links, strict=True):
+                    held[int(k)] = held.get(int(k), 0) + int(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["visits", "links"])
+
+    return run
+
+
+def partner_visits(grid: Grid, queries: np.ndarray, level: float, seed: int = 7) -> np.ndarray:
+    """The visits that find made-up partners at cosine ``level`` exactly, the hardest links there are, from either side."""
+    rng = np.random.default_rng(seed)
+    x = np.repeat(queries, PARTNERS, axis=0)
+    aside = rng.standard_normal(x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    y = level * x + max(0.0, 1 - level * level) ** 0.5 * aside
+    return np.minimum(grid.visits_to(x, grid.cell(y)), grid.visits_to(y, grid.cell(x)))
+
+
+def _places(grid: Grid, x: np.ndarray, visits: int, span: int) -> tuple[np.ndarray, ...]:
+    """(seen cells by region, places in them where a row's next region begins, their regions, own cells, own regions)."""
+    seen = grid.traversal(x, visits)
+    region = grid.region(seen, span)
+    order = np.argsort(region, axis=1, kind="stable")
+    seen, region = np.take_along_axis(seen, order, axis=1), np.take_along_axis(region, order, axis=1)
+    new = np.ones(region.shape, dtype=bool)
+    new[:, 1:] = region[:, 1:] != region[:, :-1]
+    begin = np.flatnonzero(new)
+    home = grid.cell(x)
+    return seen, begin, region.ravel()[begin], home, grid.region(home, span)
+
+
+def _count_rows(grid: Grid, visits: int, span: int, width: int) -> callable:
+    """(region, side, rows) of what ``_file_rows`` files, per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                _, _, visited, _, own = _places(grid, _vectors(batch.column("embedding").slice(at, 2048), width), visits, span)
+                for side, regions in enumerate((visited, own)):
+                    region, n = np.unique(regions, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(region), side, dtype=np.int32)), pa.array(n)], names=["region", "side", "rows"])
 
     return run
 
 
-def _file_rows(grid: Grid, visits: int, width: int) -> callable:
-    """Each class once for its own cell (side 1) and once for each visited cell (side 0)."""
+def _file_rows(grid: Grid, visits: int, span: int, width: int) -> callable:
+    """Each class once for the region of its own cell (side 1, with all cells it visits) and once for each region it visits (side 0, with the cells there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _vectors(part.column("embedding"), width)
-                n, home, seen = len(x), grid.cell(x), grid.traversal(x, visits)
-                rows = np.concatenate([np.repeat(np.arange(n), seen.shape[1]), np.arange(n)])
-                cell = np.concatenate([seen.ravel(), home])
-                side = np.concatenate([np.zeros(seen.size, dtype=np.int32), np.ones(n, dtype=np.int32)])
-                path = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * seen.shape[1]).astype(np.int32)), pa.array(seen.ravel()))
+                seen, begin, visited, home, own = _places(grid, x, visits, span)
+                n, k = seen.shape
+                rows = np.concatenate([begin // k, np.arange(n)])
+                side = np.concatenate([np.zeros(len(begin), dtype=np.int32), np.ones(n, dtype=np.int32)])
+                path = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, n * k + np.arange(n + 1) * k]).astype(np.int32)), pa.array(np.tile(seen.ravel(), 2).astype(np.int32)))
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), part.column("rep").take(take), part.column("mult").take(take), pa.array(home[rows]), path.take(take), part.column("embedding").take(take)], names=["cell", "side", "rep", "mult", "home", "path", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([visited, own])), pa.array(side), part.column("rep").take(take), part.column("mult").take(take), pa.array(home[rows]), path, part.column("embedding").take(take)], names=["region", "side", "rep", "mult", "home", "path", "embedding"])
 
     return run
 
 
 def _unit(width: int, level: float) -> callable:
-    """Verified links of a block of visitors (side 0) with a block of a cell's members (side 1).
+    """Verified links of a block of a region's visitors (side 0) with a block of its members (side 1), cell by cell.
 
     A visitor counts what it finds; a member counts the visitors whose own cell it does not visit itself, as it can't find
-    them. Rows: (a, b null, links of a) and a spanning forest (a, b, null).
+    them. Rows: (a, b null, links of a) and a spanning forest per cell and slice of visitors (a, b, null).
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -131,17 +187,37 @@ def _unit(width: int, level: float) -> callable:
             return schema.empty_table()
         x = _vectors(table.column("embedding"), width)
         rep, mult, home = (table.column(c).to_numpy() for c in ("rep", "mult", "home"))
-        path = np.stack(table.column("path").to_pylist())
-        links = (x[v] @ x[m].T >= level) & (rep[v][:, None] != rep[m][None, :])
-        cells, number = np.unique(home[v], return_inverse=True)
-        blind = ~np.stack([(path[m] == c).any(axis=1) for c in cells])  # cells of visitors that members don't visit
-        found = links @ mult[m]
-        missed = (links & blind[number]).T @ mult[v]
-        i, j = forest(links)
-        a = np.concatenate([rep[v][found > 0], rep[m][missed > 0], rep[v[i]]])
+        path = table.column("path").chunk(0)
+        at, cells = path.offsets.to_numpy().astype(np.int64), path.values.to_numpy()
+        size = np.diff(at)
+        visitor = np.repeat(v, size[v])
+        cell = cells[np.arange(len(visitor)) - np.repeat(np.cumsum(size[v]) - size[v], size[v]) + np.repeat(at[v], size[v])]
+        order = np.argsort(cell, kind="stable")
+        visitor, cell = visitor[order], cell[order]
+        m = m[np.argsort(home[m], kind="stable")]
+        begin = np.flatnonzero(np.append(True, home[m][1:] != home[m][:-1]))
+        found, missed, pairs = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64), []
+        for lo, hi in zip(begin, np.append(begin[1:], len(m)), strict=True):
+            y = m[lo:hi]
+            guests = visitor[slice(*np.searchsorted(cell, [home[y[0]], home[y[0]] + 1]))]
+            for cut_at in range(0, len(guests), SLICE):
+                g = guests[cut_at : cut_at + SLICE]
+                links = (x[g] @ x[y].T >= level) & (rep[g][:, None] != rep[y][None, :])
+                g, links = g[links.any(axis=1)], links[links.any(axis=1)]
+                if not len(g):
+                    continue
+                own, number = np.unique(home[g], return_inverse=True)
+                paths = cells[at[y][:, None] + np.arange(size[y[0]])]
+                blind = ~np.stack([(paths == c).any(axis=1) for c in own])  # cells of visitors that members don't visit
+                found[g] += links @ mult[y]
+                missed[y] += (links & blind[number]).T @ mult[g]
+                i, j = forest(links)
+                pairs.append((rep[g[i]], rep[y[j]]))
+        one, two = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        a = np.concatenate([rep[found > 0], rep[missed > 0], one])
         none = int((found > 0).sum() + (missed > 0).sum())
-        b = pa.array(np.concatenate([np.zeros(none, dtype=np.int64), rep[m[j]]]), mask=np.arange(len(a)) < none)
-        count = pa.array(np.concatenate([found[found > 0], missed[missed > 0], np.zeros(len(i), dtype=np.int64)]).astype(np.int64), mask=np.arange(len(a)) >= none)
+        b = pa.array(np.concatenate([np.zeros(none, dtype=np.int64), two]), mask=np.arange(len(a)) < none)
+        count = pa.array(np.concatenate([found[found > 0], missed[missed > 0], np.zeros(len(one), dtype=np.int64)]), mask=np.arange(len(a)) >= none)
         return pa.table([pa.array(a.astype(np.int64)), b, count], schema=schema)
 
     return run
@@ -152,13 +228,15 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest id reachable, ``kept`` marks that
     row. Codebooks are fitted on at most ``sample_rows`` classes of least hash; every row is indexed. The cells visited are
-    as many as give ``recall`` of the true links of ``query_rows`` sample queries against all rows, and as many again.
+    as many as give ``recall`` of the true links of ``query_rows`` sample queries against all other rows and, as these may
+    have few or only close ones, of made-up partners of the queries at cosine ``level`` exactly; and as many again.
     Null, zero and non-finite vectors link with nothing; vectors of different lengths are compared as if padded with
     zeros. Rows of null id link with nothing, have a null component and are kept. Rows that repeat an id count as
     separate rows of one node. An empty table gives no rows; other columns are ignored.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = "array<float>" if dict(table.dtypes)[vector_col] == "array<float>" else "array<double>"  # widened where it is compared
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding"))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = cut(rows.withColumn("embedding", F.when(sound & F.col("id").isNotNull(), F.col("embedding"))).withColumn("h", F.xxhash64("embedding")))
     classes = rows.filter("embedding is not null").groupBy("embedding", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))
@@ -166,24 +244,27 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     n, width = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     width += width % 2
     if n > 1:
-        sample = classes.orderBy(F.xxhash64("h"), "rep").limit(sample_rows).select("embedding").toArrow()  # bounded by sample_rows
+        sample = classes.orderBy(F.xxhash64("h"), "rep").limit(sample_rows).select("rep", "embedding").toArrow()  # bounded by sample_rows
         points = _vectors(sample.column("embedding"), width)
         grid = Grid(points, max(2, min(1024, int((n / per_cell) ** 0.5))))
-        ranks = classes.select("embedding").mapInArrow(_rank_rows(grid, points[:query_rows], width, level), "rank long, links long").groupBy("rank").agg(F.sum("links").alias("links"))
-        ranks = ranks.toPandas().sort_values("rank")  # at most as many as cells
-        share = ranks["links"].cumsum() / max(1, ranks["links"].sum())
-        visits = int(ranks["rank"][share >= recall].min()) + 1
+        queries = points[:query_rows]
+        needs = classes.select("rep", "embedding").mapInArrow(_rank_rows(grid, sample.column("rep").to_numpy()[:query_rows], queries, width, level), "visits long, links long").groupBy("visits").agg(F.sum("links").alias("links"))
+        needs = needs.toPandas().sort_values("visits")  # at most as many as cells
+        visits = int(np.quantile(partner_visits(grid, queries, level), min(1.0, recall), method="higher"))
+        if len(needs):
+            share = needs["links"].cumsum() / needs["links"].sum()
+            visits = max(visits, int(needs["visits"][share >= min(1.0, recall)].min()))
         visits = min(len(grid.books[0]) * grid.size, 2 * visits)
-        filed = classes.select("rep", "mult", "embedding").mapInArrow(_file_rows(grid, visits, width), "cell long, side int, rep long, mult long, home long, path array<long>, embedding array<double>")
-        sizes = classes.select("rep", "mult", "embedding").mapInArrow(_file_rows(grid, visits, width), "cell long, side int, rep long, mult long, home long, path array<long>, embedding array<double>")
-        sizes = sizes.groupBy("cell", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).groupBy("cell").agg(F.max(F.when(F.col("side") == 0, F.col("blocks"))).alias("v"), F.max(F.when(F.col("side") == 1, F.col("blocks"))).alias("m"))
+        span = max(1, BLOCK // per_cell)
+        filed = classes.select("rep", "mult", "embedding").mapInArrow(_file_rows(grid, visits, span, width), f"region long, side int, rep long, mult long, home long, path array<int>, embedding {kind}")
+        sizes = classes.select("embedding").mapInArrow(_count_rows(grid, visits, span, width), "region long, side int, rows long").groupBy("region").agg(*[F.ceil(F.sum(F.when(F.col("side") == side, F.col("rows"))) / most).cast("int").alias(c) for side, most, c in ((0, GUESTS, "v"), (1, BLOCK, "m"))])
         sizes = cut(sizes.filter("v is not null and m is not null"))
-        placed = filed.join(sizes, "cell")
-        mine = F.pmod(F.xxhash64("rep", "cell"), F.when(F.col("side") == 0, F.col("v")).otherwise(F.col("m"))).cast("int")
+        placed = filed.join(sizes, "region")
+        mine = F.pmod(F.xxhash64("rep", "region"), F.when(F.col("side") == 0, F.col("v")).otherwise(F.col("m"))).cast("int")
         facing = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("m")).otherwise(F.col("v")) - 1))
         placed = placed.withColumn("mine", mine).withColumn("facing", facing)
         placed = placed.withColumn("x", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("facing"))).withColumn("y", F.when(F.col("side") == 0, F.col("facing")).otherwise(F.col("mine")))
-        found = cut(placed.select("cell", "x", "y", "side", "rep", "mult", "home", "path", "embedding").groupBy("cell", "x", "y").applyInArrow(_unit(width, level), "a long, b long, links long"))
+        found = cut(placed.select("region", "x", "y", "side", "rep", "mult", "home", "path", "embedding").groupBy("region", "x", "y").applyInArrow(_unit(width, level), "a long, b long, links long"))
         counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
         groups = connected(found.filter("b is not null"), "a", "b").select(F.col("node").alias("rep"), "component")
     else:

@@ -233,6 +233,21 @@ def test_vectors(spark, monkeypatch):
     assert rows(near_vectors(same)) == [(2, 2, 2, True), (4, 2, 2, False), (9, 2, 2, False)]
 
 
+def test_sparse_links_are_found(spark):
+    """Few planted pairs near the least cosine, none among the sample queries."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.standard_normal((100, 64))
+    aside -= (aside * x[:100]).sum(axis=1, keepdims=True) * x[:100]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.905 * x[:100] + (1 - 0.905**2) ** 0.5 * aside])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_vectors(df, query_rows=64, per_cell=16).collect()}
+    assert sum(got[i].n_links + got[3000 + i].n_links for i in range(100)) >= 198
+    assert sum(r.n_links for r in got.values()) <= 200
+
+
 def test_traversal_is_nearest_first():
     x = vectors(120, 4).astype(np.float64)
     grid = Grid(x, 5)
