@@ -95,6 +95,15 @@ def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 OVERLAPPING = "WITH ranges AS (SELECT o_orderkey AS partition_id, o_orderkey AS min_id, o_orderkey + 1 + o_custkey % 190 AS max_id FROM orders WHERE o_orderkey % 50 = 0)\n"
 
 
+def every_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``overlapping``, but a range of every order, 50 ids apart."""
+    low = F.col("o_orderkey") * 50
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("partition_id"), low.alias("min_id"), (low + 1 + F.col("o_custkey") % 190).alias("max_id"))
+
+
+EVERY_ORDER = "WITH ranges AS (SELECT o_orderkey AS partition_id, o_orderkey * 50 AS min_id, o_orderkey * 50 + 1 + o_custkey % 190 AS max_id FROM orders)\n"
+
+
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).filter("worker_id <> ''").select("worker_id").distinct()
 
@@ -328,11 +337,21 @@ def gaps_adjacent_overlap(spark, sf_dir):
     return gaps.gaps_adjacent(overlapping(spark, sf_dir))
 
 
+@query(ORACLES["gaps_adjacent_overlap"].replace(OVERLAPPING, EVERY_ORDER))
+def gaps_adjacent_every_order(spark, sf_dir):
+    return gaps.gaps_adjacent(every_order(spark, sf_dir))
+
+
 @query(OVERLAPPING + "SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt")
 def gaps_covered_overlap(spark, sf_dir):
     return gaps.gaps_covered(overlapping(spark, sf_dir))
 
 
+@query(ORACLES["gaps_covered_overlap"].replace(OVERLAPPING, EVERY_ORDER))
+def gaps_covered_every_order(spark, sf_dir):
+    return gaps.gaps_covered(every_order(spark, sf_dir))
+
+
 _FILL = """, cut AS (SELECT g.start_id, g.end_id FROM gaps g), tiles AS (SELECT a AS min_id, least(a + 39, end_id) AS max_id FROM (SELECT end_id, unnest(generate_series(start_id, end_id, 40)) AS a FROM cut)),
 kept AS (SELECT * FROM tiles t WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey > t.min_id AND l_orderkey <= t.max_id))
 SELECT 1000 + row_number() OVER (ORDER BY min_id) - 1 AS partition_id, min_id, max_id FROM kept"""
@@ -343,6 +362,12 @@ def gap_fill_plan(spark, sf_dir):
     return gaps.split_gaps(gaps.gaps_covered(overlapping(spark, sf_dir)), read(spark, sf_dir, "lineitem"), "l_orderkey", size=40, next_id=1000)
 
 
+@query(ORACLES["gap_fill_plan"].replace(OVERLAPPING, EVERY_ORDER + ", items AS (SELECT l_orderkey * 50 + l_linenumber * 7 AS id FROM lineitem)").replace("lineitem WHERE l_orderkey > t.min_id AND l_orderkey <= t.max_id", "items WHERE id > t.min_id AND id <= t.max_id"))
+def gap_fill_every_order(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 50 + F.col("l_linenumber") * 7).alias("id"))
+    return gaps.split_gaps(gaps.gaps_covered(every_order(spark, sf_dir)), items, "id", size=40, next_id=1000)
+
+
 @query(RANGES + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt, lead(partition_id) OVER (ORDER BY min_id) AS np FROM ranges) WHERE max_id + 1 < nxt AND (partition_id > 200 OR np > 200)")
 def gaps_incremental(spark, sf_dir):
     return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200)
@@ -360,6 +385,14 @@ def adjacent_ranges(spark, sf_dir):
     return gaps.adjacent_ranges(probes, overlapping(spark, sf_dir))
 
 
+@query()
+def adjacent_every_order(spark, sf_dir):
+    """A probe of every order; the SQL twin would join every probe with every range, tests compare with a plain model."""
+    ranges = every_order(spark, sf_dir)
+    probes = ranges.select(F.col("partition_id").alias("probe_id"), F.col("partition_id").alias("self_id"), "min_id", "max_id")
+    return gaps.adjacent_ranges(probes, ranges)
+
+
 @query(RANGES + """, n AS (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges), first_break AS (SELECT min(min_id) AS place FROM n WHERE nxt IS NOT NULL AND max_id + 1 < nxt)
 SELECT coalesce(max(max_id), 0) AS confirmed_max_id FROM ranges WHERE min_id < coalesce((SELECT place FROM first_break), (SELECT max(min_id) FROM ranges))""")
 def contiguous_prefix(spark, sf_dir):
@@ -686,6 +719,13 @@ def range_overlaps(spark, sf_dir):
     return gaps.overlaps(overlapping(spark, sf_dir), others, size=100)
 
 
+@query(EVERY_ORDER + ", others AS (SELECT c_custkey AS partition_id, c_custkey * 500 AS min_id, c_custkey * 500 + c_custkey % 400 AS max_id FROM customer) SELECT a.partition_id AS a_id, b.partition_id AS b_id FROM ranges a JOIN others b ON a.min_id <= b.max_id AND b.min_id <= a.max_id")
+def range_overlaps_every_order(spark, sf_dir):
+    low = F.col("c_custkey") * 500
+    others = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("partition_id"), low.alias("min_id"), (low + F.col("c_custkey") % 400).alias("max_id"))
+    return gaps.overlaps(every_order(spark, sf_dir), others, size=100)
+
+
 @query("WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem), n AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ids) SELECT id + 1 AS start_id, nxt - 1 AS end_id FROM n WHERE id + 1 < nxt AND NOT (id + 1 <= 400 AND nxt - 1 <= 400)")
 def gaps_unconfirmed(spark, sf_dir):
     return gaps.unconfirmed(gaps.id_gaps(read(spark, sf_dir, "lineitem"), "l_orderkey"), 400)

@@ -7,6 +7,7 @@ from conftest import rows
 
 from rangeloom.operators import gaps
 from rangeloom.operators.neighbours import ordinal, running, with_next
+from rangeloom.plans import catalogue
 
 RANGES = "partition_id long, min_id long, max_id long"
 
@@ -112,3 +113,22 @@ def test_prefix(spark):
     assert rows(gaps.contiguous_prefix(frame(spark, [(1, 10), (11, 20), (21, 30), (41, 50)]))) == [(20,)]
     assert rows(gaps.contiguous_prefix(frame(spark, [(1, 10), (11, 20), (21, 30)]))) == [(20,)]
     assert rows(gaps.contiguous_prefix(frame(spark, []))) == [(0,)]
+
+
+def test_every_order_is_a_range_and_a_probe(spark, tmp_path):
+    """No order is left out of the inputs; neighbours against a plain model."""
+    rng = random.Random(6)
+    orders = [(i, rng.randrange(400)) for i in range(301) if rng.random() < 0.8]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    ranges = [(i, i * 50, i * 50 + 1 + c % 190) for i, c in orders]
+    assert rows(catalogue.every_order(spark, str(tmp_path))) == ranges
+    want = []
+    for pid, low, high in ranges:
+        others = [r for r in ranges if r[0] != pid]
+        before = None if any(a <= low <= b for _, a, b in others) else max(((b, p) for p, a, b in others if b < low), default=(0, None))[1]
+        after = None if any(a <= high <= b for _, a, b in others) else min(((a, p) for p, a, b in others if a > high), default=(0, None))[1]
+        want.append((pid, before, after))
+    assert {(r.probe_id, r.prev_id, r.next_id) for r in catalogue.adjacent_every_order(spark, str(tmp_path)).collect()} == set(want)
+    covered = {x for _, a, b in ranges for x in range(a, b + 1)}
+    missed = {x for r in catalogue.gaps_covered_every_order(spark, str(tmp_path)).collect() for x in range(r.start_id, r.end_id + 1)}
+    assert missed == set(range(min(covered), max(a for _, a, _ in ranges))) - covered
