@@ -485,6 +485,17 @@ def acquire_outcomes(spark, sf_dir):
     return transitions.acquire(ledger(spark, sf_dir), _requests(spark, sf_dir), now())
 
 
+_REQUESTS_EVERY = ", requests AS (SELECT c_custkey AS request_id, c_custkey % (SELECT max(user_id) + 1 FROM events) AS partition_id, 'worker-' || (c_custkey % 7) AS worker_id FROM customer)\n"
+
+
+@query(ORACLES["acquire_outcomes"].replace(_REQUESTS, _REQUESTS_EVERY))
+def acquire_every_customer(spark, sf_dir):
+    """A request of every customer, over all ids of the ledger."""
+    ids = read(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0]
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % F.lit(ids)).alias("partition_id"), F.concat(F.lit("worker-"), (F.col("c_custkey") % 7).cast("string")).alias("worker_id"))
+    return transitions.acquire(ledger(spark, sf_dir), rows, now())
+
+
 def _release_sql(owner_kept: str) -> str:
     return LEDGER + f"""SELECT partition_id, CASE WHEN status IN ('completed', 'failed') THEN status ELSE 'pending' END AS status, CASE WHEN status IN ({owner_kept}) THEN worker_id ELSE '' END AS worker_id,
 CASE WHEN status = 'completed' THEN last_heartbeat END AS last_heartbeat FROM ledger WHERE worker_id <> ''"""
@@ -533,6 +544,26 @@ def create_if_absent_simple(spark, sf_dir):
     return _create(spark, sf_dir, "simple")
 
 
+_CREATE_EVERY = _CREATE.replace(" WHERE o_orderkey < 400", "")
+
+
+def _create_every(spark, sf_dir, mode):
+    """A range asked for by every order."""
+    key = F.col("o_orderkey")
+    wanted = read(spark, sf_dir, "orders").select(key.alias("partition_id"), (key * 100 + 1).alias("min_id"), ((key + 1) * 100 + F.when(key % 9 == 0, 50).otherwise(0)).alias("max_id"))
+    return transitions.create_if_absent(ledger(spark, sf_dir), wanted, mode=mode)
+
+
+@query(ORACLES["create_if_absent_hash"].replace(_CREATE, _CREATE_EVERY))
+def create_every_order_hash(spark, sf_dir):
+    return _create_every(spark, sf_dir, "hash")
+
+
+@query(ORACLES["create_if_absent_simple"].replace(_CREATE, _CREATE_EVERY))
+def create_every_order_simple(spark, sf_dir):
+    return _create_every(spark, sf_dir, "simple")
+
+
 @query(_plan_sql(70) .replace("SELECT 1 + i AS partition_id", ", p AS (SELECT 1 + i AS partition_id").replace(" FROM i", " FROM i) SELECT *, (partition_id - 1) // 50 + 1 AS batch_no FROM p", 1).replace("FROM b)\n, p", "FROM b), p"))
 def create_batches(spark, sf_dir):
     return transitions.batches(_plan(spark, sf_dir, 70))

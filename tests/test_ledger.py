@@ -1,5 +1,6 @@
 """Filters, statistics, transitions, archive."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,8 +8,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rangeloom.operators import archive, ledger, transitions
+from rangeloom.plans import catalogue
 from rangeloom.sources import tables
 
+DATA = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 31)
 SCHEMA = "partition_id long, min_id long, max_id long, worker_id string, last_heartbeat timestamp_ntz, status string, updated_at timestamp_ntz, version long, error string, created_at timestamp_ntz"
 
@@ -132,3 +135,13 @@ def test_sinks(spark, tmp_path):
     assert rows(tables.keys_like(keys, "a_?", "p:")) == [("a_1",)]
     assert tables.queue_head(spark.createDataFrame([("x", 2.0), ("y", 1.0)], "item string, score double"), 1).first().item == "y"
     assert tables.queue_head(keys.withColumn("score", F.lit(1)), 0, tie="key").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_every_order_and_customer_asks(spark):
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    made = catalogue.create_every_order_hash(spark, DATA)
+    assert rows(made.select("partition_id")) == rows(read("orders").select("o_orderkey"))
+    asked = catalogue.acquire_every_customer(spark, DATA)
+    assert rows(asked.select("request_id")) == rows(read("customer").select("c_custkey"))
+    assert {r[0] for r in asked.select("partition_id").collect()} >= {r[0] for r in read("events").select("user_id").collect()}
