@@ -18,11 +18,18 @@ from rangeloom.llm.store import ensure_checkpoint_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``row_key``: equal only for rows of the same id, or of none, and the same text."""
+    text = F.concat(F.when(F.col("text").isNull(), "n").otherwise("t"), F.coalesce("text", F.lit("")))
+    return docs.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows that repeat an id go together only if all of them are rejected."""
+    """Documents that the quality rules reject go, each row by its own verdict, whatever its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = quality_rules(docs, labels).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = keyed(docs)
+    kept = quality_rules(docs, labels, carry=("row_key",)).filter("kept").select("row_key").distinct()
+    return docs.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 13-word passages go from all documents but the first; a document of which no word is left goes too."""
-    cut = repeated_passages(docs.filter("doc_id is not null"), k=13, full=True).filter("n_removed > 0").select("doc_id", F.col("text").alias("left_text"), (F.col("n_words") > F.col("n_removed")).alias("stays")).dropDuplicates(["doc_id"])
-    out = docs.join(cut, "doc_id", "left").filter(F.coalesce("stays", F.lit(True)))
-    text = F.coalesce("left_text", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("left_text").isNull(), F.col("n_chars")).otherwise(F.char_length("left_text").cast("long")).alias("n_chars"))
+    rows = repeated_passages(docs.withColumn("no_text", F.col("text").isNull()), k=13, full=True, carry=("lang", "source", "n_chars", "no_text"))
+    touched = F.col("n_removed") > 0
+    rows = rows.filter(~touched | (F.col("n_words") > F.col("n_removed")))
+    return rows.select("doc_id", F.when(~F.col("no_text"), F.col("text")).alias("text"), "lang", "source", F.when(touched, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,10 +49,11 @@ def _bits(mask: np.ndarray) -> bytes:
 class Chunk:
     """The documents of a chunk in ascending order of id (null ids last) and their distinct edges by hash."""
 
-    def __init__(self, table: pa.Table, k: int, buckets: int):
-        table = table.select(["id", "text"]).combine_chunks().sort_by("id")
+    def __init__(self, table: pa.Table, k: int, buckets: int, carry: tuple[str, ...] = ()):
+        table = table.select(["id", "text", *carry]).combine_chunks().sort_by("id")
         self.k = k
         self.ids = table.column("id")
+        self.carried = [table.column(c) for c in carry]
         known = self.ids.is_valid().to_numpy()
         self.known = known
         self.id = self.ids.fill_null(0).to_numpy()
@@ -171,14 +172,15 @@ SPANS = "array<struct<start:long,length:long,source_id:long,source_start:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
 
 
-def _settle(k: int, buckets: int, full: bool) -> callable:
+def _settle(k: int, buckets: int, full: bool, carry: tuple[str, ...] = ()) -> callable:
     schema = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema([*schema, ("text", pa.string()), ("spans", _SPAN)] if full else schema)
+    schema = [*schema, ("text", pa.string()), ("spans", _SPAN)] if full else schema
 
     def run(texts: pa.Table, routes: pa.Table) -> pa.Table:
+        kinds = pa.schema([*schema, *((c, texts.schema.field(c).type) for c in carry)])
         if not texts.num_rows:
-            return schema.empty_table()
-        chunk = Chunk(texts, k, buckets)
+            return kinds.empty_table()
+        chunk = Chunk(texts, k, buckets, carry)
         t, n = chunk.texts, len(chunk.first)
         own = chunk.source[chunk.edge_of] if n else np.zeros(0, dtype=np.int64)
         hit = chunk.before(chunk.doc[own], chunk.doc) if n else np.zeros(0, dtype=bool)
@@ -209,7 +211,7 @@ def _settle(k: int, buckets: int, full: bool) -> callable:
         columns = [chunk.ids.combine_chunks() if isinstance(chunk.ids, pa.ChunkedArray) else chunk.ids, pa.array(t.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string())]
         if full:
             columns += [_remaining(t, covered), _spans(chunk, at, source_id, source_at)]
-        return pa.table(columns, schema=schema)
+        return pa.table([*columns, *chunk.carried], schema=kinds)
 
     return run
 
@@ -271,17 +273,17 @@ def _chunk_of(column: Column, text: Column, bounds: list[int]) -> Column:
     return F.when(column.isNull(), n + 1 + F.pmod(F.xxhash64(text), F.lit(n + 1))).otherwise(found).cast("long")
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, chunk_bytes: int = 4 << 20, full: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, chunk_bytes: int = 4 << 20, full: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) per row; with ``full`` also the remaining text and the verified spans.
 
     A word is removed if it lies in a ``k``-word window whose words also start in a document of smaller id. Windows are
     judged on the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null or empty text has none (its digest is that
     of the empty string). Rows of equal id don't remove from each other; rows of null id count as larger than all others
     and as equal to each other. ``text`` keeps the layout of what is left. ``chunk_bytes`` of text go to a chunk, about;
-    texts are never cut. An empty table gives no rows; other columns are ignored.
+    texts are never cut. An empty table gives no rows; the columns of ``carry`` go along with their row, others are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
     size, count = rows.agg(F.sum(F.octet_length("text")), F.count("id")).first()
     width = shuffle_width(spark)
     n = max(1, math.ceil((size or 0) / chunk_bytes), min(width, math.ceil((size or 0) / (chunk_bytes / 8))))
@@ -290,10 +292,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     null_chunk = len(bounds) + 1
     buckets = 2 * width
     rows = rows.withColumn("chunk", _chunk_of(F.col("id"), F.col("text"), bounds))
-    chunks = rows.groupBy("chunk")
+    chunks = rows.select("id", "text", "chunk").groupBy("chunk")
     edges = chunks.applyInArrow(_send(k, buckets), "bucket long, chunk long, edges binary")
     asks = edges.groupBy("bucket").applyInArrow(_ask(null_chunk), "chunk long, bucket long, asked binary")
     answers = chunks.cogroup(asks.groupBy("chunk")).applyInArrow(_answer(k, buckets), "bucket long, chunk long, ids binary, places binary, checks binary")
     routes = edges.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_route(null_chunk), "chunk long, bucket long, flagged binary, ids binary, places binary, checks binary")
     out = "id long, n_words long, n_removed long, kept_sha256 string" + (f", text string, spans {SPANS}" if full else "")
-    return chunks.cogroup(routes.groupBy("chunk")).applyInArrow(_settle(k, buckets, full), out).withColumnRenamed("id", id_col)
+    kinds = dict(rows.dtypes)
+    out = ", ".join([out, *(f"{c} {kinds[c]}" for c in carry)])
+    return rows.groupBy("chunk").cogroup(routes.groupBy("chunk")).applyInArrow(_settle(k, buckets, full, carry), out).withColumnRenamed("id", id_col)

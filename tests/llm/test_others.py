@@ -314,3 +314,24 @@ def test_pipeline(spark, tokenizer):
     assert mixed.columns == list(corpus_pipeline.COLUMNS)
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def _docs(spark, items):
+    return spark.createDataFrame([(i, t, "en", f"s{n}", len(t) if t is not None else None) for n, (i, t) in enumerate(items)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _words(seed, n):
+    return " ".join(f"w{seed}x{i}" for i in range(n))
+
+
+def test_stages_keep_rows_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    docs = _docs(spark, [(1, _words(1, 40)), (None, _words(2, 40)), (None, "short"), (3, "short"), (3, _words(3, 40)), (None, None)])
+    got = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert rows(got.select("source")) == [("s0",), ("s1",), ("s4",)]
+    docs = _docs(spark, [(1, _words(1, 40)), (None, _words(1, 20) + " " + _words(2, 5)), (None, _words(1, 40)), (None, None)])
+    got = {r.source: r for r in stages["substring_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {"s0", "s1", "s3"} and got["s1"].text == _words(2, 5) and got["s1"].n_chars == len(_words(2, 5)) and got["s3"].text is None
