@@ -13,7 +13,8 @@ from rangeloom.llm.mixing import mix_sources
 from rangeloom.llm.packing import pack
 from rangeloom.llm.quality import quality_rules
 from rangeloom.llm.queries import tokenizer_path
-from rangeloom.llm.store import ensure_checkpoint_dir
+from rangeloom.llm.store import cut, ensure_checkpoint_dir
+from rangeloom.operators.neighbours import ordinal
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,9 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
-    gone = near_duplicates(docs, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each near-duplicate group stays: that of the smallest id. Texts that share an id are documents of their own."""
+    docs = keyed(docs)
+    texts = cut(docs.filter("doc_id is not null").select("doc_id", "row_key").distinct())
+    if texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.withColumn("row_id", F.col("doc_id"))
+    else:
+        places = cut(ordinal(texts, "doc_id", "row_id")).select("row_key", "row_id")
+        docs = docs.join(places, "row_key", "left")
+    gone = near_duplicates(docs, id_col="row_id", shingle=5, percent=80).filter("not kept").select("row_id").distinct()
+    return docs.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

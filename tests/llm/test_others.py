@@ -335,3 +335,15 @@ def test_stages_keep_rows_without_id(spark, tmp_path):
     docs = _docs(spark, [(1, _words(1, 40)), (None, _words(1, 20) + " " + _words(2, 5)), (None, _words(1, 40)), (None, None)])
     got = {r.source: r for r in stages["substring_dedup"](spark, docs, str(tmp_path)).collect()}
     assert set(got) == {"s0", "s1", "s3"} and got["s1"].text == _words(2, 5) and got["s1"].n_chars == len(_words(2, 5)) and got["s3"].text is None
+
+
+def test_stages_keep_texts_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = _docs(spark, [(3, _words(1, 60)), (5, _words(1, 60) + " end"), (5, _words(2, 60)), (5, _words(2, 60)), (9, _words(2, 60) + " end")])
+    got = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert rows(got.select("source")) == [("s0",), ("s2",), ("s3",)]
+    docs = _docs(spark, [(3, _words(1, 40)), (5, _words(1, 20) + " " + _words(2, 5)), (5, _words(3, 30)), (5, _words(1, 40))])
+    got = {r.source: r.text for r in stages["substring_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert got == {"s0": _words(1, 40), "s1": _words(2, 5), "s2": _words(3, 30)}
