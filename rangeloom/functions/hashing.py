@@ -46,3 +46,27 @@ def seeded_shuffle(items: Column, k: Column, seed: Column) -> Column:
 
     shuffled = F.aggregate(places, F.struct(seed.cast("long").alias("r"), items.alias("a")), step, lambda s: s["a"])
     return F.when(n <= k, items).otherwise(F.slice(shuffled, 1, k))
+
+
+def shuffle_places(n: int, k: int, seed: int) -> list[int]:
+    """Which places of ``n`` items ``seeded_shuffle`` reads for its first ``k``, without a list of ``n``: the swaps are undone from the last to the first."""
+    if n <= k:
+        return list(range(n))
+    # The generator's state after all n - 1 swaps, by doubling; then it runs backwards.
+    r, a, c, left = seed % SPAN, LCG_MULTIPLIER, LCG_INCREMENT, n - 1
+    while left:
+        if left & 1:
+            r = (r * a + c) % SPAN
+        a, c, left = a * a % SPAN, (a * c + c) % SPAN, left >> 1
+    back = pow(LCG_MULTIPLIER, -1, SPAN)
+    holder = {p: p for p in range(k)}  # place now -> place in the end
+    for i in range(1, n):
+        j = r % (i + 1)
+        if i != j and (i in holder or j in holder):
+            one, two = holder.pop(i, None), holder.pop(j, None)
+            if one is not None:
+                holder[j] = one
+            if two is not None:
+                holder[i] = two
+        r = (r - LCG_INCREMENT) * back % SPAN
+    return [at for at, _ in sorted(holder.items(), key=lambda x: x[1])]

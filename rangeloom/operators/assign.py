@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SPAN, fnv1a32, hash32, seeded_shuffle, try_count
+from ..functions.hashing import SPAN, fnv1a32, hash32, shuffle_places, try_count
+from .neighbours import ordinal
 
 VIRTUAL = 50
 RING_POLICY, RANDOM_POLICY = 20, 5
@@ -105,8 +106,12 @@ def policy(pending: Column, has_ring: Column) -> Column:
     return F.when((pending >= RING_POLICY) & has_ring, F.lit("ring")).when(pending >= RANDOM_POLICY, F.lit("random")).otherwise(F.lit("direct"))
 
 
-def trial_orders(workers: DataFrame, pending: DataFrame, *, most: int = 1000) -> DataFrame:
-    """(worker_id, tries): the ids each worker would try, in order, from the ``most`` smallest pending ids (the seeded policy is for short lists)."""
-    ids = pending.orderBy("partition_id").limit(most).agg(F.sort_array(F.collect_list("partition_id")).alias("ids"))
-    rows = workers.select("worker_id").join(F.broadcast(ids))  # one row
-    return rows.select("worker_id", seeded_shuffle(F.col("ids"), try_count(F.size("ids")).cast("int"), fnv1a32(F.col("worker_id"))).alias("tries"))
+def trial_orders(workers: DataFrame, pending: DataFrame) -> DataFrame:
+    """(worker_id, tries): the ids each worker would try, in order, from a shuffle of all pending ids; only the places that are tried are looked up."""
+    ids = pending.select(F.col("partition_id").alias("id")).na.drop()
+    n = ids.count()
+    k = ids.sparkSession.range(1).select(try_count(F.lit(n))).first()[0]
+    places = F.udf(lambda seed: shuffle_places(n, k, seed), "array<bigint>")
+    tried = workers.select("worker_id").distinct().withColumn("places", places(fnv1a32(F.col("worker_id")))).select("worker_id", F.posexplode("places").alias("turn", "place"))
+    found = tried.join(ordinal(ids, "id", "place", first=0), "place").groupBy("worker_id").agg(F.sort_array(F.collect_list(F.struct("turn", "id")))["id"].alias("tries"))
+    return workers.select("worker_id").join(found, "worker_id", "left").select("worker_id", F.coalesce("tries", F.array().cast("array<bigint>")).alias("tries"))

@@ -156,3 +156,19 @@ def test_processing(spark):
         return high - low
 
     assert rows(process.run_processor(ranges, work)) == [(1, "w", "completed", 9, None), (2, "w", "failed", 0, "no y")]
+
+
+def test_trial_orders_shuffle_all_pending_ids(spark):
+    """More than 1,000 pending ids against a plain Fisher-Yates."""
+    who = spark.createDataFrame([("worker-1",), ("worker-2",)], "worker_id string")
+    seeds = {r[0]: r[1] for r in who.select("worker_id", fnv1a32(F.col("worker_id"))).collect()}
+    for n, k in ((0, 0), (3, 3), (12, 6), (2500, 20)):
+        want = {}
+        for w, r in seeds.items():
+            a = [3 * i for i in range(n)]
+            for i in range(n - 1, 0, -1) if n > k else ():
+                r = (r * 1103515245 + 12345) % (1 << 32)
+                a[i], a[r % (i + 1)] = a[r % (i + 1)], a[i]
+            want[w] = a[:k]
+        pending = spark.range(n).select((F.col("id") * 3).alias("partition_id"))
+        assert {r.worker_id: r.tries for r in assign.trial_orders(who, pending).collect()} == want
