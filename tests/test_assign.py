@@ -172,3 +172,13 @@ def test_trial_orders_shuffle_all_pending_ids(spark):
             want[w] = a[:k]
         pending = spark.range(n).select((F.col("id") * 3).alias("partition_id"))
         assert {r.worker_id: r.tries for r in assign.trial_orders(who, pending).collect()} == want
+
+
+def test_streamed_failures_are_counted_exactly(spark, tmp_path):
+    failed = [("worker-1", i % 3000, "failure", T0 + timedelta(seconds=i % 600)) for i in range(4000)] + [("worker-2", 1, "failure", T0), ("worker-2", 2, "attempt", T0)]
+    schema = "worker_id string, partition_id long, kind string, ts timestamp"
+    spark.createDataFrame(failed, schema).write.parquet(str(tmp_path / "in"))
+    counts = streams.failed_in_window(streams.read_events(spark, str(tmp_path / "in"), schema), "1 hour", "1 hour", "1 minute")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("failed_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    assert rows(spark.table("failed_out").select("worker_id", "n_failed")) == [("worker-1", 3000), ("worker-2", 1)]
