@@ -56,7 +56,8 @@ def decode_workers(rows: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def encode_row(r) -> bytes:
-    error = (r.error or "").encode()[:65535]
+    """A row in the layout; its 16-bit length holds 65,535 bytes of the error text, longer ones are cut at the end of a character."""
+    error = (r.error or "").encode()[:65535].decode(errors="ignore").encode()
     return ROW.pack(r.partition_id & 0xFFFFFFFF, r.min_id & (2**64 - 1), (r.max_id - r.min_id) & 0xFFFFFFFF, r.code & 0xFFFF, r.status_code, r.updated, r.created, len(error)) + error
 
 
@@ -66,7 +67,7 @@ def decode_rows(data: bytes) -> list[tuple]:
     while at < len(data):
         pid, low, width, code, status, updated, created, size = ROW.unpack_from(data, at)
         at += ROW.size
-        out.append((pid, low, low + width, code, STATUSES[status] if status < len(STATUSES) else STATUSES[0], updated, created, data[at : at + size].decode() or None))
+        out.append((pid, low, low + width, code, STATUSES[status] if status < len(STATUSES) else STATUSES[0], updated, created, data[at : at + size].decode(errors="replace") or None))
         at += size
     return out
 

@@ -145,3 +145,11 @@ def test_every_order_and_customer_asks(spark):
     asked = catalogue.acquire_every_customer(spark, DATA)
     assert rows(asked.select("request_id")) == rows(read("customer").select("c_custkey"))
     assert {r[0] for r in asked.select("partition_id").collect()} >= {r[0] for r in read("events").select("user_id").collect()}
+
+
+def test_long_errors_keep_their_batch(spark):
+    rows_ = frame(spark, [(1, "failed", "a", 1), (2, "failed", "a", 2)])
+    rows_ = rows_.withColumn("error", F.when(F.col("partition_id") == 1, F.concat(F.lit("x"), F.repeat(F.lit("日"), 30000))).otherwise("short"))
+    codes = spark.createDataFrame([("a", 1)], "worker_id string, code long")
+    blobs = archive.compress(rows_, rows_.select("partition_id", F.lit(1).alias("batch_no")), codes)
+    assert rows(archive.decompress(blobs, codes).select("partition_id", "error")) == [(1, "x" + "日" * 21844), (2, "short")]
