@@ -1,235 +1,299 @@
 """Substring dedup on a de Bruijn graph of word k-mers.
 
-Every window of ``k`` words is an edge of the graph (from its first k-1 words to its last k-1). Documents are dealt to
-chunks by ascending id, so that an edge's smallest document lies in the smallest chunk that has the edge:
-
-1. each chunk sends its distinct edges, hash-bucketed, as sorted fingerprints (6 bytes each);
-2. a bucket finds the edges of two or more chunks and asks the smallest chunk for their source coordinates;
-3. that chunk answers with document, word position and an independent check hash of each such edge;
-4. joined back by bucket, the coordinates reach every other chunk that has the edge;
-5. there, edges within the chunk are compared directly, foreign ones are verified against the source's check hash, and
-   nonbranching paths (both coordinates advancing together) are compacted to spans.
-
-An edge is sent once per chunk however many documents of the chunk have it, so a passage that a third of all documents
-share costs one fingerprint per chunk. The chunk exchange of the texts is the same in steps 1, 3 and 5 and Spark reuses it.
+Every window of ``k`` words is an edge of the graph (from its first k-1 words to its last k-1):
+
+1. edges: a slice of documents sends each of its distinct edges once, from the smallest document that has it, with that
+   document's key and the word position; other documents of the slice with the edge already know a source;
+2. a bucket of edges finds those of two or more documents and names the smallest one as the source of the others;
+3. the repeated edges of a document meet by a shuffle on its key, where nonbranching paths, on which document and source
+   both advance by a word from edge to edge, are compacted to spans (document, start, length, source, source start);
+4. the spans are joined with the texts of their sources, where an independent hash of the words at the source
+   coordinates is taken, and then with their own documents, where the same hash must come out of the document's words;
+5. only words of spans verified so are removed.
+
+Texts are shuffled once, by key; steps 4 and 5 share that exchange. An edge is sent once per slice however many documents
+of the slice have it. Nothing but one sum of sizes comes to the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import shuffle_width
-from .textkit import Texts, U, group_starts, run_hashes
+from .store import cut, shuffle_width
+from .textkit import Texts, U, group_starts, mix, run_hashes, slices
 
+#: Bytes of an edge's hash that are sent; the bucket holds the leading bits.
 _LOW = 6
+#: The key of rows without an id: after all ids.
+LAST = (1 << 63) - 1
+#: Bytes of text in a slice for each bucket, within bounds: with more buckets slices grow, so that what goes to a bucket doesn't get too small.
+SLICE_PER_BUCKET, SLICE_LEAST, SLICE_MOST = 8 << 10, 2 << 20, 16 << 20
+#: Edges that a bucket sorts at a time.
+PART = 1 << 20
 
 
-def _pack(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_LOW]).tobytes()
+def _pack(h: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_LOW]).reshape(-1)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    low = np.frombuffer(blob, dtype=np.uint8).reshape(-1, _LOW)
-    out = np.zeros((len(low), 8), dtype=np.uint8)
-    out[:, :_LOW] = low
+def _unpack(low: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(low) // _LOW, 8), dtype=np.uint8)
+    out[:, :_LOW] = low.reshape(-1, _LOW)
     return out.reshape(-1).view(np.uint64)
 
 
-def _bits(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
-
-
-class Chunk:
-    """The documents of a chunk in ascending order of id (null ids last) and their distinct edges by hash."""
-
-    def __init__(self, table: pa.Table, k: int, buckets: int, carry: tuple[str, ...] = ()):
-        table = table.select(["id", "text", *carry]).combine_chunks().sort_by("id")
-        self.k = k
-        self.ids = table.column("id")
-        self.carried = [table.column(c) for c in carry]
-        known = self.ids.is_valid().to_numpy()
-        self.known = known
-        self.id = self.ids.fill_null(0).to_numpy()
-        self.texts = Texts(table.column("text"))
-        self.first, self.doc, h = self.texts.windows(k)
-        order = np.argsort(h)
-        ordered = h[order]
-        self.starts = group_starts(ordered)
-        self.edges = ordered[self.starts]
-        sizes = np.diff(np.append(self.starts, len(order)))
-        self.edge_of = np.empty(len(order), dtype=np.int64)
-        self.edge_of[order] = np.repeat(np.arange(len(self.edges)), sizes)
-        # The source window of an edge: the first one in the order of ids.
-        self.source = np.minimum.reduceat(order, self.starts) if len(order) else np.zeros(0, dtype=np.int64)
-        at = ((self.edges >> U(32)) * U(buckets)) >> U(32)
-        self.cuts = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
-
-    def checks(self, windows: np.ndarray) -> np.ndarray:
-        """Independent 32-bit hashes of the words of some windows."""
-        if not hasattr(self, "second"):
-            self.second = self.texts.runs(self.texts.start, self.texts.end, seed=29)
-        first = self.first[windows]
-        return (run_hashes(self.second, first, first + self.k) >> U(32)).astype(np.uint32)
-
-    def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether documents ``a`` have smaller ids than documents ``b``; null ids come last and are equal."""
-        return self.known[a] & (~self.known[b] | (self.id[a] < self.id[b]))
-
-
-def _send(k: int, buckets: int) -> callable:
-    def run(table: pa.Table) -> pa.Table:
-        chunk = Chunk(table, k, buckets)
-        have = np.flatnonzero(np.diff(chunk.cuts))
-        blobs = [_pack(chunk.edges[chunk.cuts[b] : chunk.cuts[b + 1]]) for b in have]
-        return pa.table({"bucket": pa.array(have, pa.int64()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(have), pa.int64()), "edges": pa.array(blobs, pa.binary())})
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The binary values of a column one after the other."""
+    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray, width: int | None = None) -> pa.Array:
+    """A binary column of ``values[cuts[i]:cuts[i+1]]`` (``width`` bytes each)."""
+    width = values.itemsize if width is None else width
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in some column; the first always does."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+# Path pieces (runs of repeated edges) travel as parallel arrays; those of one document and source share a head.
+PIECES = "heads binary, places binary, source_places binary, rest binary"
+
+
+class Pieces:
+    """Arrays ``id, h, sid, sh, pos, spos, n``: n edges of document (id, h) from word pos on equal those of the source from spos on."""
+
+    names = ("id", "h", "sid", "sh", "pos", "spos", "n")
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = [np.asarray(c, dtype=np.int64) for c in columns]
+        for name, c in zip(self.names, self.columns, strict=True):
+            setattr(self, name, c)
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(*(c[at] for c in self.columns))
+
+    @classmethod
+    def joined(cls, parts: list[Pieces]) -> Pieces:
+        return cls(*(np.concatenate([np.zeros(0, dtype=np.int64), *(p.columns[i] for p in parts)]) for i in range(7)))
+
+    def merged(self) -> Pieces:
+        """In the order of document and position, repeats dropped, and pieces joined where both coordinates go on."""
+        p = self.take(np.lexsort((self.pos, self.h, self.id)))
+        p = p.take(np.flatnonzero(_changes(p.id, p.h, p.pos)))
+        new = _changes(p.id, p.h, p.sid, p.sh, p.spos - p.pos)
+        if len(new):
+            new[1:] |= p.pos[1:] != p.pos[:-1] + p.n[:-1]
+        begin = np.flatnonzero(new)
+        out = p.take(begin)
+        n = np.add.reduceat(p.n, begin) if len(begin) else p.n
+        return Pieces(*out.columns[:6], n)
+
+    def encode(self, group: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+        """(groups, columns of ``PIECES``): a row per group; the order of pieces is kept in a group."""
+        order = np.argsort(group, kind="stable")
+        p, group = self.take(order), group[order]
+        head = np.flatnonzero(_changes(group, p.id, p.h, p.sid, p.sh))
+        heads = np.stack([p.id[head], p.h[head], p.sid[head], p.sh[head], np.diff(np.append(head, len(group)))], axis=1)
+        first = np.flatnonzero(_changes(group))
+        at = np.append(first, len(group))
+        rest = (p.pos >> 16) | (p.spos >> 16) << 16 | p.n << 32
+        return group[first], [_blobs(heads, np.searchsorted(head, at), 40), _blobs(p.pos.astype(np.uint16), at), _blobs(p.spos.astype(np.uint16), at), _blobs(rest, at)]
+
+    @classmethod
+    def decode(cls, table: pa.Table) -> Pieces:
+        heads = _flat(table.column("heads"), np.int64).reshape(-1, 5)
+        pos, spos = (_flat(table.column(c), np.uint16).astype(np.int64) for c in ("places", "source_places"))
+        rest = _flat(table.column("rest"), np.int64)
+        return cls(*(np.repeat(heads[:, i], heads[:, 4]) for i in range(4)), pos | (rest & 0xFFFF) << 16, spos | (rest >> 16 & 0xFFFF) << 16, rest >> 32)
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+
+
+_EDGES = ("ids", "keys", "counts", "edges", "low", "high")
+EDGES = f"bucket long, {', '.join(f'{c} binary' for c in _EDGES)}, {PIECES}"
+
+
+def _send(k: int, buckets: int, slice_bytes: int) -> callable:
+    """Step 1: a slice's edges by bucket (document ids, their text hashes, edges of each, low bytes, positions) and the pieces that the slice settles itself."""
+    names = ["bucket", *_EDGES, *(c.split()[0] for c in PIECES.split(", "))]
+
+    def rows(numbers: np.ndarray, edges: list[pa.Array], pieces: list[pa.Array]) -> pa.RecordBatch:
+        none = pa.array([b""] * len(numbers), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(edges or [none] * 6), *(pieces or [none] * 4)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", slice_bytes):
+            ids, keys = batch.column("key").to_numpy(), batch.column("h").to_numpy()
+            order = np.lexsort((keys, ids))
+            order = order[_changes(ids[order], keys[order])]
+            ids, keys = ids[order], keys[order]
+            texts = Texts(batch.column("text").take(pa.array(order)))
+            first, doc, h = texts.windows(k)
+            if not len(h):
+                continue
+            pos = first - texts.w0[doc]
+            by_edge = np.argsort(h)
+            starts = group_starts(h[by_edge])
+            sizes = np.diff(np.append(starts, len(h)))
+            source = np.minimum.reduceat(by_edge, starts)  # documents ascend by id
+            often = np.repeat(sizes > 1, sizes)
+            w, s = by_edge[often], np.repeat(source[sizes > 1], sizes[sizes > 1])
+            local = ids[doc[w]] > ids[doc[s]]
+            w, s = w[local], s[local]
+            sent = np.ones(len(h), dtype=bool)
+            sent[w] = False
+            if len(w):
+                pieces = Pieces(ids[doc[w]], keys[doc[w]], ids[doc[s]], keys[doc[s]], pos[w], pos[s], np.ones(len(w), dtype=np.int64)).merged()
+                yield rows(*(lambda g, c: (g, [], c))(*pieces.encode(np.full(len(pieces.n), int(h[0]) % buckets))))
+            w = np.flatnonzero(sent)
+            bucket = _bucket_of(h[w], buckets)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            w, bucket = w[order], bucket[order]
+            run_at = np.flatnonzero(_changes(bucket, doc[w]))
+            first_at = np.flatnonzero(_changes(bucket))
+            at = np.append(first_at, len(w))
+            heads, owner = np.searchsorted(run_at, at), doc[w[run_at]]
+            counts = np.diff(np.append(run_at, len(w))).astype(np.uint32)
+            yield rows(bucket[first_at], [_blobs(ids[owner], heads), _blobs(keys[owner], heads), _blobs(counts, heads), _blobs(_pack(h[w]), at, _LOW), _blobs(pos[w].astype(np.uint16), at), _blobs((pos[w] >> 16).astype(np.uint16), at)], [])
 
     return run
 
 
-class Bucket:
-    """The edges that the chunks sent to a bucket, matched."""
-
-    def __init__(self, table: pa.Table, null_chunk: int):
-        table = table.combine_chunks().sort_by("chunk")
-        self.chunks = table.column("chunk").to_numpy()
-        parts = [_unpack(x) for x in table.column("edges").to_pylist()]
-        self.cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        h = np.concatenate(parts)
-        chunk = np.repeat(self.chunks, np.diff(self.cuts))
-        order = np.argsort(h)
-        starts = group_starts(h[order])
-        sizes = np.diff(np.append(starts, len(h)))
-        least = np.minimum.reduceat(chunk[order], starts)
-        # Fingerprints of equal low bytes in one chunk may be different edges: each then counts as its own source at most once.
-        entry = np.minimum.reduceat(order, starts)
-        group = np.empty(len(h), dtype=np.int64)
-        group[order] = np.repeat(np.arange(len(starts)), sizes)
-        self.flagged = least[group] < np.minimum(chunk, null_chunk)
-        asked = np.zeros(len(starts), dtype=bool)
-        asked[group[self.flagged]] = True
-        self.asked = np.zeros(len(h), dtype=bool)
-        self.asked[entry[asked]] = True
-        self.source = entry[group]
-
-
-def _ask(null_chunk: int) -> callable:
+def _match(groups: int) -> callable:
+    """Step 2: the repeated edges of a bucket with their source, dealt by document."""
+
     def run(table: pa.Table) -> pa.Table:
-        bucket = Bucket(table, null_chunk)
-        number = table.column("bucket")[0].as_py()
-        rows = [(c, bucket.asked[a:b]) for c, a, b in zip(bucket.chunks, bucket.cuts, bucket.cuts[1:], strict=False)]
-        rows = [(c, _bits(m)) for c, m in rows if m.any()]
-        return pa.table({"chunk": pa.array([int(c) for c, _ in rows], pa.int64()), "bucket": pa.array([number] * len(rows), pa.int64()), "asked": pa.array([m for _, m in rows], pa.binary())})
+        ids, keys = _flat(table.column("ids"), np.int64), _flat(table.column("keys"), np.int64)
+        counts = _flat(table.column("counts"), np.uint32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        h = _unpack(_flat(table.column("edges"), np.uint8))
+        pos = _flat(table.column("low"), np.uint16).astype(np.int64) | _flat(table.column("high"), np.uint16).astype(np.int64) << 16
+        parts = -(-len(h) // PART)
+        part = (mix(h) % U(max(1, parts))).astype(np.uint16) if parts > 1 else None
+        found = [Pieces.decode(table)]
+        for number in range(parts):
+            mine = np.flatnonzero(part == number) if parts > 1 else np.arange(len(h))
+            order = mine[np.argsort(h[mine])]
+            starts = group_starts(h[order])
+            sizes = np.diff(np.append(starts, len(order)))
+            w = order[np.repeat(sizes > 1, sizes)]
+            sizes = sizes[sizes > 1]
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            id_, key, at = ids[doc[w]], keys[doc[w]], pos[w]
+            order = np.lexsort((at, key, id_, group))
+            group, id_, key, at = group[order], id_[order], key[order], at[order]
+            s = np.repeat(group_starts(group), sizes)
+            later = (id_ > id_[s]) & _changes(group, id_, key, at)
+            s = s[later]
+            found.append(Pieces(id_[later], key[later], id_[s], key[s], at[later], at[s], np.ones(len(s), dtype=np.int64)))
+        pieces = Pieces.joined(found)
+        pieces = pieces.take(np.lexsort((pieces.pos, pieces.h, pieces.id)))
+        number, columns = pieces.encode((mix(pieces.h.view(np.uint64) ^ mix(pieces.id.view(np.uint64))) % U(groups)).astype(np.int64))
+        return pa.table([pa.array(number, pa.int64()), *columns], names=["g", *(c.split()[0] for c in PIECES.split(", "))])
 
     return run
 
 
-def _answer(k: int, buckets: int) -> callable:
-    def run(texts: pa.Table, asks: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "chunk": [], "ids": [], "places": [], "checks": []}
-        if texts.num_rows and asks.num_rows:
-            chunk = Chunk(texts, k, buckets)
-            number = texts.column("chunk")[0].as_py()
-            for b, blob in zip(asks.column("bucket").to_pylist(), asks.column("asked").to_pylist(), strict=True):
-                lo, hi = chunk.cuts[b], chunk.cuts[b + 1]
-                edges = lo + np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8), count=hi - lo))
-                windows = chunk.source[edges]
-                doc = chunk.doc[windows]
-                for name, value in (("bucket", b), ("chunk", number), ("ids", chunk.id[doc].astype(np.int64).tobytes()), ("places", (chunk.first[windows] - chunk.texts.w0[doc]).astype(np.int32).tobytes()), ("checks", chunk.checks(windows).tobytes())):
-                    out[name].append(value)
-        return pa.table([pa.array(out[c], t) for c, t in (("bucket", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()))], names=list(out))
+_SPAN_ROW = ("key", "h", "start", "length", "source_id", "source_h", "source_start")
 
-    return run
 
+def _compact(k: int) -> callable:
+    """Step 3: the nonbranching paths of a group of documents as spans of words."""
 
-def _route(null_chunk: int) -> callable:
-    def run(edges: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"chunk": [], "bucket": [], "flagged": [], "ids": [], "places": [], "checks": []}
-        if edges.num_rows and answers.num_rows:
-            bucket = Bucket(edges, null_chunk)
-            number = edges.column("bucket")[0].as_py()
-            answers = answers.combine_chunks().sort_by("chunk")
-            got = [np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("places", np.int32), ("checks", np.uint32))]
-            place = np.cumsum(bucket.asked) - 1
-            for c, a, b in zip(bucket.chunks, bucket.cuts, bucket.cuts[1:], strict=False):
-                flagged = bucket.flagged[a:b]
-                if flagged.any():
-                    at = place[bucket.source[a:b][flagged]]
-                    for name, value in (("chunk", int(c)), ("bucket", number), ("flagged", _bits(flagged)), *((n, g[at].tobytes()) for n, g in zip(("ids", "places", "checks"), got, strict=True))):
-                        out[name].append(value)
-        return pa.table([pa.array(out[c], pa.int64() if c in ("chunk", "bucket") else pa.binary()) for c in out], names=list(out))
+    def run(table: pa.Table) -> pa.Table:
+        p = Pieces.decode(table).merged()
+        return pa.table([pa.array(c) for c in (p.id, p.h, p.pos, p.n + k - 1, p.sid, p.sh, p.spos)], names=list(_SPAN_ROW))
 
     return run
 
 
+def _lists(column: pa.Array, rows: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row, fields) of the structs in a column of lists; a null list has none."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.repeat(np.arange(rows), size), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
+def _check(texts: Texts, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Independent 64-bit hashes of runs of words, by number of the first word in the batch."""
+    words = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), start, start + length]))
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    lo, hi = words[0], words[-1]
+    second = texts.runs(texts.start[lo:hi], texts.end[lo:hi], seed=29)
+    order = np.argsort(start)
+    out = np.empty(len(start), dtype=np.int64)
+    out[order] = run_hashes(second, start[order] - lo, (start + length)[order] - lo).view(np.int64)
+    return out
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4: the hashes of the words at the wanted source coordinates."""
+    for batch in slices(batches, "text"):
+        texts = Texts(batch.column("text"), hashes=False)
+        row, want = _lists(batch.column("wants"), batch.num_rows)
+        check = _check(texts, texts.w0[row] + want["source_start"], want["length"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(want["source_start"]), pa.array(want["length"]), pa.array(check)], names=["source_id", "source_h", "source_start", "length", "check"])
+
+
 SPANS = "array<struct<start:long,length:long,source_id:long,source_start:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())]))
 
 
-def _settle(k: int, buckets: int, full: bool, carry: tuple[str, ...] = ()) -> callable:
-    schema = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = [*schema, ("text", pa.string()), ("spans", _SPAN)] if full else schema
-
-    def run(texts: pa.Table, routes: pa.Table) -> pa.Table:
-        kinds = pa.schema([*schema, *((c, texts.schema.field(c).type) for c in carry)])
-        if not texts.num_rows:
-            return kinds.empty_table()
-        chunk = Chunk(texts, k, buckets, carry)
-        t, n = chunk.texts, len(chunk.first)
-        own = chunk.source[chunk.edge_of] if n else np.zeros(0, dtype=np.int64)
-        hit = chunk.before(chunk.doc[own], chunk.doc) if n else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(hit)
-        hit[at] = chunk.checks(at) == chunk.checks(own[at])
-        source_id = chunk.id[chunk.doc[own]].astype(np.int64)
-        source_at = (chunk.first[own] - t.w0[chunk.doc[own]]).astype(np.int64)
-        if routes.num_rows:
-            flagged = np.zeros(len(chunk.edges), dtype=bool)
-            ids, places, checks = (np.zeros(len(chunk.edges), dtype=d) for d in (np.int64, np.int64, np.uint32))
-            for b, mask, *got in zip(*(routes.column(c).to_pylist() for c in ("bucket", "flagged", "ids", "places", "checks")), strict=True):
-                lo, hi = chunk.cuts[b], chunk.cuts[b + 1]
-                edges = lo + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo))
-                flagged[edges] = True
-                for into, blob, kind in zip((ids, places, checks), got, (np.int64, np.int32, np.uint32), strict=True):
-                    into[edges] = np.frombuffer(blob, kind)
-            at = np.flatnonzero(flagged[chunk.edge_of])
-            at = at[chunk.checks(at) == checks[chunk.edge_of[at]]]
-            hit[at] = True
-            source_id[at], source_at[at] = ids[chunk.edge_of[at]], places[chunk.edge_of[at]]
-        at = np.flatnonzero(hit)
-        turn = np.zeros(len(t.start) + 1, dtype=np.int64)
-        np.add.at(turn, chunk.first[at], 1)
-        np.add.at(turn, chunk.first[at] + k, -1)
-        covered = np.cumsum(turn)[:-1] > 0
-        removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[t.w0])
-        digests = _digests(t, ~covered)
-        columns = [chunk.ids.combine_chunks() if isinstance(chunk.ids, pa.ChunkedArray) else chunk.ids, pa.array(t.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string())]
-        if full:
-            columns += [_remaining(t, covered), _spans(chunk, at, source_id, source_at)]
-        return pa.table([*columns, *chunk.carried], schema=kinds)
+def _settle(full: bool, carry: tuple[str, ...]) -> callable:
+    """Step 5: spans whose words hash to what was found at the source are verified; their words go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts(batch.column("text"), hashes=False)
+            row, span = _lists(batch.column("spans"), batch.num_rows)
+            start = t.w0[row] + span["start"]
+            ok = np.flatnonzero(_check(t, start, span["length"]) == span["check"])
+            ok = ok[np.lexsort((span["start"][ok], row[ok]))]
+            turn = np.zeros(len(t.start) + 1, dtype=np.int64)
+            np.add.at(turn, start[ok], 1)
+            np.add.at(turn, (start + span["length"])[ok], -1)
+            covered = np.cumsum(turn)[:-1] > 0
+            removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[t.w0])
+            columns, names = [batch.column("id"), pa.array(t.n_words), pa.array(removed), pa.array(_digests(t, ~covered), pa.string())], ["id", "n_words", "n_removed", "kept_sha256"]
+            if full:
+                cuts = np.searchsorted(row[ok], np.arange(t.n + 1)).astype(np.int32)
+                rows = pa.StructArray.from_arrays([pa.array(span[c][ok]) for c in ("start", "length", "source_id", "source_start")], fields=list(_SPAN.value_type))
+                columns, names = [*columns, _remaining(t, covered), pa.ListArray.from_arrays(pa.array(cuts), rows)], [*names, "text", "spans"]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in carry)], names=[*names, *carry])
 
     return run
 
 
 def _digests(t: Texts, keep: np.ndarray) -> list[str]:
     """SHA-256 of each text's kept words joined by one space."""
-    size = len(t.buf)
-    mask = np.zeros(size + 1, dtype=np.int8)
-    np.add.at(mask, t.start[keep], 1)
-    np.add.at(mask, t.end[keep], -1)
-    inside = np.cumsum(mask)[:-1] > 0
-    length = (t.end - t.start + 1) * keep
-    ends = np.cumsum(length)
+    mask = np.zeros(len(t.buf) + 1, dtype=np.int8)
+    mask[t.start[keep]] += 1
+    mask[t.end[keep]] -= 1
+    kept = t.buf[np.cumsum(mask[:-1], dtype=np.int8) > 0]
+    size = (t.end - t.start)[keep]
+    ends = np.cumsum(size + 1)
     out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, dtype=np.uint8)
-    kept = np.flatnonzero(inside)
-    gaps = np.repeat(np.arange(int(keep.sum())), (t.end - t.start)[keep])
-    out[np.arange(len(kept)) + gaps] = t.buf[kept]
-    at = np.concatenate([[0], ends])[t.w0]
+    letter = np.ones(len(out), dtype=bool)
+    letter[ends - 1] = False
+    out[letter] = kept
+    at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(keep)])[t.w0]]
     data = out.tobytes()
     return [hashlib.sha256(data[a : b - 1 if b > a else b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
 
@@ -251,53 +315,44 @@ def _remaining(t: Texts, covered: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), t.n, [None, pa.py_buffer(left), pa.py_buffer(t.buf[~gone].tobytes())])
 
 
-def _spans(chunk: Chunk, at: np.ndarray, source_id: np.ndarray, source_at: np.ndarray) -> pa.Array:
-    """Verified windows compacted: a path goes on while window and source advance by one word in the same documents."""
-    first, doc = chunk.first[at], chunk.doc[at]
-    start = first - chunk.texts.w0[doc]
-    go = np.ones(len(at), dtype=bool)
-    go[1:] = ~((doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1) & (source_id[at][1:] == source_id[at][:-1]) & (source_at[at][1:] == source_at[at][:-1] + 1))
-    begin = np.flatnonzero(go)
-    length = np.diff(np.append(begin, len(at))) + chunk.k - 1
-    rows = pa.StructArray.from_arrays([pa.array(start[begin].astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(source_id[at][begin]), pa.array(source_at[at][begin])], names=["start", "length", "source_id", "source_start"])
-    cuts = np.searchsorted(doc[begin], np.arange(chunk.texts.n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)
-
-
-def _chunk_of(column: Column, text: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are at most ``column``: a binary search in the plan; null ids get as many chunks behind, by text."""
-    n = len(bounds)
-    held = F.array(*[F.lit(b) for b in bounds]) if n else F.array().cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)]) if n else F.array().cast("array<int>")
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= column), at + step).otherwise(at))
-    return F.when(column.isNull(), n + 1 + F.pmod(F.xxhash64(text), F.lit(n + 1))).otherwise(found).cast("long")
-
-
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, chunk_bytes: int = 4 << 20, full: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 13, full: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) per row; with ``full`` also the remaining text and the verified spans.
 
     A word is removed if it lies in a ``k``-word window whose words also start in a document of smaller id. Windows are
     judged on the input. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null or empty text has none (its digest is that
     of the empty string). Rows of equal id don't remove from each other; rows of null id count as larger than all others
-    and as equal to each other. ``text`` keeps the layout of what is left. ``chunk_bytes`` of text go to a chunk, about;
-    texts are never cut. An empty table gives no rows; the columns of ``carry`` go along with their row, others are ignored.
+    and as equal to each other (ids are below 2**63 - 1). ``text`` keeps the layout of what is left; ``spans`` are the
+    verified paths, by start; a path's source is a document of smaller id, the smallest unless the same slice of rows has one. Texts are never cut. An empty table gives no rows; the columns of ``carry`` go along with
+    their row, others are ignored. Edges are matched by 6 bytes of a 64-bit hash besides their bucket.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
-    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("id")).first()
-    width = shuffle_width(spark)
-    n = max(1, math.ceil((size or 0) / chunk_bytes), min(width, math.ceil((size or 0) / (chunk_bytes / 8))))
-    n = min(n, max(1, count))
-    bounds = sorted({int(x) for x in rows.select(F.col("id")).na.drop().approxQuantile("id", [i / n for i in range(1, n)], 1 / (8 * n))}) if n > 1 else []
-    null_chunk = len(bounds) + 1
-    buckets = 2 * width
-    rows = rows.withColumn("chunk", _chunk_of(F.col("id"), F.col("text"), bounds))
-    chunks = rows.select("id", "text", "chunk").groupBy("chunk")
-    edges = chunks.applyInArrow(_send(k, buckets), "bucket long, chunk long, edges binary")
-    asks = edges.groupBy("bucket").applyInArrow(_ask(null_chunk), "chunk long, bucket long, asked binary")
-    answers = chunks.cogroup(asks.groupBy("chunk")).applyInArrow(_answer(k, buckets), "bucket long, chunk long, ids binary, places binary, checks binary")
-    routes = edges.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_route(null_chunk), "chunk long, bucket long, flagged binary, ids binary, places binary, checks binary")
+    buckets = shuffle_width(docs.sparkSession)
+    slice_bytes = min(SLICE_MOST, max(SLICE_LEAST, buckets * SLICE_PER_BUCKET))
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    texts = docs.select(F.coalesce(id_, F.lit(LAST)).alias("key"), F.xxhash64(text).alias("h"), id_.alias("id"), text.alias("text"), *carry)
+    edges = texts.select("key", "h", "text").mapInArrow(_send(k, buckets, slice_bytes), EDGES)
+    repeated = edges.groupBy("bucket").applyInArrow(_match(buckets), f"g long, {PIECES}")
+    spans = cut(repeated.groupBy("g").applyInArrow(_compact(k), ", ".join(f"{c} long" for c in _SPAN_ROW)))
+    source = ["source_id", "source_h", "source_start", "length"]
+    wants = spans.select(*source).distinct().groupBy(F.col("source_id").alias("key"), F.col("source_h").alias("h")).agg(F.collect_list(F.struct("source_start", "length")).alias("wants"))
+    answers = texts.join(wants, ["key", "h"]).mapInArrow(_answer, ", ".join(f"{c} long" for c in (*source, "check")))
+    # Rows that repeat a document repeat its answers.
+    answers = answers.dropDuplicates(source)
+    checked = spans.join(answers, source).groupBy("key", "h").agg(F.collect_list(F.struct("start", "length", "check", "source_id", "source_start")).alias("spans"))
+    kinds = dict(texts.dtypes)
     out = "id long, n_words long, n_removed long, kept_sha256 string" + (f", text string, spans {SPANS}" if full else "")
-    kinds = dict(rows.dtypes)
     out = ", ".join([out, *(f"{c} {kinds[c]}" for c in carry)])
-    return rows.groupBy("chunk").cogroup(routes.groupBy("chunk")).applyInArrow(_settle(k, buckets, full, carry), out).withColumnRenamed("id", id_col)
+    return texts.join(checked, ["key", "h"], "left").mapInArrow(_settle(full, carry), out).withColumnRenamed("id", id_col)
+
+
+#: DuckDB's twin of the query: the definition, window by window.
+ORACLE = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents),
+places AS (SELECT r, k, w, unnest(range(1, len(w) - 11)) AS place FROM texts WHERE len(w) >= 13),
+windows AS (SELECT r, k, place, array_to_string(list_slice(w, place, place + 12), ' ') AS passage FROM places),
+firsts AS (SELECT passage, min(k) AS least FROM windows GROUP BY passage),
+found AS (SELECT r, place FROM windows JOIN firsts USING (passage) WHERE least < k),
+gone AS (SELECT DISTINCT r, place + more AS place FROM found, range(0, 13) AS t(more)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM texts),
+rest AS (SELECT r, string_agg(word, ' ' ORDER BY place) AS rest, count(*) AS n FROM words ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM texts LEFT JOIN rest USING (r)
+"""

@@ -11,7 +11,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from rangeloom.llm import setsketch
+from rangeloom.llm import debruijn, setsketch
 from rangeloom.llm.debruijn import repeated_passages
 from rangeloom.llm.minhash import jaccard_links, near_duplicates
 from rangeloom.llm.quality import quality_rules
@@ -156,11 +156,50 @@ def passages_model(docs, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k, chunk", [(13, 4 << 20), (13, 2000), (4, 500)])
-def test_repeated_passages(spark, k, chunk):
+@pytest.mark.parametrize("k, most, full", [(13, 4 << 20, False), (13, 2000, False), (4, 500, False), (13, 2000, True), (4, 500, True)])
+def test_repeated_passages(spark, monkeypatch, k, most, full):
+    monkeypatch.setattr(debruijn, "SLICE_MOST", most)
     docs = corpus(3, 90)
-    got = repeated_passages(frame(spark, docs), k=k, chunk_bytes=chunk)
-    assert rows(got) == passages_model(docs, k)
+    got = repeated_passages(frame(spark, docs), k=k, full=full)
+    model = passages_model(docs, k)
+    assert rows(got.select("doc_id", "n_words", "n_removed", "kept_sha256")) == model
+    if full:
+        words = {i: words_of(t) for i, t in docs}
+        removed = {i: n for i, _, n, _ in model}
+        for r in got.collect():
+            assert words_of(r.text) == [w for j, w in enumerate(words[r.doc_id]) if not any(s.start <= j < s.start + s.length for s in r.spans)]
+            assert len(words_of(r.text)) == r.n_words - removed[r.doc_id]
+            for s in r.spans:  # the source coordinates hold the same words, in a document before
+                assert s.source_id < r.doc_id and words[r.doc_id][s.start : s.start + s.length] == words[s.source_id][s.source_start : s.source_start + s.length]
+
+
+def test_repeated_passages_follow_sql(spark):
+    import duckdb
+
+    docs = [*corpus(5, 60), (None, "n " * 40), (None, " ".join(f"v{i}" for i in range(20))), (900, " ".join(f"v{i}" for i in range(30)))]
+    got = rows(repeated_passages(frame(spark, docs)))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())}))
+    want = con.execute(debruijn.ORACLE).fetchall()
+    assert got == sorted(want, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
+
+
+def test_paths_are_compacted(spark):
+    """A path goes on while document and source both advance; where the source branches a span ends."""
+    w = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(w[:30])), (2, " ".join(w[30:])), (3, " ".join(w)), (4, " ".join([*w[:20], "x", *w[40:]]))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeated_passages(frame(spark, docs), full=True).collect()}
+    assert got[1] == got[2] == []
+    assert got[3] == [(0, 30, 1, 0), (30, 30, 2, 0)]  # edges over the middle are new
+    assert got[4] == [(0, 20, 1, 0), (21, 20, 2, 10)]
+
+
+def test_unverified_spans_remove_nothing():
+    words = " ".join(f"w{i}" for i in range(20))
+    span = pa.array([[{"start": 2, "length": 13, "check": 1, "source_id": 1, "source_start": 0}]], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("check", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([words]), span], names=["id", "text", "spans"])
+    out = next(debruijn._settle(True, ())(iter([batch]))).to_pylist()[0]
+    assert out["n_removed"] == 0 and out["spans"] == [] and out["text"] == words
 
 
 def test_repeated_passages_text_and_spans(spark):
