@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import cut, shuffle_width
@@ -125,17 +125,28 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
 
 
-_EDGES = ("ids", "keys", "counts", "edges", "low", "high")
+# Positions travel as steps from edge to edge of a document, in planes by size, most of which are all zeros and compress away.
+_EDGES = ("ids", "keys", "counts", "edges", "low", "middle", "high")
 EDGES = f"bucket long, {', '.join(f'{c} binary' for c in _EDGES)}, {PIECES}"
 
 
-def _send(k: int, buckets: int, slice_bytes: int) -> callable:
+def one_to_a_partition(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` numbers that a shuffle by number into ``n`` partitions deals to one partition each (few are dealt twice)."""
+    place = F.pmod(F.hash("id"), F.lit(n))
+    found = spark.range(n * (n.bit_length() + 6)).groupBy(place.alias("place")).agg(F.min("id").alias("id")).toPandas()  # n rows, as many as shuffle partitions
+    out = -1 - np.arange(n, dtype=np.int64)
+    out[found["place"].to_numpy()] = found["id"]
+    return out
+
+
+def _send(k: int, numbers: np.ndarray, slice_bytes: int) -> callable:
     """Step 1: a slice's edges by bucket (document ids, their text hashes, edges of each, low bytes, positions) and the pieces that the slice settles itself."""
     names = ["bucket", *_EDGES, *(c.split()[0] for c in PIECES.split(", "))]
+    buckets = len(numbers)
 
-    def rows(numbers: np.ndarray, edges: list[pa.Array], pieces: list[pa.Array]) -> pa.RecordBatch:
-        none = pa.array([b""] * len(numbers), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(edges or [none] * 6), *(pieces or [none] * 4)], names=names)
+    def rows(which: np.ndarray, edges: list[pa.Array], pieces: list[pa.Array]) -> pa.RecordBatch:
+        none = pa.array([b""] * len(which), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(numbers[which]), *(edges or [none] * 7), *(pieces or [none] * 4)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", slice_bytes):
@@ -170,12 +181,16 @@ def _send(k: int, buckets: int, slice_bytes: int) -> callable:
             at = np.append(first_at, len(w))
             heads, owner = np.searchsorted(run_at, at), doc[w[run_at]]
             counts = np.diff(np.append(run_at, len(w))).astype(np.uint32)
-            yield rows(bucket[first_at], [_blobs(ids[owner], heads), _blobs(keys[owner], heads), _blobs(counts, heads), _blobs(_pack(h[w]), at, _LOW), _blobs(pos[w].astype(np.uint16), at), _blobs((pos[w] >> 16).astype(np.uint16), at)], [])
+            step = pos[w]
+            step[1:] -= step[:-1].copy()
+            step[run_at] = pos[w][run_at]
+            planes = [_blobs((step >> shift).astype(kind), at) for shift, kind in ((0, np.uint8), (8, np.uint8), (16, np.uint16))]
+            yield rows(bucket[first_at], [_blobs(ids[owner], heads), _blobs(keys[owner], heads), _blobs(counts, heads), _blobs(_pack(h[w]), at, _LOW), *planes], [])
 
     return run
 
 
-def _match(groups: int) -> callable:
+def _match(numbers: np.ndarray) -> callable:
     """Step 2: the repeated edges of a bucket with their source, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -183,7 +198,10 @@ def _match(groups: int) -> callable:
         counts = _flat(table.column("counts"), np.uint32)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         h = _unpack(_flat(table.column("edges"), np.uint8))
-        pos = _flat(table.column("low"), np.uint16).astype(np.int64) | _flat(table.column("high"), np.uint16).astype(np.int64) << 16
+        low, middle, high = (_flat(table.column(c), kind).astype(np.int64) for c, kind in (("low", np.uint8), ("middle", np.uint8), ("high", np.uint16)))
+        pos = np.cumsum(low | middle << 8 | high << 16)
+        run_at = np.cumsum(counts, dtype=np.int64) - counts
+        pos -= np.repeat((np.append(0, pos)[run_at]), counts)
         parts = -(-len(h) // PART)
         part = (mix(h) % U(max(1, parts))).astype(np.uint16) if parts > 1 else None
         found = [Pieces.decode(table)]
@@ -204,8 +222,8 @@ def _match(groups: int) -> callable:
             found.append(Pieces(id_[later], key[later], id_[s], key[s], at[later], at[s], np.ones(len(s), dtype=np.int64)))
         pieces = Pieces.joined(found)
         pieces = pieces.take(np.lexsort((pieces.pos, pieces.h, pieces.id)))
-        number, columns = pieces.encode((mix(pieces.h.view(np.uint64) ^ mix(pieces.id.view(np.uint64))) % U(groups)).astype(np.int64))
-        return pa.table([pa.array(number, pa.int64()), *columns], names=["g", *(c.split()[0] for c in PIECES.split(", "))])
+        number, columns = pieces.encode((mix(pieces.h.view(np.uint64) ^ mix(pieces.id.view(np.uint64))) % U(len(numbers))).astype(np.int64))
+        return pa.table([pa.array(numbers[number]), *columns], names=["g", *(c.split()[0] for c in PIECES.split(", "))])
 
     return run
 
@@ -244,8 +262,14 @@ def _check(texts: Texts, start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4: the hashes of the words at the wanted source coordinates."""
+    """Step 4: the hashes of the words at the wanted source coordinates; of rows that repeat a document, which come one after the other, the first answers."""
+    last = None
     for batch in slices(batches, "text"):
+        keys, hs = batch.column("key").to_numpy(), batch.column("h").to_numpy()
+        new = _changes(keys, hs)
+        new[0] = (keys[0], hs[0]) != last
+        last = (keys[-1], hs[-1])
+        batch = batch.filter(pa.array(new))
         texts = Texts(batch.column("text"), hashes=False)
         row, want = _lists(batch.column("wants"), batch.num_rows)
         check = _check(texts, texts.w0[row] + want["source_start"], want["length"])
@@ -329,19 +353,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     slice_bytes = min(SLICE_MOST, max(SLICE_LEAST, buckets * SLICE_PER_BUCKET))
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
     texts = docs.select(F.coalesce(id_, F.lit(LAST)).alias("key"), F.xxhash64(text).alias("h"), id_.alias("id"), text.alias("text"), *carry)
-    edges = texts.select("key", "h", "text").mapInArrow(_send(k, buckets, slice_bytes), EDGES)
-    repeated = edges.groupBy("bucket").applyInArrow(_match(buckets), f"g long, {PIECES}")
+    numbers = one_to_a_partition(docs.sparkSession, buckets)
+    edges = texts.select("key", "h", "text").mapInArrow(_send(k, numbers, slice_bytes), EDGES)
+    repeated = edges.groupBy("bucket").applyInArrow(_match(numbers), f"g long, {PIECES}")
     spans = cut(repeated.groupBy("g").applyInArrow(_compact(k), ", ".join(f"{c} long" for c in _SPAN_ROW)))
     source = ["source_id", "source_h", "source_start", "length"]
     wants = spans.select(*source).distinct().groupBy(F.col("source_id").alias("key"), F.col("source_h").alias("h")).agg(F.collect_list(F.struct("source_start", "length")).alias("wants"))
-    answers = texts.join(wants, ["key", "h"]).mapInArrow(_answer, ", ".join(f"{c} long" for c in (*source, "check")))
-    # Rows that repeat a document repeat its answers.
-    answers = answers.dropDuplicates(source)
+    # Sorted by key, and by the exchange that the last join uses too. Without an aggregation behind it, the next join is one that Spark can split where a passage is frequent.
+    answers = texts.join(wants.hint("merge"), ["key", "h"]).mapInArrow(_answer, ", ".join(f"{c} long" for c in (*source, "check")))
     checked = spans.join(answers, source).groupBy("key", "h").agg(F.collect_list(F.struct("start", "length", "check", "source_id", "source_start")).alias("spans"))
     kinds = dict(texts.dtypes)
     out = "id long, n_words long, n_removed long, kept_sha256 string" + (f", text string, spans {SPANS}" if full else "")
     out = ", ".join([out, *(f"{c} {kinds[c]}" for c in carry)])
-    return texts.join(checked, ["key", "h"], "left").mapInArrow(_settle(full, carry), out).withColumnRenamed("id", id_col)
+    return texts.join(checked.hint("merge"), ["key", "h"], "left").mapInArrow(_settle(full, carry), out).withColumnRenamed("id", id_col)
 
 
 #: DuckDB's twin of the query: the definition, window by window.
