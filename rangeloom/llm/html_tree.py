@@ -8,7 +8,6 @@ its own from layouts, with every node's label; more can be given to ``fit``.
 
 from __future__ import annotations
 
-import html
 import math
 import random
 import re
@@ -19,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markup import Tags, unescape
+
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,8 +37,8 @@ KINDS = {
 AWAY_WORDS = "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail widget footer foot bottom copyright header masthead topbar top cookie cookies consent gdpr notice alert popup modal overlay share sharing social follow subscribe newsletter signup login comment comments reply replies discussion respondents disqus related recommended more pager pagination tags toc skip search form hidden print legal".split()
 MAIN_WORDS = "article content post entry story main body text prose page paragraph blog".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LABEL = re.compile(r'data-label="(content|away)"')
 _WORD = re.compile(r"[a-z]+")
 _AWAY, _MAIN = frozenset(AWAY_WORDS), frozenset(MAIN_WORDS)
 
@@ -53,18 +54,21 @@ class Node:
         self.given: str | None = None
 
 
-def parse(source: str) -> list[Node]:
-    """The block elements of a page in order of their start, each with its own text; parents come before children."""
+def parse(source: str, labelled: bool = False) -> list[Node]:
+    """The block elements of a page in order of their start, each with its own text; parents come before children.
+
+    ``labelled`` pages say in data-label="content" or "away" what an element is.
+    """
     nodes = [Node("html", "", -1, False)]
     stack: list[tuple[str, int]] = [("html", 0)]
-    run, links, at, end = 0, 0, 0, len(source)
-    token = _TOKEN
+    where: dict[str, list[int]] = {}  # the places of open elements in the stack, by tag
+    run = links = at = 0
+    tags = Tags(source)
 
     def add(text: str) -> None:
         node = nodes[stack[-1][1]]
         if text and not node.dropped:
-            if "&" in text:
-                text = html.unescape(text)
+            text = unescape(text)
             node.parts.append((run, text))
             size = len(text.strip())
             node.length += size
@@ -73,32 +77,31 @@ def parse(source: str) -> list[Node]:
             if "©" in text:
                 node.sign = True
 
-    while at < end:
-        m = token.search(source, at)
-        if not m:
-            add(source[at:])
-            break
-        if m.start() > at:
-            add(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    def close(place: int) -> None:
+        while len(stack) > place:
+            where[stack.pop()[0]].pop()
+
+    def innermost(names: Iterable[str]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    while found := tags.next():
+        start, ends, tag, attributes = found
+        if start > at:
+            add(source[at:start])
+        at = tags.at
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             add("\n")
             continue
-        if m[1]:
+        if ends:
             if tag in INLINE:
                 if tag == "a" and links:
                     links -= 1
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    run += 1
-                    links = 0
-                    break
+            elif where.get(tag):
+                close(where[tag][-1])
+                run += 1
+                links = 0
             continue
         if tag in INLINE:
             links += tag == "a"
@@ -107,31 +110,26 @@ def parse(source: str) -> list[Node]:
         if tag in VOID:
             continue
         if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
-        close = SAME.get(tag)
-        if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in close:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+            close(len(stack) - 1)
+        if tag in SAME:
+            place = innermost(SAME[tag])
+            if place > innermost(SCOPE):
+                close(place)
         links = 0
         parent = stack[-1][1]
-        attributes = m[3]
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes and "=" in attributes else ""
-        dropped = nodes[parent].dropped or tag in DROPPED
-        node = Node(tag, names, parent, dropped)
-        if attributes and "data-label" in attributes:
-            node.given = re.search(r'data-label="(\w+)"', attributes)[1]
-        if attributes.endswith("/") and tag in RAW:
-            continue
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
         if tag in RAW:
-            close_at = re.compile(f"</{tag}\\s*>", re.I).search(source, at)
-            at = close_at.end() if close_at else end
+            if not attributes.endswith("/"):
+                tags.skip(tag)
+                at = tags.at
             continue
+        node = Node(tag, names, parent, nodes[parent].dropped or tag in DROPPED)
+        if labelled and (given := _LABEL.search(attributes)):
+            node.given = given[1]
+        where.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(nodes)))
         nodes.append(node)
+    add(source[at:])
     return nodes
 
 
@@ -163,7 +161,7 @@ class Model:
         seen = [[Counter(), Counter()] for _ in range(5)]
         edge = [[[smoothing, smoothing], [smoothing, smoothing]] for _ in range(2)]
         for page in pages:
-            nodes = parse(page)
+            nodes = parse(page, labelled=True)
             label: list[int] = []
             for node in nodes:
                 y = int(node.given == "content") if node.given else label[node.parent] if node.parent >= 0 else 0

@@ -1,9 +1,14 @@
 """Packing, toxicity, pages, urls, vectors, WARC and the pipeline."""
 
+import base64
 import gzip
+import hashlib
+import html
+import html.parser
 import io
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +17,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from rangeloom.llm import html_tree, linkgraph, packing, warc
+from rangeloom.llm import html_tree, linkgraph, markup, packing, warc
 from rangeloom.llm.multiindex import Grid, near_vectors
 from rangeloom.llm.textkit import Texts
 from rangeloom.llm.toxicity import best_cut, classify, fit_chain
@@ -133,6 +138,104 @@ def test_pages(spark):
     assert html_tree.extract_main_text(df.limit(0)).count() == 0
 
 
+BROKEN = {
+    "unclosed": "<div>" * 20000 + "</q1>" * 20000, "quotes": '<a x="' * 20000, "odd quotes": '<a x="' * 20001 + ">", "names": "<a" * 20000 + '">', "spaces": "<a " * 20000, "titles": "<title>" * 20000,
+    "cells": "<table><td><table>" + "<x>" * 20000 + "<td></td>" * 20000, "declarations": "<!" * 50000, "comments": "<!--" * 50000, "scripts": "<script" * 20000, "signs": "<" * 200000, "mixed": "<a '\">" * 30000,
+    "class": "<p class" + " " * 50000 + "class" * 5000 + ">x", "digits": "<p>&#" + "9" * 100000 + ";", "heads": "<head>" * 20000, "charsets": "&" * 100000,
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_linear_time(kind):
+    """No page crashes a task or takes more than 2 seconds a MB."""
+    model = html_tree.Model.fit(html_tree.labelled_pages(40))
+    page = BROKEN[kind] * (1 + 400_000 // len(BROKEN[kind]))
+    start = time.time()
+    html_tree.main_text(page, model)
+    warc.derive(warc.response(1, "u", page))
+    assert time.time() - start < 4 * len(page) / 1e6 + 0.2
+
+
+def test_labels_of_other_kinds_are_no_labels():
+    model = html_tree.Model.fit(html_tree.labelled_pages(100))
+    for label in ('data-label="Unit price"', "data-label='x'", 'data-label=""', "data-label"):
+        assert html_tree.main_text(f"<article><p {label}>{'A sentence of the text. ' * 9}</p></article>", model) == ("A sentence of the text. " * 9).strip()
+
+
+def test_references_of_any_length():
+    for text in ("&#65;&#x41;&#00000000000065;&#x0000000041;", "a&amp;#00000000065;", "&lt&notin;&bogus;&", "&#x110000;&#0;"):
+        assert markup.unescape(text) == html.unescape(text)
+    assert markup.unescape("&#" + "9" * 5000 + ";x&#x" + "f" * 90) == "\ufffdx\ufffd"
+
+
+class Reader(html.parser.HTMLParser):
+    """The standard library's parser as a second opinion on plain text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.HIDDEN and not self.hidden:
+            self.hidden.append(tag)
+        if tag not in warc.INLINE:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[0] == tag:
+            self.hidden.pop()
+        if tag not in warc.INLINE:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_derivatives_equal_another_parsers(spark):
+    """Whole query on a small table, held against the standard library's HTML parser and recomputed digests."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    given = {r.page_id: r for r in pages.collect()}
+    got = warc.build_derivatives(pages).collect()
+    assert len(got) == 2 * len(given)
+    for r in got:
+        page = given[r.page_id]
+        reader = Reader()
+        reader.feed(page.html or "")
+        reader.close()
+        lines = (" ".join(x.split()) for x in "".join(reader.out).split("\n"))
+        payload = (page.html or "").encode()
+        assert r.target_uri == page.url and r.content_length == len(r.block.encode())
+        assert r.payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(r.block.encode()).digest()).decode()
+        if r.record_type == "conversion":
+            assert r.block == "\n".join(x for x in lines if x)
+
+
+def test_bodies_are_decoded():
+    text = "<p>Grüße</p>"
+    def block(body, *headers):
+        return {"block": b"\r\n".join([b"HTTP/1.1 200 OK", *headers, b"", body]), "record_id": "<r>", "target_uri": "u", "date": "d", "page_id": 1, "payload_digest": None}
+
+    def derived(body, *headers):
+        meta, conversion = warc.derive(block(body, *headers))
+        return conversion["block"].decode(), meta["block"].decode()
+
+    plain = text.encode()
+    chunked = b"".join(b"%x;n=1\r\n%s\r\n" % (len(plain[i : i + 5]), plain[i : i + 5]) for i in range(0, len(plain), 5)) + b"0\r\n\r\n"
+    assert derived(chunked, b"Transfer-Encoding: chunked")[0] == derived(plain)[0] == "Grüße"
+    assert derived(gzip.compress(plain), b"Content-Encoding: gzip")[0] == derived(zlib.compress(plain), b"Content-Encoding: deflate")[0] == derived(zlib.compress(plain)[2:-4], b"Content-Encoding: deflate")[0] == "Grüße"
+    assert derived(gzip.compress(plain), b"Content-Encoding: br") == ("", derived(gzip.compress(plain), b"Content-Encoding: br")[1]) and "unread-content-encoding: br" in derived(plain, b"Content-Encoding: br")[1]
+    assert derived(text.encode("latin-1"), b"Content-Type: text/html; charset=ISO-8859-1")[0] == "Grüße"
+    for odd in (b"undefined", b"idna", b"punycode", b"hex", b"none-such", b"unicode_escape"):
+        assert derived(plain, b"Content-Type: text/html; charset=" + odd)[0] == "Grüße"
+    lines = derived(plain, b"Set-Cookie: a=1", b"Set-Cookie: b=2", b"X: 1", b"  2")[1].splitlines()
+    assert lines[-3:] == ["source-set-cookie: a=1", "source-set-cookie: b=2", "source-x: 1 2"]
+    kept = warc.derive(block(plain, b"Set-Cookie: a=1", b"Set-Cookie: b=2"))[0]["headers"]
+    assert kept[-2:] == [("WARC-Source-Set-Cookie", "a=1"), ("WARC-Source-Set-Cookie", "b=2")]
+
+
 def test_marginals_are_exact():
     model = html_tree.Model.fit(html_tree.labelled_pages(60))
     nodes = html_tree.parse(html_tree.labelled_pages(3, seed=5)[0])[:11]
@@ -150,7 +253,7 @@ def test_held_out_layouts():
     model = html_tree.Model.fit(html_tree.labelled_pages())
     good = n = 0
     for page in html_tree.labelled_pages(80, seed=99):
-        nodes = html_tree.parse(page)
+        nodes = html_tree.parse(page, labelled=True)
         label = []
         for node, p in zip(nodes, model.marginals(nodes), strict=True):
             label.append(int(node.given == "content") if node.given else label[node.parent] if node.parent >= 0 else 0)
@@ -270,7 +373,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.refers_to for r in mine.values()} == {response["record_id"]} and {r.payload_digest for r in mine.values()} == {response["payload_digest"]}
     assert bytes(mine["conversion"].block) == b"One two\nL"
     assert mine["metadata"].block.decode().splitlines()[:2] == ["title: A & b", "outlink: /x?a&b"]
-    assert mine["conversion"].headers["WARC-Source-Content-Type"] == "text/html; charset=utf-8"
+    assert [tuple(h) for h in mine["conversion"].headers] == [("WARC-Refers-To-Target-URI", "http://a.b/é"), ("WARC-Refers-To-Date", warc.DATE), ("WARC-Source-Content-Type", "text/html; charset=utf-8")]
     records = [response, *(r.asDict() for r in made)]
     (tmp_path / "a.warc").write_bytes(b"".join(warc.to_bytes(r) for r in records))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(warc.to_bytes(r, compress=True) for r in records))
@@ -282,8 +385,15 @@ def test_warc_round_trip(spark, tmp_path):
     whole = warc.build_derivatives(pages).collect()
     crc = {(r["record_id"]): zlib.crc32(warc.to_bytes(r)) for r in records[1:]}
     assert len(whole) == 8 and all(crc[r.record_id] == r.record_crc32 for r in whole)
-    cut = warc.to_bytes(response)[:-40]
-    assert list(warc.parse(io.BufferedReader(io.BytesIO(cut)))) == [] and len(list(warc.parse(io.BufferedReader(io.BytesIO(gzip.compress(warc.to_bytes(response))))))) == 1
+    assert {(r.record_id, r.block) for r in whole} == {(r["record_id"], bytes(r["block"]).decode()) for r in records[1:]}
+    read = lambda data: list(warc.parse(io.BufferedReader(io.BytesIO(data))))
+    assert len(read(gzip.compress(warc.to_bytes(response)))) == 1
+    for cut in (warc.to_bytes(response)[:-40], warc.to_bytes(response, compress=True)[:-40]):
+        (half,) = read(cut)
+        assert half["headers"][-1] == ("WARC-Truncated", "unspecified") and response["block"].startswith(half["block"]) and half["record_id"] == response["record_id"]
+    assert read(warc.to_bytes(response).replace(b"Content-Length: ", b"Content-Length: x"))[0]["headers"][-1][0] == "WARC-Truncated" and read(b"") == read(b"no") == []
+    folded = warc.to_bytes(response).replace(b"WARC-Date", b"X-Note: one\r\n two\r\nX-Note: three\r\nWARC-Date")
+    assert read(folded)[0]["headers"] == [("X-Note", "one two"), ("X-Note", "three")]
     assert warc.build_derivatives(pages.limit(0)).count() == 0
 
 
