@@ -30,6 +30,12 @@ def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` by u. The second key, which follows from u, makes both sides pass an exchange of their own: such a join Spark can split where a node has many edges."""
+    again = F.pmod(F.col("u"), F.lit(2)).alias("__again")
+    return rows.select("*", again).join(table.select("*", again), ["u", "__again"]).drop("__again")
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for every node of an edge the smallest node reachable.
 
@@ -47,10 +53,10 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _joined(both.filter(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") > F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = _joined(large, least)
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(small.filter(F.col("u") > F.col("v")).distinct())
         now = mark(e)

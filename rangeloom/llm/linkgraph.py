@@ -86,13 +86,36 @@ def _shares(pairs: DataFrame) -> DataFrame:
     return cut(pairs.join(totals, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
 
 
-#: DuckDB's twin of the query where pages hold no links to other hosts, so that trust and distrust are the seeds' own.
-ORACLE = """
-WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                      coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-rules(rule_verdict, name, prefix) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+def oracle(damping: float = 0.85, rounds: int = 15, least: float = 1.0) -> str:
+    """DuckDB's twin of the query: rules, links between hosts and as many rounds of both propagations."""
+    lower = f"'{_UPPER}', '{_LOWER}'"
+
+    def side(name: str, edges: str, seeds: str) -> str:
+        out = [f"{name}0 AS MATERIALIZED (SELECT host, weight AS rank FROM {seeds})"]
+        for k in range(1, rounds + 1):
+            out.append(f"{name}_moved{k} AS MATERIALIZED (SELECT dst AS host, sum(rank * share) AS got FROM {edges} JOIN {name}{k - 1} ON src = host GROUP BY dst)")
+            home = f"SELECT host, weight * (1 - {damping} * (SELECT coalesce(sum(got), 0) FROM {name}_moved{k})) AS rank FROM {seeds}"
+            out.append(f"{name}{k} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM ({home} UNION ALL SELECT host, {damping} * got FROM {name}_moved{k}) GROUP BY host)")
+        return ",\n".join(out)
+
+    rules = ", ".join(f"('{v}', '{n}', '{p}')" for v, n, p in RULES)
+    return rf"""
+WITH parts AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {lower}), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+rules(rule_verdict, name, prefix) AS (VALUES {rules}),
 ruled AS (SELECT page_id, host, path, arg_max(name || prefix, length(name || prefix)) AS rule, arg_max(rule_verdict, length(name || prefix)) AS rule_verdict
           FROM parts LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) GROUP BY page_id, host, path),
-leans AS (SELECT host, sum(CASE rule_verdict WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END) AS lean FROM ruled WHERE host <> '' GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN lean < 0 THEN 'block' END, 'allow') AS verdict FROM ruled LEFT JOIN leans USING (host)
+leans AS (SELECT host, sum(CASE rule_verdict WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END)::DOUBLE AS lean FROM ruled WHERE host <> '' GROUP BY host),
+good AS MATERIALIZED (SELECT host, lean / sum(lean) OVER () AS weight FROM leans WHERE lean > 0),
+bad AS MATERIALIZED (SELECT host, lean / sum(lean) OVER () AS weight FROM leans WHERE lean < 0),
+linked AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1), lambda h : translate(h, {lower})))) AS dst FROM parts WHERE host <> ''),
+pairs AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM linked WHERE src <> dst GROUP BY src, dst),
+ahead AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM pairs),
+back AS MATERIALIZED (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM pairs),
+{side("trust", "ahead", "good")},
+{side("distrust", "back", "bad")}
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(d.rank, 0) > {least} * coalesce(t.rank, 0) THEN 'block' END, 'allow') AS verdict
+FROM ruled LEFT JOIN trust{rounds} t USING (host) LEFT JOIN distrust{rounds} d USING (host)
 """
+
+
+ORACLE = oracle()

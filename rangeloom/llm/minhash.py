@@ -21,8 +21,8 @@ from .components import connected, forest
 from .store import cut
 from .textkit import Texts, U, group_starts, mix, run_hashes, slices
 
-#: Classes in a block, about.
-BLOCK = 192
+#: Classes in a block, about, and shingles of theirs.
+BLOCK, ITEMS = 192, 400_000
 #: Standard deviations of the estimate below the threshold at which a pair is still confirmed.
 SLACK = 6.0
 
@@ -46,6 +46,16 @@ def _order(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return order[np.argsort(doc[order], kind="stable")]
 
 
+def _sums(h: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """Two independent sums over each set, equal for equal sets."""
+    sums = []
+    for part in (mix(h), mix(h ^ U(0xA0761D6478BD642F))):
+        total = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(part, out=total[1:])
+        sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
+    return sums
+
+
 def _sketch_rows(shingle: int) -> callable:
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary())])
 
@@ -55,11 +65,7 @@ def _sketch_rows(shingle: int) -> callable:
             doc, h = shingle_sets(texts, shingle)
             cuts = np.searchsorted(doc, np.arange(texts.n + 1))
             registers = setsketch.sketches(h, doc, texts.n)
-            sums = []
-            for part in (mix(h), mix(h ^ U(0xA0761D6478BD642F))):
-                total = np.zeros(len(h) + 1, dtype=np.uint64)
-                np.cumsum(part, out=total[1:])
-                sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
+            sums = _sums(h, cuts)
             width = registers.shape[1] * 2
             blob = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer((np.arange(texts.n + 1) * width).astype(np.int32)), pa.py_buffer(registers.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts)), pa.array(sums[0]), pa.array(sums[1]), blob], schema=schema)
@@ -71,8 +77,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = setsketch.band_keys(_registers(batch.column("sketch")))
-            rep = np.repeat(batch.column("rep").to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], names=["key", "rep"])
+            rep, n = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("rep", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep), pa.array(n)], names=["key", "rep", "n"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -86,9 +92,9 @@ def _set_rows(shingle: int) -> callable:
         for batch in slices(batches, "text"):
             texts = Texts(batch.column("text"), lower=True)
             doc, h = shingle_sets(texts, shingle)
-            cuts = (np.searchsorted(doc, np.arange(texts.n + 1)) * 8).astype(np.int32)
-            sets = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer(cuts), pa.py_buffer(h.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["rep", "items"])
+            cuts = np.searchsorted(doc, np.arange(texts.n + 1))
+            sets = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(h.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x) for x in _sums(h, cuts)), sets], names=["rep", "f1", "f2", "items"])
 
     return run
 
@@ -164,22 +170,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are lower-cased (A-Z) and split at ASCII white space; a text of fewer than ``shingle`` words is one shingle,
     an empty or null text has none and links with nothing. Texts link at 100 * intersection >= ``percent`` * union,
     confirmed on the full sets. ``component_id`` is the smallest id reachable by links; ``kept`` marks that row. Rows
-    that repeat an id and text are all kept with it (they are one document). Rows of null id get their count, a null
+    that repeat an id and text are all kept with it (they are one document); rows that share an id but not the text are one
+    document too, which links with whatever one of its texts links with. Rows of null id get their count, a null
     component and are kept. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = cut(rows.mapInArrow(_sketch_rows(shingle), "id long, n long, f1 long, f2 long, sketch binary"))
     classes = cut(sketched.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    bands = classes.select("rep", "sketch").mapInArrow(_band_rows, "key long, rep long")
+    bands = classes.select("rep", "n", "sketch").mapInArrow(_band_rows, "key long, rep long, n long")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(bands.join(hubs, "key").select("hub", "rep").distinct())
+    members = cut(bands.join(hubs, "key").groupBy("hub", "rep").agg(F.max("n").alias("n")))
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = rows.join(wanted, "id").mapInArrow(_set_rows(shingle), "rep long, items binary").dropDuplicates(["rep"])
-    sets = cut(sets.join(classes.select("rep", "sketch"), "rep"))
+    sets = rows.join(wanted, "id").mapInArrow(_set_rows(shingle), "rep long, f1 long, f2 long, items binary").dropDuplicates(["rep", "f1", "f2"])
+    sets = cut(sets.join(classes.select("rep", "f1", "f2", "sketch"), ["rep", "f1", "f2"]).select("rep", "sketch", "items"))
     # Counts are cut off before they are joined: a join of two plain exchanges is one that Spark can split where a hub is frequent.
-    counts = cut(members.groupBy("hub").agg(F.count(F.lit(1)).alias("size")))
-    placed = members.join(counts, "hub").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    counts = cut(members.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ITEMS)).cast("long").alias("blocks")))
+    placed = members.join(counts, "hub")
     placed = cut(placed.withColumn("block", F.pmod(F.xxhash64("rep", "hub"), "blocks")))
     link = _link_unit(percent)
     edge = "a long, b long"
@@ -194,8 +201,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = cut(linked(small.unionByName(star)))
     # What did not link with its hub meets every block of the cluster.
     near = first.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct()
-    out = cut(large.filter("rep <> hub").join(near, ["hub", "rep"], "left_anti").select("hub", "rep"))
-    out = out.join(cut(out.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))), "hub")
+    out = cut(large.filter("rep <> hub").join(near, ["hub", "rep"], "left_anti").select("hub", "rep", "n"))
+    out = out.join(cut(out.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ITEMS)).cast("long").alias("parts"))), "hub")
     out = cut(out.withColumn("x", F.pmod(F.xxhash64("rep", "hub", F.lit(1)), "parts")).select("hub", "x", "rep"))
     meets = out.select("hub", "x").distinct().join(large.select("hub", F.col("block").alias("y")).distinct(), "hub")
     left = meets.join(out, ["hub", "x"]).select("hub", "x", "y", F.lit(0).alias("side"), "rep")

@@ -34,6 +34,8 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     row = np.repeat(np.arange(len(column)), size)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)] = values
+    # By powers of two, which change no digit: squares of very small or large components stay in range.
+    out = np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, initial=0.0, keepdims=True))[1])
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 

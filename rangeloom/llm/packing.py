@@ -88,17 +88,28 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Texts that tell whether a tokenizer treats words as ``Encoder`` expects.
+PROBES = ["The quick  brown fox\tjumps\n\nover: it's (a) dog's day, isn't it?", " leading and trailing ", "x=1;y[2]->z/*c*/ 3.14 1,000 a_b-c", "Größe déjà vu 你好 世界 привет", "UPPER lower CamelCase <|tag|> <b>", "a" * 40 + " " * 9 + "b\r\nc"]
+
+
 class Encoder:
     """Token ids of whole texts, each distinct piece of text encoded once and remembered up to a bound.
 
     The tokenizer drops white space and never joins across it, nor from an ASCII letter to other printable ASCII, but
-    for contractions and marks of special tokens: words with an apostrophe or "<|" stay whole.
+    for contractions and marks of special tokens: words with an apostrophe or "<|" stay whole. Tokenizers that fail on
+    ``PROBES`` are refused.
     """
 
     def __init__(self, path: str, most: int = 1_500_000):
         self.tokenizer, self.most = _tokenizer(path), most
         self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.clear()
+        probes = Texts(pa.array(PROBES))
+        found, per_word = self.ids(probes)
+        ends = np.concatenate([[0], np.cumsum(per_word)])[probes.w0]
+        for text, a, b in zip(PROBES, ends, ends[1:], strict=False):
+            if found[a:b].tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"this tokenizer does not encode words one by one: {path}")
 
     def clear(self) -> None:
         self.key, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none (local tests)."""
+    """The session's checkpoint folder. Where the session names none, a temporary one in local mode; on a cluster, whose machines would not share it, an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     have = sc.getCheckpointDir()
     if have:
         return have
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     folder = named or tempfile.mkdtemp(prefix="rangeloom-checkpoint-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()

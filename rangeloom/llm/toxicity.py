@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .textkit import PUNCTUATION, Texts, U, slices
 
 
@@ -143,16 +144,18 @@ def _predict(models: list[Linear]) -> callable:
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, folds: int = 3, features: int = 2000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, sample_bytes: int = 64 << 20, folds: int = 3, features: int = 2000) -> DataFrame:
     """(id, p_<category>, is_<category> ...) per row of ``docs``.
 
     ``categories`` maps names, in the order of the chain, to SQL conditions on a label row (a null condition counts as
-    false). The models are fitted on at most ``sample_rows`` labelled documents, those of least hash of the id; every
+    false). The models are fitted on at most ``sample_rows`` labelled documents, those of least hash of the id, as
+    far as their distinct words take ``sample_bytes`` (8 bytes a word; the first counts always); every
     document is then scored on its whole text. Cuts maximise F1 on out-of-fold probabilities. Texts are lower-cased and
     split at ASCII characters other than letters and digits; null and empty texts have no words and get the base
     probability. Without labels or positives nothing is flagged (cut 0.5 of probability 0). Repeated rows are scored alike; label
     rows that repeat an id are merged (true if any is); rows of null id are scored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     flags = [F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"y{i}") for i, c in enumerate(categories.values())]
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*flags)
@@ -160,7 +163,14 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str], *,
     kinds = ", ".join(f"y{i} int" for i in range(len(categories)))
     sample = rows.join(F.broadcast(known), "id").mapInArrow(_sample_rows, f"id long, {kinds}, words binary")  # bounded by sample_rows
     sample = sample.groupBy("id", *[f"y{i}" for i in range(len(categories))]).agg(F.min("words").alias("words"))  # one row of an id that repeats
-    sample = sample.toPandas().sort_values("id", ignore_index=True)  # bounded by sample_rows
+    sample = cut(sample)
+    sizes = sample.select("id", F.xxhash64("id").alias("h"), F.octet_length("words").alias("size")).toPandas().sort_values(["h", "id"])  # bounded by sample_rows
+    fits = sizes["size"].cumsum().to_numpy() <= sample_bytes
+    fits[:1] = True
+    if not fits.all():
+        chosen = spark.createDataFrame([(int(x),) for x in sizes["id"][fits]], "id long")
+        sample = sample.join(F.broadcast(chosen), "id", "left_semi")
+    sample = sample.toPandas().sort_values("id", ignore_index=True)  # bounded by sample_rows and sample_bytes
     found = [np.frombuffer(x, dtype=np.uint64) for x in sample["words"]]
     h = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
     doc = np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int64)
