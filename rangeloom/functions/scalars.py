@@ -26,6 +26,11 @@ def rate(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
 
+def score(ts: Column) -> Column:
+    """Nanoseconds since 1970 as a double, by which queues and registers are ordered (a double tells about 256 ns apart)."""
+    return (F.unix_micros(ts.cast("timestamp")) * 1000).cast("double")
+
+
 def int_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("long"))
 

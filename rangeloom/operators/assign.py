@@ -106,6 +106,44 @@ def policy(pending: Column, has_ring: Column) -> Column:
     return F.when((pending >= RING_POLICY) & has_ring, F.lit("ring")).when(pending >= RANDOM_POLICY, F.lit("random")).otherwise(F.lit("direct"))
 
 
+def pick(ledger: DataFrame, workers: DataFrame, now: Column, expiry: float) -> DataFrame:
+    """(worker_id, policy, partition_id, outcome): the range that each worker takes, all asking at once.
+
+    Pending ranges come first: from 20 on the smallest one that the ring gives to the worker, else, from 5 on, the first of
+    its seeded shuffle, else the smallest. Without pending ranges it is the reclaimable claimed range of the oldest update,
+    then the running one of the oldest heartbeat, if its heartbeat is stale enough to be taken from its owner. What several
+    workers want goes to the one of smallest name ("acquired"); the others have a "conflict" and ask again. "none": nothing
+    to take.
+    """
+    names = workers.select("worker_id").distinct()
+    pending = ledger.filter("status = 'pending' and worker_id = ''").select("partition_id")
+    n = pending.count()
+    shuffled = trial_orders(names, pending).select("worker_id", F.lit("random").alias("policy"), F.get("tries", F.lit(0)).alias("partition_id")) if n >= RANDOM_POLICY else None
+    if n >= RING_POLICY:
+        preferred = prefer(pending, ring(names)).groupBy("worker_id").agg(F.min("partition_id").alias("own"))
+        wanted = shuffled.join(preferred, "worker_id", "left").select("worker_id", F.when(F.col("own").isNotNull(), "ring").otherwise("random").alias("policy"), F.coalesce("own", "partition_id").alias("partition_id"))
+    elif shuffled is not None:
+        wanted = shuffled
+    elif n:
+        wanted = names.select("worker_id", F.lit("direct").alias("policy"), F.lit(pending.agg(F.min("partition_id")).first()[0]).alias("partition_id"))
+    else:
+        rows = ledger.filter(reclaimable("", now, expiry) & preemptable(now)).select("partition_id", "status", F.col("worker_id").alias("owner"), F.when(F.col("status") == "claimed", F.col("updated_at")).otherwise(F.col("last_heartbeat")).alias("since"))
+        firsts = rows.groupBy("status", "owner").agg(F.min(F.struct("since", "partition_id")).alias("first"))
+
+        def oldest(status: str) -> Column:
+            """Of the oldest ranges of two owners one at least is another's."""
+            found = firsts.filter(F.col("status") == status).orderBy("first").limit(2).select("owner", "first.partition_id").collect()
+            ids = [F.lit(r.partition_id) for r in found] + [F.lit(None)] * 2
+            return F.when(F.col("worker_id") == (found[0].owner if found else ""), ids[1]).otherwise(ids[0]).cast("long")
+
+        own = names.select("worker_id", *[oldest(s).alias(s) for s in ("claimed", "running")])
+        wanted = own.select("worker_id", F.when(F.col("claimed").isNotNull(), "claimed").when(F.col("running").isNotNull(), "running").otherwise("none").alias("policy"), F.coalesce("claimed", "running").alias("partition_id"))
+    winners = wanted.groupBy("partition_id").agg(F.min("worker_id").alias("winner"))
+    out = wanted.join(winners, "partition_id", "left")
+    outcome = F.when(F.col("partition_id").isNull(), "none").when(F.col("winner") == F.col("worker_id"), "acquired").otherwise("conflict")
+    return out.select("worker_id", "policy", F.col("partition_id").cast("long").alias("partition_id"), outcome.alias("outcome"))
+
+
 def trial_orders(workers: DataFrame, pending: DataFrame) -> DataFrame:
     """(worker_id, tries): the ids each worker would try, in order, from a shuffle of all pending ids; only the places that are tried are looked up."""
     ids = pending.select(F.col("partition_id").alias("id")).na.drop()

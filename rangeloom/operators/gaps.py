@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import Bounds, bounds_of, ordinal, running, with_next
+from .neighbours import Layout, bounds_of, ordinal, running, with_next
 
 
-def gaps_adjacent(ranges: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def gaps_adjacent(ranges: DataFrame, bounds: Layout | None = None) -> DataFrame:
     """(start_id, end_id) between each range and the next by start; nested ranges can give false gaps (see ``gaps_covered``)."""
     out = with_next(ranges.select("min_id", "max_id"), "min_id", {"following": "min_id"}, bounds=bounds)
     return out.filter("max_id + 1 < following").select((F.col("max_id") + 1).alias("start_id"), (F.col("following") - 1).alias("end_id")).distinct()
@@ -31,12 +31,11 @@ def id_gaps(ids: DataFrame, key: str) -> DataFrame:
 def islands(ids: DataFrame, key: str) -> DataFrame:
     """(min_id, max_id, n_ids) of the maximal runs of consecutive ids."""
     keys = ids.select(F.col(key).alias("id")).na.drop().distinct()
-    low, top = bounds_of(ids, key)
-    back = (-top, -low) if top is not None else None
-    backward = with_next(keys.select((-F.col("id")).alias("__neg"), "id"), "__neg", {"previous": "id"}, bounds=back)
+    layout = bounds_of(ids, key)
+    backward = with_next(keys.select((-F.col("id")).alias("__neg"), "id"), "__neg", {"previous": "id"}, bounds=layout.negated())
     starts = backward.filter("previous is null or previous < id - 1").select("id", "previous")
-    ended = with_next(starts, "id", {"end": "previous"}, bounds=(low, top))
-    return ended.select(F.col("id").alias("min_id"), F.coalesce("end", F.lit(top)).cast("long").alias("max_id")).withColumn("n_ids", F.col("max_id") - F.col("min_id") + 1)
+    ended = with_next(starts, "id", {"end": "previous"}, bounds=layout)
+    return ended.select(F.col("id").alias("min_id"), F.coalesce("end", F.lit(layout.high)).cast("long").alias("max_id")).withColumn("n_ids", F.col("max_id") - F.col("min_id") + 1)
 
 
 def contiguous_prefix(ranges: DataFrame) -> DataFrame:
@@ -61,21 +60,46 @@ def has_data(ranges: DataFrame, ids: DataFrame, key: str, *, low: str = "min_id"
 
 
 def split_gaps(gaps: DataFrame, ids: DataFrame, key: str, *, size: int, next_id: int, start_exclusive: bool = True) -> DataFrame:
-    """Fillers (partition_id, min_id, max_id): gaps cut in tiles of ``size``; those with data are numbered on from ``next_id`` in order."""
-    tiles = gaps.select("end_id", F.explode(F.sequence("start_id", "end_id", F.lit(size))).alias("min_id"))
-    tiles = tiles.select("min_id", F.least("end_id", F.col("min_id") + size - 1).alias("max_id"))
-    kept = has_data(tiles, ids, key, size=size, start_exclusive=start_exclusive)
+    """Fillers (partition_id, min_id, max_id): gaps (which share no id) cut in tiles of ``size``; those with data are numbered on from ``next_id`` in order.
+
+    The tiles come from the ids: a running pass finds the gap that each id lies in, so a gap costs nothing for its width.
+    """
+    edge = "struct<at:long,end:long>"
+    starts = gaps.select(F.col("start_id").alias("at"), F.lit(0).alias("turn"), F.struct(F.col("start_id").alias("at"), F.col("end_id").alias("end")).cast(edge).alias("edge"))
+    found = ids.select(F.col(key).cast("long").alias("at")).na.drop().distinct().select("at", F.lit(1).alias("turn"), F.lit(None).cast(edge).alias("edge"))
+    inside = running(starts.unionByName(found), "at", "turn", {"gap": ("max", "edge")}, bounds=bounds_of(ids, key)).filter((F.col("turn") == 1) & (F.col("at") <= F.col("gap.end")))
+    tile = F.col("gap.at") + F.expr(f"(at - gap.at) div {size}") * size
+    tiles = inside.select("at", tile.alias("min_id"), F.col("gap.end").alias("end"))
+    tiles = tiles.filter("at > min_id") if start_exclusive else tiles
+    kept = tiles.select("min_id", F.least("end", F.col("min_id") + size - 1).alias("max_id")).distinct()
     return ordinal(kept, "min_id", "partition_id", first=next_id).select("partition_id", "min_id", "max_id")
 
 
 def overlaps(a: DataFrame, b: DataFrame, *, size: int) -> DataFrame:
     """(a_id, b_id) of ranges that share an id, each pair once.
 
-    Both sides are laid on cells of width ``size``; a pair is taken in the cell where its common part begins.
+    A range has a level, by how many times its width holds ``size``, and lies in at most two cells of that level and of
+    each wider one. A pair meets on the wider of its two levels, in the cell where its common part begins. Only levels
+    that occur are laid out (64 at most).
     """
-    cell = lambda df, p: df.select(F.col("partition_id").alias(f"{p}_id"), F.col("min_id").alias(f"{p}_min"), F.col("max_id").alias(f"{p}_max"), F.explode(F.sequence(F.floor(F.col("min_id") / size), F.floor(F.col("max_id") / size))).alias("cell"))
-    pairs = cell(a, "a").join(cell(b, "b"), "cell").filter("a_min <= b_max and b_min <= a_max")
-    return pairs.filter(F.col("cell") == F.floor(F.greatest("a_min", "b_min") / size)).select("a_id", "b_id")
+
+    def levelled(df: DataFrame, p: str) -> DataFrame:
+        wide = F.greatest(F.lit(0), F.ceil(F.log2((F.col("max_id") - F.col("min_id") + 1) / F.lit(size)))).cast("int")
+        return df.filter("max_id >= min_id").select(F.col("partition_id").alias(f"{p}_id"), F.col("min_id").alias(f"{p}_min"), F.col("max_id").alias(f"{p}_max"), wide.alias(f"{p}_level"))
+
+    a, b = levelled(a, "a"), levelled(b, "b")
+    levels = sorted({r[0] for df in (a, b) for r in df.select(df.columns[3]).distinct().collect()})
+
+    def laid(df: DataFrame, p: str) -> DataFrame:
+        steps = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(size << n).cast("long").alias("width")) for n in levels])
+        on = df.withColumn("on", F.explode(F.filter(steps, lambda x: x["level"] >= F.col(f"{p}_level"))))
+        cell = lambda c: F.expr(f"floor({c} / on.width)")
+        return on.select(f"{p}_id", f"{p}_min", f"{p}_max", f"{p}_level", F.col("on.level").alias("level"), F.col("on.width").alias("width"), F.explode(F.sequence(cell(f"{p}_min"), cell(f"{p}_max"))).alias("cell"))
+
+    if not levels:
+        return a.join(b, a["a_id"] == b["b_id"]).select("a_id", "b_id")
+    pairs = laid(a, "a").join(laid(b, "b").drop("width"), ["level", "cell"]).filter("a_min <= b_max and b_min <= a_max")
+    return pairs.filter("level = greatest(a_level, b_level) and cell = floor(greatest(a_min, b_min) / width)").select("a_id", "b_id")
 
 
 def unconfirmed(gaps_: DataFrame, confirmed: int) -> DataFrame:

@@ -86,17 +86,8 @@ def numbered_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal(islands_of_lineitem(spark, sf_dir).select("min_id", "max_id"), "min_id", "partition_id", bounds=bounds)
 
 
-def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges that nest and overlap: one per order that is a multiple of 50, of a width its customer gives."""
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
-    return orders.select(F.col("o_orderkey").alias("partition_id"), F.col("o_orderkey").alias("min_id"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 190).alias("max_id"))
-
-
-OVERLAPPING = "WITH ranges AS (SELECT o_orderkey AS partition_id, o_orderkey AS min_id, o_orderkey + 1 + o_custkey % 190 AS max_id FROM orders WHERE o_orderkey % 50 = 0)\n"
-
-
 def every_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``overlapping``, but a range of every order, 50 ids apart."""
+    """Ranges that nest and overlap: one of every order, 50 ids apart, of a width its customer gives."""
     low = F.col("o_orderkey") * 50
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("partition_id"), low.alias("min_id"), (low + 1 + F.col("o_custkey") % 190).alias("max_id"))
 
@@ -332,37 +323,22 @@ def islands_lineitem(spark, sf_dir):
     return islands_of_lineitem(spark, sf_dir)
 
 
-@query(OVERLAPPING + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE max_id + 1 < nxt")
-def gaps_adjacent_overlap(spark, sf_dir):
-    return gaps.gaps_adjacent(overlapping(spark, sf_dir))
-
-
-@query(ORACLES["gaps_adjacent_overlap"].replace(OVERLAPPING, EVERY_ORDER))
+@query(EVERY_ORDER + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE max_id + 1 < nxt")
 def gaps_adjacent_every_order(spark, sf_dir):
     return gaps.gaps_adjacent(every_order(spark, sf_dir))
 
 
-@query(OVERLAPPING + "SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt")
-def gaps_covered_overlap(spark, sf_dir):
-    return gaps.gaps_covered(overlapping(spark, sf_dir))
-
-
-@query(ORACLES["gaps_covered_overlap"].replace(OVERLAPPING, EVERY_ORDER))
+@query(EVERY_ORDER + "SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt")
 def gaps_covered_every_order(spark, sf_dir):
     return gaps.gaps_covered(every_order(spark, sf_dir))
 
 
 _FILL = """, cut AS (SELECT g.start_id, g.end_id FROM gaps g), tiles AS (SELECT a AS min_id, least(a + 39, end_id) AS max_id FROM (SELECT end_id, unnest(generate_series(start_id, end_id, 40)) AS a FROM cut)),
-kept AS (SELECT * FROM tiles t WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey > t.min_id AND l_orderkey <= t.max_id))
+kept AS (SELECT * FROM tiles t WHERE EXISTS (SELECT 1 FROM items WHERE id > t.min_id AND id <= t.max_id))
 SELECT 1000 + row_number() OVER (ORDER BY min_id) - 1 AS partition_id, min_id, max_id FROM kept"""
 
 
-@query(OVERLAPPING + ", gaps AS (SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt)" + _FILL)
-def gap_fill_plan(spark, sf_dir):
-    return gaps.split_gaps(gaps.gaps_covered(overlapping(spark, sf_dir)), read(spark, sf_dir, "lineitem"), "l_orderkey", size=40, next_id=1000)
-
-
-@query(ORACLES["gap_fill_plan"].replace(OVERLAPPING, EVERY_ORDER + ", items AS (SELECT l_orderkey * 50 + l_linenumber * 7 AS id FROM lineitem)").replace("lineitem WHERE l_orderkey > t.min_id AND l_orderkey <= t.max_id", "items WHERE id > t.min_id AND id <= t.max_id"))
+@query(EVERY_ORDER + ", items AS (SELECT l_orderkey * 50 + l_linenumber * 7 AS id FROM lineitem), gaps AS (SELECT cov + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT max(max_id) OVER (ORDER BY min_id ROWS UNBOUNDED PRECEDING) AS cov, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges) WHERE cov + 1 < nxt)" + _FILL)
 def gap_fill_every_order(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 50 + F.col("l_linenumber") * 7).alias("id"))
     return gaps.split_gaps(gaps.gaps_covered(every_order(spark, sf_dir)), items, "id", size=40, next_id=1000)
@@ -373,18 +349,6 @@ def gaps_incremental(spark, sf_dir):
     return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200)
 
 
-_PROBES = "probes AS (SELECT o_orderkey AS probe_id, o_orderkey AS self_id, o_orderkey AS min_id, o_orderkey + o_custkey % 70 AS max_id FROM orders WHERE o_orderkey % 25 = 7)"
-
-
-@query(OVERLAPPING + ", " + _PROBES + """, j AS (SELECT p.probe_id, p.min_id AS mn, p.max_id AS mx, r.* FROM probes p LEFT JOIN ranges r ON r.partition_id <> p.self_id)
-SELECT probe_id, CASE WHEN NOT bool_or(min_id <= mn AND max_id >= mn) THEN max(CASE WHEN max_id < mn THEN {'a': max_id, 'p': partition_id} END).p END AS prev_id,
-CASE WHEN NOT bool_or(min_id <= mx AND max_id >= mx) THEN min(CASE WHEN min_id > mx THEN {'a': min_id, 'p': partition_id} END).p END AS next_id FROM j GROUP BY probe_id""")
-def adjacent_ranges(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 25 = 7")
-    probes = orders.select(F.col("o_orderkey").alias("probe_id"), F.col("o_orderkey").alias("self_id"), F.col("o_orderkey").alias("min_id"), (F.col("o_orderkey") + F.col("o_custkey") % 70).alias("max_id"))
-    return gaps.adjacent_ranges(probes, overlapping(spark, sf_dir))
-
-
 @query()
 def adjacent_every_order(spark, sf_dir):
     """A probe of every order; the SQL twin would join every probe with every range, tests compare with a plain model."""
@@ -455,12 +419,26 @@ def worker_set_changes(spark, sf_dir):
     return assign.set_changes(old, new, "worker_id")
 
 
-@query()
+_SEEDS = LEDGER.replace("WITH ", "WITH RECURSIVE ", 1) + """, workers AS (SELECT DISTINCT worker_id FROM ledger WHERE worker_id <> ''),
+fnv AS (SELECT worker_id, 0 AS i, 2166136261::BIGINT AS h FROM workers UNION ALL SELECT worker_id, i + 1, xor(h, ascii(substr(worker_id, i + 1, 1))::BIGINT) * 16777619 % 4294967296 FROM fnv WHERE i < length(worker_id)),
+seeds AS (SELECT worker_id, h AS seed FROM fnv WHERE i = length(worker_id))
+"""
+_STEP = "(r * 1103515245 + 12345) % 4294967296"
+
+
+@query(_SEEDS + f""", pending AS (SELECT list(partition_id ORDER BY partition_id) AS a, count(*) AS n FROM ledger WHERE status = 'pending'),
+tries AS (SELECT *, CASE WHEN n <= 3 THEN n WHEN n <= 10 THEN (3 * n + 3) // 4 WHEN n <= 50 THEN (n + 1) // 2 ELSE least(greatest(n // 2, 5), 20) END AS k FROM pending),
+shuffled AS (SELECT worker_id, seed AS r, a, n - 1 AS i FROM seeds, tries WHERE n > 0 UNION ALL
+    SELECT worker_id, {_STEP}, list_transform(a, lambda x, p : CASE WHEN p = i + 1 THEN a[{_STEP} % (i + 1) + 1] WHEN p = {_STEP} % (i + 1) + 1 THEN a[i + 1] ELSE x END), i - 1 FROM shuffled WHERE i > 0),
+orders_ AS (SELECT worker_id, unnest(CASE WHEN n <= k THEN t.a ELSE s.a[1:k] END) AS partition_id, unnest(range(0, k)) AS turn FROM shuffled s, tries t WHERE i = 0)
+SELECT worker_id, turn::INT AS turn, partition_id FROM orders_""")
 def seeded_shuffle(spark, sf_dir):
-    return assign.trial_orders(workers(spark, sf_dir), ledger(spark, sf_dir).filter("status = 'pending'"))
+    """The pending ranges that each worker tries, in its order."""
+    tries = assign.trial_orders(workers(spark, sf_dir), ledger(spark, sf_dir).filter("status = 'pending'"))
+    return tries.select("worker_id", F.posexplode("tries").alias("turn", "partition_id"))
 
 
-@query()
+@query(_SEEDS + "SELECT worker_id, seed FROM seeds")
 def fnv_seed(spark, sf_dir):
     return workers(spark, sf_dir).select("worker_id", hashing.fnv1a32(F.col("worker_id")).alias("seed"))
 
@@ -468,27 +446,13 @@ def fnv_seed(spark, sf_dir):
 # --- transitions
 
 
-def _requests(spark, sf_dir):
-    """Two requests for every fifth partition, by workers of their number."""
-    rows = read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select((F.col("c_custkey") % 160).alias("partition_id"), F.col("c_custkey").alias("request_id"))
-    return rows.select("request_id", "partition_id", F.concat(F.lit("worker-"), (F.col("request_id") % 7).cast("string")).alias("worker_id"))
-
-
-_REQUESTS = ", requests AS (SELECT c_custkey AS request_id, c_custkey % 160 AS partition_id, 'worker-' || (c_custkey % 7) AS worker_id FROM customer WHERE c_custkey % 5 = 0)\n"
+_REQUESTS_EVERY = ", requests AS (SELECT c_custkey AS request_id, c_custkey % (SELECT max(user_id) + 1 FROM events) AS partition_id, 'worker-' || (c_custkey % 7) AS worker_id FROM customer)\n"
 
 
-@query(LEDGER + _REQUESTS + f""", w AS (SELECT r.*, CASE WHEN l.worker_id = r.worker_id AND status IN ('claimed', 'running') THEN 'renewed' WHEN status = 'pending' AND l.worker_id = '' THEN 'claimed'
+@query(LEDGER + _REQUESTS_EVERY + f""", w AS (SELECT r.*, CASE WHEN l.worker_id = r.worker_id AND status IN ('claimed', 'running') THEN 'renewed' WHEN status = 'pending' AND l.worker_id = '' THEN 'claimed'
 WHEN status IN ('claimed', 'running') AND last_heartbeat < {NOW_SQL} - INTERVAL 5 MINUTE THEN 'preempted' ELSE 'denied' END AS want FROM requests r LEFT JOIN ledger l USING (partition_id)),
 x AS (SELECT *, min(CASE WHEN want IN ('claimed', 'preempted') THEN request_id END) OVER (PARTITION BY partition_id) AS winner FROM w)
 SELECT request_id, partition_id, worker_id, CASE WHEN want IN ('claimed', 'preempted') AND request_id <> winner THEN 'denied' ELSE want END AS outcome FROM x""")
-def acquire_outcomes(spark, sf_dir):
-    return transitions.acquire(ledger(spark, sf_dir), _requests(spark, sf_dir), now())
-
-
-_REQUESTS_EVERY = ", requests AS (SELECT c_custkey AS request_id, c_custkey % (SELECT max(user_id) + 1 FROM events) AS partition_id, 'worker-' || (c_custkey % 7) AS worker_id FROM customer)\n"
-
-
-@query(ORACLES["acquire_outcomes"].replace(_REQUESTS, _REQUESTS_EVERY))
 def acquire_every_customer(spark, sf_dir):
     """A request of every customer, over all ids of the ledger."""
     ids = read(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0]
@@ -521,32 +485,12 @@ def retry_failed(spark, sf_dir):
     return transitions.retry_failed(ledger(spark, sf_dir)).select("partition_id", "status", "worker_id", "version")
 
 
-_CREATE = LEDGER + ", wanted AS (SELECT o_orderkey AS partition_id, o_orderkey * 100 + 1 AS min_id, (o_orderkey + 1) * 100 + CASE WHEN o_orderkey % 9 = 0 THEN 50 ELSE 0 END AS max_id FROM orders WHERE o_orderkey < 400)\n"
-
-
-def _create(spark, sf_dir, mode):
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey < 400")
-    wanted = orders.select(F.col("o_orderkey").alias("partition_id"), (F.col("o_orderkey") * 100 + 1).alias("min_id"), ((F.col("o_orderkey") + 1) * 100 + F.when(F.col("o_orderkey") % 9 == 0, 50).otherwise(0)).alias("max_id"))
-    return transitions.create_if_absent(ledger(spark, sf_dir), wanted, mode=mode)
+_CREATE = LEDGER + ", wanted AS (SELECT o_orderkey AS partition_id, o_orderkey * 100 + 1 AS min_id, (o_orderkey + 1) * 100 + CASE WHEN o_orderkey % 9 = 0 THEN 50 ELSE 0 END AS max_id FROM orders)\n"
 
 
 _STATE = ", state AS (SELECT w.*, CASE WHEN l.partition_id IS NULL THEN 'created' WHEN l.min_id = w.min_id AND l.max_id = w.max_id THEN 'exists' ELSE 'conflict' END AS outcome FROM wanted w LEFT JOIN ledger l USING (partition_id))\n"
 
 
-@query(_CREATE + _STATE + "SELECT * FROM state")
-def create_if_absent_hash(spark, sf_dir):
-    return _create(spark, sf_dir, "hash")
-
-
-@query(_CREATE + _STATE + """SELECT * FROM state WHERE outcome <> 'conflict' UNION ALL
-SELECT (SELECT max(p) FROM (SELECT max(partition_id) AS p FROM ledger UNION ALL SELECT max(partition_id) FROM wanted)) + row_number() OVER (ORDER BY partition_id), min_id, max_id, 'created' FROM state WHERE outcome = 'conflict'""")
-def create_if_absent_simple(spark, sf_dir):
-    return _create(spark, sf_dir, "simple")
-
-
-_CREATE_EVERY = _CREATE.replace(" WHERE o_orderkey < 400", "")
-
-
 def _create_every(spark, sf_dir, mode):
     """A range asked for by every order."""
     key = F.col("o_orderkey")
@@ -554,12 +498,13 @@ def _create_every(spark, sf_dir, mode):
     return transitions.create_if_absent(ledger(spark, sf_dir), wanted, mode=mode)
 
 
-@query(ORACLES["create_if_absent_hash"].replace(_CREATE, _CREATE_EVERY))
+@query(_CREATE + _STATE + "SELECT * FROM state")
 def create_every_order_hash(spark, sf_dir):
     return _create_every(spark, sf_dir, "hash")
 
 
-@query(ORACLES["create_if_absent_simple"].replace(_CREATE, _CREATE_EVERY))
+@query(_CREATE + _STATE + """SELECT * FROM state WHERE outcome <> 'conflict' UNION ALL
+SELECT (SELECT max(p) FROM (SELECT max(partition_id) AS p FROM ledger UNION ALL SELECT max(partition_id) FROM wanted)) + row_number() OVER (ORDER BY partition_id), min_id, max_id, 'created' FROM state WHERE outcome = 'conflict'""")
 def create_every_order_simple(spark, sf_dir):
     return _create_every(spark, sf_dir, "simple")
 
@@ -703,7 +648,7 @@ def command_queue_head(spark, sf_dir):
     return queue_head(read(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "user_id"), 10, "event_id", "event_id")
 
 
-_BOUNDS = "(VALUES (0.001::DOUBLE), (0.005), (0.01), (0.05), (0.1), (0.5), (1.0), (5.0), (10.0), (30.0), (60.0), ('inf'::DOUBLE)) b(le)"
+_BOUNDS = "(VALUES (0.001::DOUBLE), (0.01), (0.1), (0.5), (1.0), (2.0), (5.0), (10.0), (30.0), (60.0), ('inf'::DOUBLE)) b(le)"
 
 
 @query(f"SELECT le, (SELECT count(*) FROM events WHERE value <= le) AS n FROM {_BOUNDS}")
@@ -744,12 +689,6 @@ def heartbeat_alert(spark, sf_dir):
     return beats.withColumn("is_stale", F.coalesce(F.col("last_beat") < now() - F.expr("INTERVAL 30 HOURS"), F.lit(True)))
 
 
-@query(OVERLAPPING + ", others AS (SELECT c_custkey AS partition_id, c_custkey * 9 AS min_id, c_custkey * 9 + c_custkey % 40 AS max_id FROM customer) SELECT a.partition_id AS a_id, b.partition_id AS b_id FROM ranges a JOIN others b ON a.min_id <= b.max_id AND b.min_id <= a.max_id")
-def range_overlaps(spark, sf_dir):
-    others = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("partition_id"), (F.col("c_custkey") * 9).alias("min_id"), (F.col("c_custkey") * 9 + F.col("c_custkey") % 40).alias("max_id"))
-    return gaps.overlaps(overlapping(spark, sf_dir), others, size=100)
-
-
 @query(EVERY_ORDER + ", others AS (SELECT c_custkey AS partition_id, c_custkey * 500 AS min_id, c_custkey * 500 + c_custkey % 400 AS max_id FROM customer) SELECT a.partition_id AS a_id, b.partition_id AS b_id FROM ranges a JOIN others b ON a.min_id <= b.max_id AND b.min_id <= a.max_id")
 def range_overlaps_every_order(spark, sf_dir):
     low = F.col("c_custkey") * 500
@@ -818,6 +757,222 @@ def lock_owner_timeline(spark, sf_dir):
     return led.owner_spans(log, "lock_id", "owner")
 
 
+# --- tasks for all workers at once, holds, owners' updates, update modes
+
+
+def _fleet(spark):
+    return spark.createDataFrame([(f"worker-{i}",) for i in range(7)], "worker_id string")
+
+
+_ORDER_LEDGER = """WITH RECURSIVE workers AS (SELECT 'worker-' || i AS worker_id FROM range(7) t(i)),
+points AS (SELECT w.worker_id, unnest([w.worker_id || ':' || i, i || ':' || w.worker_id]) AS key FROM workers w, range(50) r(i)),
+"""
+
+
+@query(_ORDER_LEDGER + f"""ring AS (SELECT {H32.format("key")} AS h, max(worker_id) AS worker_id FROM points GROUP BY 1),
+pending AS (SELECT o_orderkey AS partition_id FROM orders WHERE o_orderstatus = 'O'),
+assigned AS (SELECT partition_id, arg_min(ring.worker_id, CASE WHEN h >= {H32.format("partition_id::VARCHAR")} THEN h ELSE h + 4294967296 END) AS worker_id FROM pending, ring GROUP BY partition_id)
+SELECT worker_id, 'ring' AS policy, min(partition_id)::BIGINT AS partition_id, 'acquired' AS outcome FROM assigned GROUP BY worker_id""")
+def pick_pending_tasks(spark, sf_dir):
+    """Open orders as pending ranges: many, so that the ring decides."""
+    status = F.create_map(*[F.lit(x) for x in ("O", "pending", "F", "running", "P", "claimed")])[F.col("o_orderstatus")]
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("partition_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "O", "").otherwise("worker-1").alias("worker_id"), now().alias("updated_at"), now().alias("last_heartbeat"))
+    return assign.pick(rows, _fleet(spark), now(), HOUR)
+
+
+@query(LEDGER + f""", workers AS (SELECT 'worker-' || i AS worker_id FROM range(7) t(i)),
+stale AS (SELECT status, worker_id AS owner, partition_id, CASE status WHEN 'claimed' THEN updated_at ELSE last_heartbeat END AS since FROM ledger
+    WHERE last_heartbeat < {NOW_SQL} - INTERVAL 5 MINUTE AND ((status = 'claimed' AND updated_at < {NOW_SQL} - INTERVAL 24 HOUR) OR (status = 'running' AND last_heartbeat < {NOW_SQL} - INTERVAL 60 HOUR))),
+best AS (SELECT w.worker_id, arg_min(partition_id, {{'t': since, 'p': partition_id}}) FILTER (status = 'claimed') AS claimed, arg_min(partition_id, {{'t': since, 'p': partition_id}}) FILTER (status = 'running') AS running FROM workers w LEFT JOIN stale s ON s.owner <> w.worker_id GROUP BY 1),
+wanted AS (SELECT worker_id, CASE WHEN claimed IS NOT NULL THEN 'claimed' WHEN running IS NOT NULL THEN 'running' ELSE 'none' END AS policy, coalesce(claimed, running) AS partition_id FROM best)
+SELECT worker_id, policy, partition_id, CASE WHEN partition_id IS NULL THEN 'none' WHEN worker_id = min(worker_id) OVER (PARTITION BY partition_id) THEN 'acquired' ELSE 'conflict' END AS outcome FROM wanted""")
+def pick_reclaimed_tasks(spark, sf_dir):
+    """Nothing pending: stale ranges of others are taken."""
+    return assign.pick(ledger(spark, sf_dir).filter("status <> 'pending'"), _fleet(spark), now(), 12 * HOUR)
+
+
+_ASKED = LEDGER + ", asked AS (SELECT partition_id + d AS partition_id, CASE WHEN partition_id % 2 = 0 THEN worker_id ELSE 'worker-' || (partition_id % 7) END AS worker_id, partition_id % 3 AS k FROM ledger, (VALUES (0), (100000)) t(d) WHERE worker_id <> '')\n"
+
+
+def _asked(spark, sf_dir):
+    """Requests for every owned range, half of them by its owner, and as many for ranges that don't exist."""
+    rows = ledger(spark, sf_dir)
+    own = F.when(F.col("partition_id") % 2 == 0, F.col("worker_id")).otherwise(F.concat(F.lit("worker-"), (F.col("partition_id") % 7).cast("string")))
+    owned = rows.filter("worker_id <> ''").select("partition_id", own.alias("worker_id"), (F.col("partition_id") % 3).alias("k"))
+    return rows, owned.unionByName(owned.withColumn("partition_id", F.col("partition_id") + 100000))
+
+
+@query(_ASKED + f"""SELECT a.partition_id, a.worker_id, CASE WHEN l.worker_id IS NULL THEN 'missing' WHEN l.worker_id <> a.worker_id THEN 'denied' WHEN status IN ('claimed', 'running') THEN 'renewed' ELSE 'idle' END AS outcome,
+CASE WHEN l.worker_id = a.worker_id AND status IN ('claimed', 'running') THEN {NOW_SQL} ELSE last_heartbeat END AS last_heartbeat, version + CASE WHEN l.worker_id = a.worker_id AND status IN ('claimed', 'running') THEN 1 ELSE 0 END AS version
+FROM asked a LEFT JOIN ledger l USING (partition_id)""")
+def maintain_holds(spark, sf_dir):
+    rows, asked = _asked(spark, sf_dir)
+    return transitions.maintain(rows, asked, now())
+
+
+def _status_requests(spark, sf_dir):
+    rows, asked = _asked(spark, sf_dir)
+    status = F.when(F.col("k") == 0, "completed").when(F.col("k") == 1, "failed").otherwise("running")
+    options = F.create_map(F.lit("error"), F.concat(F.lit("e"), F.col("partition_id").cast("string")))
+    requests = asked.select("partition_id", "worker_id", status.alias("status"), options.alias("options"))
+    return transitions.update_status(rows.withColumn("options", F.lit(None).cast("map<string,string>")), requests, now())
+
+
+@query(_ASKED + "SELECT a.partition_id, a.worker_id, CASE WHEN l.worker_id IS NULL THEN 'missing' WHEN l.worker_id <> a.worker_id THEN 'denied' WHEN k = 0 THEN 'archived' ELSE 'updated' END AS outcome FROM asked a LEFT JOIN ledger l USING (partition_id)")
+def status_by_owner(spark, sf_dir):
+    return _status_requests(spark, sf_dir)[2]
+
+
+@query(_ASKED + f""", j AS (SELECT l.*, k, coalesce(a.worker_id = l.worker_id, false) AS hit FROM ledger l LEFT JOIN asked a USING (partition_id))
+SELECT partition_id, CASE WHEN hit AND k = 0 THEN 'archived' ELSE 'active' END AS tier, CASE WHEN NOT hit THEN status WHEN k = 0 THEN 'completed' WHEN k = 1 THEN 'failed' ELSE 'running' END AS status, version + CASE WHEN hit AND k > 0 THEN 1 ELSE 0 END AS version,
+CASE WHEN hit AND k = 1 THEN 'e' || partition_id ELSE error END AS error, CASE WHEN hit THEN {NOW_SQL} ELSE updated_at END AS updated_at, CASE WHEN hit AND k = 2 THEN {NOW_SQL} ELSE last_heartbeat END AS last_heartbeat FROM j""")
+def status_tiers(spark, sf_dir):
+    """Both tiers after owners' status changes: what is completed has left the active one."""
+    active, done, _ = _status_requests(spark, sf_dir)
+    rows = active.withColumn("tier", F.lit("active")).unionByName(done.withColumn("tier", F.lit("archived")))
+    return rows.select("partition_id", "tier", "status", "version", "error", "updated_at", "last_heartbeat")
+
+
+_MODES = LEDGER + """, given AS (SELECT partition_id + d AS partition_id, ['force', 'expected', 'upsert', 'auto'][partition_id % 4 + 1] AS mode, CASE WHEN d > 0 THEN 0 WHEN partition_id % 3 = 0 THEN version ELSE version - 1 END AS expected,
+    CASE WHEN partition_id % 8 = 0 THEN 0 WHEN partition_id % 5 = 0 THEN version - 1 ELSE version END AS version, min_id, max_id + 7 AS max_id FROM ledger, (VALUES (0), (100000)) t(d)),
+o AS (SELECT g.*, l.version AS old, l.status AS old_status, l.worker_id AS old_worker, l.max_id AS old_max, l.updated_at AS old_updated, l.created_at AS old_created,
+    CASE WHEN mode = 'force' THEN 'saved' WHEN l.version IS NULL THEN CASE WHEN mode = 'auto' THEN 'missing' ELSE 'created' END WHEN mode = 'upsert' OR (mode = 'expected' AND expected = l.version) OR (mode = 'auto' AND g.version = l.version) THEN 'updated' ELSE 'stale' END AS outcome FROM given g LEFT JOIN ledger l USING (partition_id))
+"""
+
+
+def _modes(spark, sf_dir):
+    """A whole-row update of every range and of as many that don't exist, each by one of the four modes."""
+    rows, pid = ledger(spark, sf_dir), F.col("partition_id")
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("force", "expected", "upsert", "auto")]), (pid % 4 + 1).cast("int"))
+    none = F.lit(None).cast("timestamp_ntz")
+    expected = F.when(pid % 3 == 0, F.col("version")).otherwise(F.col("version") - 1)
+    version = F.when(pid % 8 == 0, 0).when(pid % 5 == 0, F.col("version") - 1).otherwise(F.col("version"))
+    given = rows.select(pid, mode.alias("mode"), expected.alias("expected"), version.alias("version"), "min_id", (F.col("max_id") + 7).alias("max_id"), F.lit("worker-9").alias("worker_id"), none.alias("last_heartbeat"), F.lit("running").alias("status"), none.alias("updated_at"), F.lit(None).cast("string").alias("error"), none.alias("created_at"))
+    return rows, given.unionByName(given.withColumns({"partition_id": pid + 100000, "expected": F.lit(0).cast("long")}))
+
+
+@query(_MODES + f"""SELECT partition_id, outcome, CASE outcome WHEN 'saved' THEN 'running' WHEN 'updated' THEN 'running' WHEN 'created' THEN 'pending' ELSE old_status END AS status, CASE outcome WHEN 'saved' THEN 'worker-9' WHEN 'updated' THEN 'worker-9' WHEN 'created' THEN '' ELSE old_worker END AS worker_id,
+CASE outcome WHEN 'saved' THEN CASE WHEN version = 0 THEN 1 ELSE version END WHEN 'updated' THEN old + 1 WHEN 'created' THEN 1 ELSE old END AS version, CASE WHEN outcome IN ('saved', 'updated', 'created') THEN max_id ELSE old_max END AS max_id,
+CASE WHEN outcome IN ('saved', 'updated', 'created') THEN {NOW_SQL} ELSE old_updated END AS updated_at, CASE WHEN outcome IN ('saved', 'created') THEN {NOW_SQL} WHEN outcome = 'updated' THEN NULL ELSE old_created END AS created_at FROM o""")
+def update_modes(spark, sf_dir):
+    rows, given = _modes(spark, sf_dir)
+    return transitions.update(rows, given, now()).select("partition_id", "outcome", "status", "worker_id", "version", "max_id", "updated_at", "created_at")
+
+
+@query(_MODES + f"""SELECT partition_id, 'running' AS status, CASE WHEN version = 0 THEN 1 ELSE version END AS version, max_id, {NOW_SQL} AS updated_at FROM given WHERE mode = 'force'
+UNION ALL SELECT partition_id, status, version, max_id, updated_at FROM ledger WHERE partition_id NOT IN (SELECT partition_id FROM given WHERE mode = 'force')""")
+def blind_save(spark, sf_dir):
+    rows, given = _modes(spark, sf_dir)
+    return transitions.save(rows, given.filter("mode = 'force'"), now()).select("partition_id", "status", "version", "max_id", "updated_at")
+
+
+@query(_plan_sql(70).replace("SELECT 1 + i AS partition_id", ", p AS (SELECT 1 + i AS partition_id").replace(" FROM i", " FROM i) SELECT (partition_id - 1) // 50 + 1 AS batch_no, count(*) AS n, max(partition_id) AS max_partition_id, max(max_id) AS max_data_id FROM p GROUP BY 1", 1).replace("FROM b)\n, p", "FROM b), p"))
+def create_batch_totals(spark, sf_dir):
+    """What the counters take from each batch of new ranges."""
+    rows = transitions.batches(_plan(spark, sf_dir, 70))
+    return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.max("partition_id").alias("max_partition_id"), F.max("max_id").alias("max_data_id"))
+
+
+@query("""SELECT 'sized' AS source, (SELECT coalesce(max(id), 200) FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey > 200 ORDER BY 1 LIMIT 1200)) AS next_max_id
+UNION ALL SELECT 'unknown', (SELECT coalesce(max(id), 200) FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey > 200 ORDER BY 1 LIMIT 10000))""")
+def next_processing_range(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    found = [planner.next_range(planner.RangeSource(orders, "o_orderkey", size), 200, 4, 3).select(F.lit(name).alias("source"), "next_max_id") for name, size in (("sized", 100), ("unknown", None))]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT * FROM (VALUES ('12', 12), ('-7', -7), ('', 0), ('x1', 0), ('9223372036854775807', 9223372036854775807), ('99999999999999999999', 0), (NULL, 0)) t(txt, n)")
+def parsed_counters(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("12", "-7", "", "x1", "9223372036854775807", "99999999999999999999", None)], "txt string")
+    return rows.select("txt", scalars.int_or_zero(F.col("txt")).alias("n"))
+
+
+@query(LEDGER + "SELECT partition_id, (epoch_us(updated_at) * 1000)::DOUBLE AS score FROM ledger")
+def queue_scores(spark, sf_dir):
+    return ledger(spark, sf_dir).select("partition_id", scalars.score(F.col("updated_at")).alias("score"))
+
+
+# --- compressed batches
+
+
+@query(LEDGER + "SELECT count(*) AS n_rows, cast(sum(29 + coalesce(strlen(error), 0)) AS BIGINT) AS binary_bytes, count(DISTINCT partition_id // 64) AS n_batches FROM ledger")
+def batch_binary_bytes(spark, sf_dir):
+    blobs = _archive_round(spark, sf_dir)[0]
+    return blobs.agg(F.sum("partition_count").alias("n_rows"), F.sum("binary_bytes").alias("binary_bytes"), F.count(F.lit(1)).alias("n_batches"))
+
+
+@query(LEDGER + """SELECT partition_id // 64 + 1 AS batch_no, count(*) AS partition_count, count(*) AS readable, true AS ok, NULL::VARCHAR AS problem FROM ledger GROUP BY 1
+UNION ALL SELECT 1000000 + partition_id // 64 + 1, count(*) + 1, count(*), false, 'count' FROM ledger GROUP BY partition_id // 64 UNION ALL SELECT 2000000 + partition_id // 64 + 1, count(*), 0, false, 'unreadable' FROM ledger GROUP BY partition_id // 64""")
+def batch_integrity(spark, sf_dir):
+    """Sound batches, such of a wrong count, and cut ones."""
+    blobs = _archive_round(spark, sf_dir)[0]
+    miscounted = blobs.withColumns({"batch_no": F.col("batch_no") + 1000000, "partition_count": F.col("partition_count") + 1})
+    broken = blobs.withColumns({"batch_no": F.col("batch_no") + 2000000, "compressed_data": F.expr("substring(compressed_data, 1, length(compressed_data) - 9)")})
+    return archive.integrity(blobs.unionByName(miscounted).unionByName(broken))
+
+
+@query(LEDGER + "SELECT partition_id, min_id, max_id, worker_id, status, error FROM ledger WHERE partition_id IN (3, 64, 65, 100, 149)")
+def compressed_search(spark, sf_dir):
+    blobs, codes = _archive_round(spark, sf_dir)
+    return archive.search(blobs, [149, 3, 64, 65, 100, -1, 10**9], codes).select("partition_id", "min_id", "max_id", "worker_id", "status", "error")
+
+
+# --- metrics by label
+
+_RUNS = "SELECT 'worker-' || (event_id % 7) AS worker_id, value::DECIMAL(20, 6) AS v, user_id AS items, event_type = 'purchase' AS ok, 'kind-' || (user_id % 2) AS error_type FROM events WHERE event_type IN ('purchase', 'error')"
+
+
+def _histogram_sql(metric: str, source: str, buckets: tuple, by: str = "") -> str:
+    le = ", ".join(f"('{b:g}', {b}::DOUBLE)" for b in buckets)
+    group, label, both = ("GROUP BY worker_id", "'worker_id=' || worker_id", "',worker_id=' || worker_id") if by else ("GROUP BY ALL", "''", "''")
+    return f"""SELECT '{metric}_bucket' AS metric, 'le=' || le || {both} AS labels, count(*) FILTER (v <= b)::DOUBLE AS value FROM {source}, (VALUES {le}, ('+Inf', 'inf'::DOUBLE)) t(le, b) GROUP BY le{", worker_id" if by else ""}
+UNION ALL SELECT '{metric}_sum', {label}, sum(v)::DOUBLE FROM {source} {group} UNION ALL SELECT '{metric}_count', {label}, count(v)::DOUBLE FROM {source} {group}"""
+
+
+@query(LEDGER + f""", workers AS (SELECT DISTINCT worker_id FROM ledger WHERE worker_id <> ''), runs AS ({_RUNS}), plans AS (SELECT value::DECIMAL(20, 6) AS v FROM events WHERE event_type = 'view'),
+beats AS (SELECT 'worker-' || (event_id % 7) AS worker_id, ts, event_id % 5 <> 0 AS ok FROM events WHERE event_type = 'click')
+SELECT 'is_leader' AS metric, 'worker_id=' || worker_id AS labels, CASE WHEN worker_id = 'worker-3' THEN 1 ELSE 0 END::DOUBLE AS value FROM workers
+UNION ALL SELECT 'partitions_total', '', count(*)::DOUBLE FROM ledger UNION ALL SELECT 'partitions_assigned_total', '', count(*)::DOUBLE FROM ledger WHERE worker_id <> ''
+UNION ALL {_histogram_sql("partitions_assignment_duration_seconds", "plans", metrics.ASSIGNMENT_BUCKETS)}
+UNION ALL SELECT 'active_workers_count', '', count(*)::DOUBLE FROM workers UNION ALL SELECT 'node_heartbeat_timestamp_seconds', 'worker_id=' || worker_id, floor(epoch(max(ts)))::DOUBLE FROM beats WHERE ok GROUP BY worker_id
+UNION ALL SELECT 'node_heartbeat_errors_total', 'worker_id=' || worker_id, count(*)::DOUBLE FROM beats WHERE NOT ok GROUP BY worker_id
+UNION ALL SELECT 'node_info', 'go_version=1.22,os_type=linux,version=1.0,worker_id=' || worker_id, 1::DOUBLE FROM workers
+UNION ALL SELECT 'node_task_queue_active_tasks', 'worker_id=worker-' || (partition_id % 7), count(*)::DOUBLE FROM ledger WHERE status = 'pending' GROUP BY partition_id % 7
+UNION ALL SELECT 'node_tasks_processed_total', 'worker_id=' || worker_id, count(*)::DOUBLE FROM runs WHERE ok GROUP BY worker_id UNION ALL SELECT 'node_tasks_processed_items_total', 'worker_id=' || worker_id, sum(items)::DOUBLE FROM runs WHERE ok GROUP BY worker_id
+UNION ALL SELECT 'node_tasks_errors_total', 'error_type=' || error_type || ',worker_id=' || worker_id, count(*)::DOUBLE FROM runs WHERE NOT ok GROUP BY worker_id, error_type
+UNION ALL {_histogram_sql("node_task_processing_duration_seconds", "runs", metrics.TASK_BUCKETS, "worker_id")}
+UNION ALL {_histogram_sql("node_task_processor_duration_seconds", "runs", metrics.TASK_BUCKETS, "worker_id")}
+UNION ALL SELECT 'node_circuit_breaker_tripped_total', 'breaker_name=main,worker_id=' || worker_id, count(*)::DOUBLE FROM runs WHERE NOT ok AND items % 3 = 0 GROUP BY worker_id""")
+def metric_registry(spark, sf_dir):
+    """All fifteen metrics as samples; purchases and errors are task runs, clicks heartbeats, views planning rounds."""
+    events, rows, names = read(spark, sf_dir, "events"), ledger(spark, sf_dir), workers(spark, sf_dir)
+    by = F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")).alias("worker_id")
+    seconds = F.col("value").cast("decimal(20,6)")
+    runs = events.filter(F.col("event_type").isin("purchase", "error")).select(by, seconds.alias("seconds"), seconds.alias("processor_seconds"), F.col("user_id").alias("items"), (F.col("event_type") == "purchase").alias("ok"), F.concat(F.lit("kind-"), (F.col("user_id") % 2).cast("string")).alias("error_type"))
+    return metrics.registry(
+        leaders=names.withColumn("is_leader", F.col("worker_id") == "worker-3"),
+        ledger=rows,
+        plans=events.filter("event_type = 'view'").select(seconds.alias("seconds")),
+        workers=names,
+        beats=events.filter("event_type = 'click'").select(by, "ts", (F.col("event_id") % 5 != 0).alias("ok")),
+        nodes=names.withColumns({"version": F.lit("1.0"), "go_version": F.lit("1.22"), "os_type": F.lit("linux")}),
+        queue=rows.filter("status = 'pending'").select(F.concat(F.lit("worker-"), (F.col("partition_id") % 7).cast("string")).alias("worker_id")),
+        runs=runs,
+        trips=runs.filter("not ok and items % 3 = 0").withColumn("breaker_name", F.lit("main")),
+    )
+
+
+@query("SELECT 'worker-' || (event_id % 7) AS worker_id, time_bucket(INTERVAL 360 MINUTE, ts) AS window_start, cast(sum(user_id) AS BIGINT) AS increase, sum(user_id) * (60.0::DOUBLE / 360) AS per_hour FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
+def metric_rate_by_worker(spark, sf_dir):
+    done = read(spark, sf_dir, "events").filter("event_type = 'purchase'").withColumn("worker_id", F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")))
+    return metrics.rate_by(done, "worker_id", 360, F.col("user_id"))
+
+
+@query("SELECT le, (SELECT count(*) FROM events WHERE value <= le) AS n FROM (VALUES " + ", ".join(f"({b}::DOUBLE)" for b in metrics.ASSIGNMENT_BUCKETS) + ", ('inf'::DOUBLE)) b(le)")
+def metric_assignment_histogram(spark, sf_dir):
+    return metrics.histogram(read(spark, sf_dir, "events"), "value", metrics.ASSIGNMENT_BUCKETS)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges over the line items' key space without those that hold nothing, each with its worker on the ring and its item count."""
     lines = read(spark, sf_dir, "lineitem")

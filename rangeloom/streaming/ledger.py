@@ -18,35 +18,54 @@ def read_events(spark: SparkSession, folder: str, schema: str, *, files: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def upkeep(events: DataFrame, path: str, key: str, order: list[str], checkpoint: str):
+def upkeep(events: DataFrame, path: str, key: str, order: list[str], checkpoint: str, *, merge_every: int = 20):
     """A running query that keeps ``path`` at the latest event per key.
 
-    Each micro-batch merges with the version before and writes the next one, named by batch, so a batch run again writes
-    the same; ``current`` reads the newest finished one.
+    A micro-batch writes only its own latest rows, in a folder named by its number, so a batch run again writes the same.
+    Every ``merge_every`` batches all rows are merged into a new base, and what the base before it made needless goes;
+    ``current`` reads the newest base and the batches after it.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, key, order)
-        old = current(spark, path, below=number)
-        if old is not None:
-            new = latest(old.select(*new.columns).unionByName(new), key, order)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        if number == 0:
+            spark.createDataFrame([(key, ",".join(order))], "key string, ordering string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
+        latest(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        if number and number % merge_every == 0:
+            current(spark, path, upto=number).write.mode("overwrite").parquet(f"{path}/base={number:012d}")
+            kept = [n for n, _ in _folders(spark, path, "base") if n < number]
+            for kind in ("base", "batch") if kept else ():
+                for n, old in _folders(spark, path, kind):
+                    if n < kept[-1] or (kind == "batch" and n == kept[-1]):
+                        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def current(spark: SparkSession, path: str, *, below: int | None = None) -> DataFrame | None:
-    """The newest version written, among batches below a number if given; None if there is none."""
+def _folders(spark: SparkSession, path: str, kind: str) -> list[tuple[int, object]]:
+    """The finished folders of a kind, by number."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+    return sorted(((int(p.getName().partition("=")[2]), p) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), key=lambda x: x[0])
+
+
+def current(spark: SparkSession, path: str, *, upto: int | None = None) -> DataFrame | None:
+    """The latest row per key of what was written, up to the batch of a number if given; None if there is nothing."""
+    bases = [x for x in _folders(spark, path, "base") if upto is None or x[0] < upto]
+    after = bases[-1][0] if bases else -1
+    parts = [*bases[-1:], *(x for x in _folders(spark, path, "batch") if x[0] > after and (upto is None or x[0] <= upto))]
+    if not parts:
         return None
-    names = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    names = sorted(str(p.toString()) for p in names)
-    names = [p for p in names if below is None or int(p.rpartition("=")[2]) < below]
-    return spark.read.parquet(names[-1]) if names else None
+    key, order = spark.read.parquet(f"{path}/layout").first()
+    frames = [spark.read.parquet(str(p.toString())) for _, p in parts]
+    rows = frames[0]
+    for other in frames[1:]:
+        rows = rows.unionByName(other)
+    return latest(rows, key, order.split(","))
 
 
 def status_counts(events: DataFrame) -> DataFrame:

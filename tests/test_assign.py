@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -134,6 +135,72 @@ def test_stream_upkeep_and_counts(spark, tmp_path):
     assert rows(spark.table("counts_out")) == [(s, 6) for s in ("claimed", "completed", "pending", "running")]
 
 
+def test_upkeep_merges_now_and_then(spark, tmp_path):
+    """A batch writes its own rows only; every few batches a new base takes the place of the older folders."""
+    schema = "partition_id long, status string, ts timestamp_ntz, seq long"
+    rng = random.Random(2)
+    data = [(rng.randrange(30), rng.choice("abc"), T0 + timedelta(minutes=rng.randrange(500)), i) for i in range(90)]
+    for part in range(9):
+        spark.createDataFrame(data[part * 10 : part * 10 + 10], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"d={part}"))
+    path = tmp_path / "ledger"
+    q = streams.upkeep(streams.read_events(spark, str(tmp_path / "in" / "*"), schema, files=1), str(path), "partition_id", ["ts", "seq"], str(tmp_path / "cp"), merge_every=3).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    last = {}
+    for row in sorted(data, key=lambda r: (r[2], r[3])):
+        last[row[0]] = row[1]
+    assert {r.partition_id: r.status for r in streams.current(spark, str(path)).collect()} == last
+    names = sorted(p.name for p in path.iterdir() if "=" in p.name)
+    assert names == [f"base={3:012d}", f"base={6:012d}", *(f"batch={i:012d}" for i in range(4, 9))]
+    assert spark.read.parquet(str(path / f"batch={8:012d}")).count() <= 10
+    assert streams.current(spark, str(tmp_path / "none")) is None
+
+
+def test_liveness_of_a_stream(spark, tmp_path):
+    """A worker is alive at its first beat and gone when event time has passed its last beat by the limit; a beat renews."""
+    beats = [[("a", 0), ("b", 10)], [("a", 100), ("b", 60)], [("a", 350)], [("a", 351), ("c", 352)], [("c", 353)]]
+    for i, part in enumerate(beats):
+        spark.createDataFrame([(w, T0 + timedelta(seconds=s)) for w, s in part], "worker_id string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={i}"))
+        os.utime(next((tmp_path / "in" / f"d={i}").glob("part-*")), (1000 + i, 1000 + i))
+    stream = streams.read_events(spark, str(tmp_path / "in" / "*"), "worker_id string, ts timestamp", files=1)
+    q = streams.liveness(stream, 180).writeStream.outputMode("append").format("memory").queryName("alive_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = [(r.worker_id, r.alive) for r in spark.table("alive_out").collect()]
+    assert sorted(got) == [("a", True), ("b", False), ("b", True), ("c", True)]
+
+
+@pytest.mark.parametrize("n", [0, 3, 7, 30])
+def test_pick_follows_the_policies(spark, n):
+    """Ring from 20 pending ranges on, seeded shuffle from 5, in order below, then the oldest stale range of another worker."""
+    now = F.lit(T0).cast("timestamp")
+    day = timedelta(days=1)
+    data = [(i, "pending", "", T0, T0) for i in range(1, n + 1)]
+    data += [(100, "claimed", "w1", T0 - 3 * day, T0 - day), (101, "claimed", "w2", T0 - 2 * day, T0 - day), (102, "claimed", "w3", T0, T0), (103, "running", "w2", T0 - 9 * day, T0 - 8 * day), (104, "completed", "w2", T0 - 9 * day, T0 - 8 * day)]
+    ledger = spark.createDataFrame(data, "partition_id long, status string, worker_id string, updated_at timestamp, last_heartbeat timestamp")
+    names = spark.createDataFrame([(f"w{i}",) for i in (1, 2, 3)], "worker_id string")
+    got = {r.worker_id: (r.policy, r.partition_id, r.outcome) for r in assign.pick(ledger, names, now, 3600).collect()}
+    if n == 0:
+        assert got == {"w1": ("claimed", 101, "acquired"), "w2": ("claimed", 100, "acquired"), "w3": ("claimed", 100, "conflict")}
+        idle = assign.pick(ledger.filter("partition_id in (102, 103)"), names, now, 3600).collect()
+        assert {r.worker_id: (r.policy, r.partition_id) for r in idle} == {"w1": ("running", 103), "w2": ("none", None), "w3": ("running", 103)}
+        return
+    pending = ledger.filter("status = 'pending'").select("partition_id")
+    if n < 5:
+        want = {w: ("direct", 1) for w in got}
+    elif n < 20:
+        want = {r.worker_id: ("random", r.tries[0]) for r in assign.trial_orders(names, pending).collect()}
+    else:
+        want = {r.worker_id: ("ring", r.p) for r in assign.prefer(pending, assign.ring(names)).groupBy("worker_id").agg(F.min("partition_id").alias("p")).collect()}
+        assert len(want) == 3
+    assert {w: v[:2] for w, v in got.items()} == want
+    for w, (_, p, outcome) in got.items():
+        assert outcome == ("acquired" if w == min(x for x in got if got[x][1] == p) else "conflict")
+
+
+def test_metric_buckets():
+    """Fixed values of the histograms."""
+    assert metrics.ASSIGNMENT_BUCKETS == (0.001, 0.01, 0.1, 0.5, 1, 2, 5, 10) and metrics.TASK_BUCKETS == (*metrics.ASSIGNMENT_BUCKETS, 30, 60)
+
+
 def test_metrics(spark):
     rng = random.Random(1)
     values = [rng.expovariate(1.0) for _ in range(500)]

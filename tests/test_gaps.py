@@ -1,12 +1,15 @@
 """Gaps, islands and neighbours against hand-made cases and plain models."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from rangeloom.operators import gaps
-from rangeloom.operators.neighbours import ordinal, running, with_next
+from rangeloom.operators import neighbours
+from rangeloom.operators.neighbours import Layout, bounds_of, ordinal, running, with_next
 from rangeloom.plans import catalogue
 
 RANGES = "partition_id long, min_id long, max_id long"
@@ -99,14 +102,50 @@ def test_buckets_do_not_matter(spark):
     keys = random.Random(5).sample(range(10_000), 300)
     df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long")
     ordered = sorted(keys)
-    for buckets in (1, 3, 50, 4096):
-        assert rows(with_next(df, "k", {"n": "k"}, buckets=buckets).select("k", "n")) == sorted(zip(ordered, [*ordered[1:], None], strict=True))
-        assert rows(ordinal(df, "k", "i", buckets=buckets).select("k", "i")) == [(k, i + 1) for i, k in enumerate(ordered)]
+    for bounds in (Layout(0, 9999, 1), Layout(0, 9999, 3), Layout(0, 9999, 50), Layout(0, 9999, 4096), Layout(0, 9999, 4, (17, 18, 5000)), None):
+        assert rows(with_next(df, "k", {"n": "k"}, bounds=bounds).select("k", "n")) == sorted(zip(ordered, [*ordered[1:], None], strict=True))
+        assert rows(ordinal(df, "k", "i", bounds=bounds).select("k", "i")) == [(k, i + 1) for i, k in enumerate(ordered)]
         sums, total = [], 0
         for k in ordered:
             total += k % 7
             sums.append((k, total))
-        assert rows(running(df, "k", "v", {"s": ("sum", "v")}, buckets=buckets).select("k", "s")) == sums
+        assert rows(running(df, "k", "v", {"s": ("sum", "v")}, bounds=bounds).select("k", "s")) == sums
+
+
+def test_outliers_and_clusters_stay_apart(spark, monkeypatch):
+    """One far id and dense clusters: no bucket gets much more than its share, and the neighbours are right."""
+    monkeypatch.setattr(neighbours, "SMALL", 0)
+    rng = random.Random(3)
+    keys = sorted({*(rng.randrange(2000) for _ in range(3000)), *(10**12 + rng.randrange(900) for _ in range(800)), 2**60, -(2**62)})
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    layout = bounds_of(df, "k")
+    sizes = df.select(layout.bucket(F.col("k")).alias("b"), "k").collect()
+    assert all(layout.of(r.k) == r.b for r in sizes)
+    counts = Counter(r.b for r in sizes)
+    assert layout.cuts and max(counts.values()) <= 4 * len(keys) / layout.buckets + 2
+    assert rows(with_next(df, "k", {"n": "k"}).select("k", "n")) == sorted(zip(keys, [*keys[1:], None], strict=True))
+    assert rows(ordinal(df, "k", "i").select("k", "i")) == [(k, i + 1) for i, k in enumerate(keys)]
+    found = rows(gaps.islands(df, "k"))
+    assert sum(n for *_, n in found) == len(keys) and found[0] == (-(2**62), -(2**62), 1) and found[-1] == (2**60, 2**60, 1)
+    assert bounds_of(df.filter("k between 0 and 1999"), "k").cuts is None  # even keys need no cuts
+
+
+def test_wide_gaps_and_ranges_cost_nothing(spark):
+    """A gap of 10**15 ids in tiles of 10, a range over nearly everything, a plan of more tiles than one array holds."""
+    wide = spark.createDataFrame([(5, 10**15), (10**15 + 7, 10**15 + 60)], "start_id long, end_id long")
+    ids = spark.createDataFrame([(x,) for x in (1, 5, 6, 7, 24, 25, 26, 10**14, 10**15, 10**15 + 3, 10**15 + 20, 10**15 + 61)], "k long")
+    got = rows(gaps.split_gaps(wide, ids, "k", size=10, next_id=100))
+    tile = (10**14 - 5) // 10 * 10 + 5
+    want = [(5, 14), (15, 24), (25, 34), (tile, tile + 9), (10**15 - 5, 10**15 - 5 + 9), (10**15 + 17, 10**15 + 26)]
+    want = [(100 + i, a, min(b, 10**15) if a < 10**15 else b) for i, (a, b) in enumerate(x for x in want if x[0] != 10**14)]
+    assert got == want
+    rng = random.Random(4)
+    one, two = ([(i, a, a + rng.choice((0, 3, 40, 900, 10**6))) for i, a in enumerate(rng.sample(range(5000), 60))] for _ in range(2))
+    one.append((99, -(10**14), 10**14))
+    schema = "partition_id long, min_id long, max_id long"
+    got = rows(gaps.overlaps(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema), size=16))
+    assert got == sorted((i, j) for i, a, b in one for j, c, d in two if a <= d and c <= b)
+    assert gaps.overlaps(spark.createDataFrame([], schema), spark.createDataFrame([], schema), size=16).count() == 0
 
 
 def test_prefix(spark):

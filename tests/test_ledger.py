@@ -1,6 +1,7 @@
 """Filters, statistics, transitions, archive."""
 
 import os
+from collections import namedtuple
 from datetime import datetime, timedelta
 
 import pytest
@@ -105,12 +106,38 @@ def test_codec_round_trip(spark):
     rows_ = frame(spark, [(i, s, w, i) for i, (s, w) in enumerate([("completed", "a"), ("failed", "b"), ("running", ""), ("completed", "gone")], 1)])
     rows_ = rows_.withColumn("error", F.when(F.col("status") == "failed", "été"))
     codes = spark.createDataFrame([("a", 1), ("b", 2)], "worker_id string, code long")
-    blobs = archive.compress(rows_, rows_.select("partition_id", F.lit(1).alias("batch_no")), codes)
+    every = codes.unionByName(spark.createDataFrame([("gone", 9)], "worker_id string, code long"))
+    blobs = archive.compress(rows_, rows_.select("partition_id", F.lit(1).alias("batch_no")), every)
     got = rows(archive.decompress(blobs, codes).select("partition_id", "min_id", "max_id", "worker_id", "status", "error"))
     assert got[:3] == [(1, 101, 200, "a", "completed", None), (2, 201, 300, "b", "failed", "été"), (3, 301, 400, "", "running", None)]
-    assert got[3][3].startswith("unknown_worker_")
+    assert got[3][3] == "unknown_worker_9"
+    with pytest.raises(Exception, match="worker without a code: gone"):
+        archive.compress(rows_, rows_.select("partition_id", F.lit(1).alias("batch_no")), codes).collect()
     broken = blobs.withColumn("compressed_data", F.lit(b"nothing"))
-    assert archive.decompress(broken, codes).count() == 0
+    with pytest.raises(Exception, match="batch 1 can't be read"):
+        archive.decompress(broken, codes).collect()
+    assert archive.decompress(broken, codes, skip_unreadable=True).count() == 0
+    assert [tuple(r) for r in archive.integrity(broken.unionByName(blobs)).collect()] == [(1, 4, 0, False, "unreadable"), (1, 4, 4, True, None)]
+    assert rows(archive.search(blobs, [2, 4, 77], codes).select("partition_id")) == [(2,), (4,)]
+    assert archive.search(blobs, [5, 0], codes).count() == archive.search(broken, [2], codes).count() == 0
+
+
+Row = namedtuple("Row", "partition_id min_id max_id code status_code updated created error")
+
+
+def test_codec_bytes():
+    """Golden bytes: little-endian, the width counts both ends."""
+    row = Row(4970, 4969001, 4970000, 3, 3, 1800, 0, "né")
+    golden = bytes.fromhex("6a130000" "29d24b0000000000" "e8030000" "0300" "03" "08070000" "00000000" "0300" "6ec3a9")
+    assert archive.encode_row(row) == golden and len(golden) == 29 + 3
+    assert archive.decode_rows(golden * 2) == [(4970, 4969001, 4970000, 3, "completed", 1800, 0, "né")] * 2
+    assert archive.decode_rows(archive.encode_row(row._replace(error=None, code=65535, max_id=4969001))) == [(4970, 4969001, 4969001, 65535, "completed", 1800, 0, None)]
+    for wrong in ({"partition_id": 2**32 + 5}, {"code": 70000}, {"code": -1}, {"max_id": 2**33 + 4969001}, {"max_id": 4968000}, {"min_id": -1}):
+        with pytest.raises(ValueError, match="doesn't fit"):
+            archive.encode_row(row._replace(**wrong))
+    for cut in (golden[:-1], golden[:10]):
+        with pytest.raises(archive._UNREADABLE):
+            archive.decode_rows(cut)
 
 
 def test_json_scan_leaves_bad_rows_out(spark):

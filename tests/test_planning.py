@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rangeloom.functions.scalars import effective_size, look_ahead
+from rangeloom.operators import planner
 from rangeloom.operators.ledger import stats
 from rangeloom.operators.planner import RangeSource, allocate, may_allocate, plan_ranges
 
@@ -25,6 +26,13 @@ def test_plans_are_contiguous(spark, last, following, n):
     assert all(b[1] == a[2] + 1 for a, b in zip(got, got[1:], strict=False))
 
 
+def test_plans_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(planner, "STEP", 7)
+    got = plan(spark, 0, 1000, 10)
+    assert got == [(i + 1, i * 10 + 1, i * 10 + 10) for i in range(100)]
+    assert plan(spark, 0, 75, 10)[-1] == (8, 71, 75)
+
+
 def test_look_ahead(spark):
     cases = [(1000, 2, 3), (1000, 0, 3), (1000, 4, 3), (1000, 10, 5), (2**62, 3, 4), (-1, 10, 5)]
     df = spark.createDataFrame(cases, "s long, w long, m long").select(look_ahead(F.col("s"), F.col("w"), F.col("m")).alias("x"))
