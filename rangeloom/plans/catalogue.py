@@ -349,9 +349,14 @@ def gaps_incremental(spark, sf_dir):
     return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200)
 
 
-@query()
+@query(EVERY_ORDER + """, starts AS (SELECT min_id AS place, max(n) AS n FROM (SELECT min_id, count(*) OVER (ORDER BY min_id) AS n FROM ranges) GROUP BY 1), ends AS (SELECT max_id AS place, max(n) AS n FROM (SELECT max_id, count(*) OVER (ORDER BY max_id) AS n FROM ranges) GROUP BY 1),
+lasts AS (SELECT max_id AS place, max(partition_id) AS pid FROM ranges GROUP BY 1), firsts AS (SELECT min_id AS place, min(partition_id) AS pid FROM ranges GROUP BY 1),
+sides AS (SELECT partition_id, before.pid AS before, after.pid AS after, s1.n - coalesce(e1.n, 0) AS open_low, s2.n - coalesce(e2.n, 0) AS open_high FROM ranges r
+    ASOF LEFT JOIN starts s1 ON r.min_id >= s1.place ASOF LEFT JOIN ends e1 ON r.min_id > e1.place ASOF LEFT JOIN starts s2 ON r.max_id >= s2.place ASOF LEFT JOIN ends e2 ON r.max_id > e2.place
+    ASOF LEFT JOIN lasts before ON r.min_id > before.place ASOF LEFT JOIN firsts after ON r.max_id < after.place)
+SELECT partition_id AS probe_id, CASE WHEN open_low <= 1 THEN before END AS prev_id, CASE WHEN open_high <= 1 THEN after END AS next_id FROM sides""")
 def adjacent_every_order(spark, sf_dir):
-    """A probe of every order; the SQL twin would join every probe with every range, tests compare with a plain model."""
+    """A probe of every order. The SQL twin counts the ranges that are open at a bound; tests compare with a plain model too."""
     ranges = every_order(spark, sf_dir)
     probes = ranges.select(F.col("partition_id").alias("probe_id"), F.col("partition_id").alias("self_id"), "min_id", "max_id")
     return gaps.adjacent_ranges(probes, ranges)
@@ -632,7 +637,20 @@ def breaker_failure_window(spark, sf_dir):
     return breaker.failure_windows(breaker_events(spark, sf_dir), 6 * HOUR)
 
 
-@query()
+@query(BREAKER.replace("WITH ", "WITH RECURSIVE ", 1) + """, log AS (SELECT worker_id, seq, kind, partition_id, epoch_us(ts) / 1e8 AS moment, row_number() OVER (PARTITION BY worker_id ORDER BY ts, seq) AS n FROM ev),
+fold AS (SELECT DISTINCT worker_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::BIGINT AS partition_id, NULL::BOOLEAN AS allowed, 'closed' AS state, 0::BIGINT AS consecutive, 0::BIGINT AS probes, 0::DOUBLE AS since, 0::BIGINT AS trips, []::STRUCT(p BIGINT, t DOUBLE)[] AS failed FROM log
+UNION ALL SELECT worker_id, n, seq, kind, partition_id, kind <> 'attempt' OR state = 'closed' OR turns OR probing,
+    CASE WHEN kind = 'attempt' THEN CASE WHEN turns THEN 'half-open' ELSE state END WHEN kind = 'success' THEN CASE WHEN state = 'half-open' THEN 'closed' ELSE state END WHEN trips_now OR state = 'half-open' THEN 'open' ELSE state END,
+    CASE kind WHEN 'success' THEN 0 ELSE consecutive END,
+    CASE WHEN kind = 'attempt' THEN CASE WHEN turns THEN 1 WHEN probing THEN probes + 1 ELSE probes END WHEN state = 'half-open' THEN CASE kind WHEN 'success' THEN probes - 1 ELSE 0 END ELSE probes END,
+    CASE WHEN turns OR trips_now OR (kind <> 'attempt' AND state = 'half-open') THEN moment ELSE since END, trips + CASE WHEN trips_now THEN 1 ELSE 0 END, CASE WHEN kind = 'success' AND state = 'half-open' THEN [] ELSE failed END
+FROM (SELECT *, kind = 'attempt' AND state = 'open' AND moment - since > 30 AS turns, kind = 'attempt' AND state = 'half-open' AND probes < 2 AS probing, kind = 'failure' AND state = 'closed' AND (consecutive >= 3 OR len(failed) >= 5) AS trips_now
+FROM (SELECT * REPLACE (CASE kind WHEN 'failure' THEN consecutive + CASE WHEN len(list_filter(failed, lambda f : f.p = partition_id)) = 0 THEN 1 ELSE 0 END ELSE consecutive END AS consecutive,
+    CASE kind WHEN 'attempt' THEN failed WHEN 'success' THEN list_filter(failed, lambda f : f.p <> partition_id) ELSE list_append(list_filter(failed, lambda f : f.p <> partition_id), {'p': partition_id, 't': moment}) END AS failed)
+FROM (SELECT * REPLACE (CASE WHEN closes THEN 'closed' ELSE state END AS state, CASE WHEN closes THEN moment ELSE since END AS since) FROM (SELECT *, kind <> 'success' AND state = 'open' AND consecutive < 3 AND len(failed) < 5 AS closes
+FROM (SELECT * REPLACE (CASE kind WHEN 'success' THEN consecutive ELSE greatest(0, consecutive - len(failed) + len(list_filter(failed, lambda f : moment - f.t <= 300))) END AS consecutive, CASE kind WHEN 'success' THEN failed ELSE list_filter(failed, lambda f : moment - f.t <= 300) END AS failed)
+FROM (SELECT l.*, f.state, f.consecutive, f.probes, f.since, f.trips, f.failed FROM fold f JOIN log l ON l.worker_id = f.worker_id AND l.n = f.n + 1)))))))
+SELECT worker_id, seq, kind, partition_id, allowed, state, consecutive AS consecutive_failures, len(failed) AS total_failures, trips FROM fold WHERE n > 0""")
 def breaker_automaton(spark, sf_dir):
     """Event times are divided by 100, so that the thresholds of seconds and minutes meet some of the log."""
     events = breaker_events(spark, sf_dir).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e8))
