@@ -215,3 +215,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return named.select("id", "n", "component").unionByName(rest).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
+
+
+def oracle(shingle: int = 4, percent: int = 80) -> str:
+    """DuckDB's twin of the query by definition: sets, pairs by shared shingles, components by closure."""
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents),
+parts AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - {shingle - 1}, 1) + 1) END) AS place FROM texts),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, place, place + {shingle - 1}), ' ') AS s FROM parts),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= {percent} * (x.n + y.n - c.n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id, least(doc_id, coalesce(min(b), doc_id)) = doc_id AS kept
+FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id
+"""
+
+
+ORACLE = oracle()

@@ -276,3 +276,14 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     valid = rows.filter("embedding is not null").join(known, ["h", "embedding"]).select("id", "links", "component")
     rest = rows.filter("embedding is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     return valid.unionByName(rest).select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+#: DuckDB's twin of the query by definition: every pair, components by closure.
+ORACLE = """
+WITH RECURSIVE sound AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+edges AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+counts AS (SELECT a, count(*) AS n FROM edges GROUP BY a),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, least(vec_id, coalesce(l.b, vec_id)) = vec_id AS kept FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id
+"""

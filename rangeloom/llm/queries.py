@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, linkgraph, mixing
+from . import debruijn, linkgraph, minhash, mixing, multiindex
 from .debruijn import repeated_passages
 from .html_tree import extract_main_text
 from .minhash import near_duplicates
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity_chain, op2_html_tree_model, op3_dynamic_packing, op4_quality_ratio, op5_host_trust, op6_poisson_mixing, op7_multi_index, op8_setsketch_near_dedup, op9_warc_derivatives, op10_debruijn_substrings)
 }
-ORACLES: dict[str, str] = {"op5_host_trust": linkgraph.ORACLE, "op6_poisson_mixing": mixing.ORACLE, "op10_debruijn_substrings": debruijn.ORACLE}
+ORACLES: dict[str, str] = {"op5_host_trust": linkgraph.ORACLE, "op6_poisson_mixing": mixing.ORACLE, "op7_multi_index": multiindex.ORACLE, "op8_setsketch_near_dedup": minhash.ORACLE, "op10_debruijn_substrings": debruijn.ORACLE}
