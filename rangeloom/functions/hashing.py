@@ -25,6 +25,17 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(octets, F.lit(FNV_BASIS).cast("long"), lambda h, o: (h.bitwiseXOR(o) * FNV_PRIME) % SPAN)
 
 
+def short_id(prefix: str, *content: Column, length: int = 8) -> Column:
+    """An id that follows from content: a prefix and ``length`` hexadecimal digits, the same each time a task runs."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in content]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, length))
+
+
+def command_id(ts: Column, *content: Column) -> Column:
+    """cmd-<time>-<six digits>: commands in the order of their seconds, told apart by content."""
+    return F.concat(F.lit("cmd-"), F.date_format(ts, "yyyyMMddHHmmss"), short_id("-", *content, length=6))
+
+
 def try_count(n: Column) -> Column:
     """How many pending ranges a worker tries before it gives up."""
     n = n.cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import Layout, bounds_of, ordinal, running, with_next
+from .neighbours import Layout, bounds_of, ordinal, running, sweep, with_next
 
 
 def gaps_adjacent(ranges: DataFrame, bounds: Layout | None = None) -> DataFrame:
@@ -14,11 +14,9 @@ def gaps_adjacent(ranges: DataFrame, bounds: Layout | None = None) -> DataFrame:
     return out.filter("max_id + 1 < following").select((F.col("max_id") + 1).alias("start_id"), (F.col("following") - 1).alias("end_id")).distinct()
 
 
-def gaps_covered(ranges: DataFrame) -> DataFrame:
+def gaps_covered(ranges: DataFrame, bounds: Layout | None = None) -> DataFrame:
     """(start_id, end_id) that no range covers between the first start and the last: the running end counts."""
-    bounds = bounds_of(ranges, "min_id")
-    out = with_next(ranges.select("min_id", "max_id"), "min_id", {"following": "min_id"}, bounds=bounds)
-    out = running(out, "min_id", "max_id", {"covered": ("max", "max_id")}, bounds=bounds)
+    out = sweep(ranges.select("min_id", "max_id"), "min_id", ("max_id",), {"following": "min_id"}, {"covered": ("max", "max_id")}, bounds=bounds)
     return out.filter("covered + 1 < following").select((F.col("covered") + 1).alias("start_id"), (F.col("following") - 1).alias("end_id")).distinct()
 
 
@@ -38,9 +36,9 @@ def islands(ids: DataFrame, key: str) -> DataFrame:
     return ended.select(F.col("id").alias("min_id"), F.coalesce("end", F.lit(layout.high)).cast("long").alias("max_id")).withColumn("n_ids", F.col("max_id") - F.col("min_id") + 1)
 
 
-def contiguous_prefix(ranges: DataFrame) -> DataFrame:
+def contiguous_prefix(ranges: DataFrame, bounds: Layout | None = None) -> DataFrame:
     """(confirmed_max_id): the largest end of the run of ranges from the first start without a break, its last range left out; 0 if none."""
-    out = with_next(ranges.select("min_id", "max_id"), "min_id", {"following": "min_id"})
+    out = with_next(ranges.select("min_id", "max_id"), "min_id", {"following": "min_id"}, bounds=bounds)
     place = out.filter("following is not null and max_id + 1 < following").agg(F.min("min_id")).first()[0]
     if place is None:
         place = ranges.agg(F.max("min_id")).first()[0]
@@ -64,15 +62,15 @@ def split_gaps(gaps: DataFrame, ids: DataFrame, key: str, *, size: int, next_id:
 
     The tiles come from the ids: a running pass finds the gap that each id lies in, so a gap costs nothing for its width.
     """
-    edge = "struct<at:long,end:long>"
+    edge, layout = "struct<at:long,end:long>", bounds_of(ids, key)
     starts = gaps.select(F.col("start_id").alias("at"), F.lit(0).alias("turn"), F.struct(F.col("start_id").alias("at"), F.col("end_id").alias("end")).cast(edge).alias("edge"))
     found = ids.select(F.col(key).cast("long").alias("at")).na.drop().distinct().select("at", F.lit(1).alias("turn"), F.lit(None).cast(edge).alias("edge"))
-    inside = running(starts.unionByName(found), "at", "turn", {"gap": ("max", "edge")}, bounds=bounds_of(ids, key)).filter((F.col("turn") == 1) & (F.col("at") <= F.col("gap.end")))
+    inside = running(starts.unionByName(found), "at", "turn", {"gap": ("max", "edge")}, bounds=layout).filter((F.col("turn") == 1) & (F.col("at") <= F.col("gap.end")))
     tile = F.col("gap.at") + F.expr(f"(at - gap.at) div {size}") * size
     tiles = inside.select("at", tile.alias("min_id"), F.col("gap.end").alias("end"))
     tiles = tiles.filter("at > min_id") if start_exclusive else tiles
     kept = tiles.select("min_id", F.least("end", F.col("min_id") + size - 1).alias("max_id")).distinct()
-    return ordinal(kept, "min_id", "partition_id", first=next_id).select("partition_id", "min_id", "max_id")
+    return ordinal(kept, "min_id", "partition_id", first=next_id, bounds=layout).select("partition_id", "min_id", "max_id")
 
 
 def overlaps(a: DataFrame, b: DataFrame, *, size: int) -> DataFrame:
@@ -112,9 +110,9 @@ def newest(ranges: DataFrame, n: int = 500) -> DataFrame:
     return ranges.orderBy(F.desc("partition_id")).limit(n)
 
 
-def gaps_around_new(ranges: DataFrame, since: int) -> DataFrame:
+def gaps_around_new(ranges: DataFrame, since: int, bounds: Layout | None = None) -> DataFrame:
     """Gaps that touch a range of partition id above ``since`` on either side."""
-    out = with_next(ranges.select("partition_id", "min_id", "max_id"), "min_id", {"following": "min_id", "next_pid": "partition_id"})
+    out = with_next(ranges.select("partition_id", "min_id", "max_id"), "min_id", {"following": "min_id", "next_pid": "partition_id"}, bounds=bounds)
     out = out.filter((F.col("max_id") + 1 < F.col("following")) & ((F.col("partition_id") > since) | (F.col("next_pid") > since)))
     return out.select((F.col("max_id") + 1).alias("start_id"), (F.col("following") - 1).alias("end_id")).distinct()
 

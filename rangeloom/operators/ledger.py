@@ -99,6 +99,15 @@ def worker_speed(events: DataFrame) -> DataFrame:
     return out.select("worker_id", "items", "seconds", F.when(F.col("seconds") > 0, F.col("items") / F.col("seconds")).alias("per_second"), "success")
 
 
+def holder_at(events: DataFrame, times: DataFrame, key: str, owner: str) -> DataFrame:
+    """``times`` (key, ts ...) with ``owner``: who held a key at a time by its log (key, owner, ts, seq), null before the first holder; a change counts from its own time on."""
+    by = Window.partitionBy(key).orderBy("ts", "__turn", "__seq").rowsBetween(Window.unboundedPreceding, 0)
+    rest = [c for c in times.columns if c not in (key, "ts")]
+    log = events.select(key, "ts", F.lit(0).alias("__turn"), F.col("seq").cast("long").alias("__seq"), F.struct(F.col(owner).alias("o")).alias("__o"), *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in rest])
+    asked = times.select(key, "ts", F.lit(1).alias("__turn"), F.lit(0).cast("long").alias("__seq"), F.lit(None).cast(log.schema["__o"].dataType).alias("__o"), *rest)
+    return log.unionByName(asked).withColumn("__held", F.last("__o", ignorenulls=True).over(by)).filter("__turn = 1").select(key, "ts", *rest, F.col("__held.o").alias(owner))
+
+
 def owner_spans(events: DataFrame, key: str, owner: str) -> DataFrame:
     """(key, owner, since, until): who held a key from when to when (null: still), from a log (ts, seq) of its holders.
 

@@ -78,28 +78,35 @@ def bucketed(df: DataFrame, key: str, layout: Layout | None = None) -> DataFrame
     return df.withColumn("__bucket", (layout or bounds_of(df, key)).bucket(F.col(key)))
 
 
+_KINDS = {"sum": F.sum, "max": F.max, "min": F.min}
+_JOINS = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
+
+
+def sweep(df: DataFrame, key: str, ties: tuple[str, ...], following: dict[str, str], measures: dict[str, tuple[str, str]], *, bounds: Layout | None = None) -> DataFrame:
+    """``with_next`` and ``running`` in one pass over the rows, in the order of ``key`` and ``ties``."""
+    rows = bucketed(df, key, bounds)
+    order = [key, *ties]
+    inside = Window.partitionBy("__bucket").orderBy(*order)
+    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
+    values = F.struct(*[F.col(c).alias(n) for n, c in following.items()]) if following else F.struct(F.lit(0))
+    edges = rows.groupBy("__bucket").agg(F.min_by(values, F.struct(*order)).alias("__first"), *[_KINDS[k](c).alias(f"__all_{n}") for n, (k, c) in measures.items()])
+    across = Window.orderBy("__bucket")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("__bucket", F.lead("__first").over(across).alias("__over"), *[_KINDS[k](f"__all_{n}").over(earlier).alias(f"__before_{n}") for n, (k, _) in measures.items()])
+    here = [*([F.lead(values).over(inside).alias("__next")] if following else []), *[_KINDS[k](c).over(sofar).alias(f"__here_{n}") for n, (k, c) in measures.items()]]
+    out = rows.select("*", *here).join(F.broadcast(edges), "__bucket")  # at most MOST_BUCKETS rows
+    found = [F.coalesce("__next", "__over")[n].alias(n) for n in following]
+    return out.select(*df.columns, *found, *[_JOINS[k](F.col(f"__here_{n}"), F.col(f"__before_{n}")).alias(n) for n, (k, _) in measures.items()])
+
+
 def with_next(df: DataFrame, key: str, values: dict[str, str], *, bounds: Layout | None = None) -> DataFrame:
     """Each row with ``new: column`` values of the row of next larger ``key`` (ties in any order); null at the end."""
-    rows = bucketed(df, key, bounds)
-    inside = Window.partitionBy("__bucket").orderBy(key)
-    firsts = rows.groupBy("__bucket").agg(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), F.col(key)).alias("__first"))
-    firsts = firsts.select("__bucket", F.lead("__first").over(Window.orderBy("__bucket")).alias("__over"))
-    here = F.lead(F.struct(*[F.col(c).alias(n) for n, c in values.items()])).over(inside)
-    out = rows.withColumn("__next", here).join(F.broadcast(firsts), "__bucket")  # at most MOST_BUCKETS rows
-    return out.select(*df.columns, *[F.coalesce("__next", "__over")[n].alias(n) for n in values])
+    return sweep(df, key, (), values, {}, bounds=bounds)
 
 
 def running(df: DataFrame, key: str, tie: str, measures: dict[str, tuple[str, str]], *, bounds: Layout | None = None) -> DataFrame:
     """Each row with running "sum", "max" or "min" of columns, itself included, in the order of ``key`` and ``tie``: {name: (kind, column)}."""
-    rows = bucketed(df, key, bounds)
-    inside = Window.partitionBy("__bucket").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = {"sum": F.sum, "max": F.max, "min": F.min}
-    joins = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
-    tops = rows.groupBy("__bucket").agg(*[kinds[k](c).alias(n) for n, (k, c) in measures.items()])
-    tops = tops.select("__bucket", *[kinds[k](n).over(earlier).alias(f"__{n}") for n, (k, _) in measures.items()])
-    out = rows.select("*", *[kinds[k](c).over(inside).alias(f"__here_{n}") for n, (k, c) in measures.items()]).join(F.broadcast(tops), "__bucket")  # at most MOST_BUCKETS rows
-    return out.select(*df.columns, *[joins[k](F.col(f"__here_{n}"), F.col(f"__{n}")).alias(n) for n, (k, _) in measures.items()])
+    return sweep(df, key, (tie,), {}, measures, bounds=bounds)
 
 
 def ordinal(df: DataFrame, key: str, name: str, *, first: Column | int = 1, bounds: Layout | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,19 +24,38 @@ def count_items(ranges: DataFrame, items: DataFrame, key: str, *, size: int) ->
     return ranges.join(found, "partition_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
-def run_processor(ranges: DataFrame, process: Callable[[int, int, dict], int]) -> DataFrame:
+class _Late(Exception):
+    pass
+
+
+def run_processor(ranges: DataFrame, process: Callable[[int, int, dict], int], *, seconds: float | None = None) -> DataFrame:
     """(partition_id, worker_id, status, n_items, error): what ``process(min_id, max_id, options)`` returned for each range, or its error.
 
-    ``options`` always have partition_id and worker_id.
+    ``options`` always have partition_id and worker_id. A range that takes longer than ``seconds`` (half a lease, say) is
+    interrupted and fails. ``transitions.release`` gives the ranges back.
     """
 
+    def late(*_) -> None:
+        raise _Late(f"timed out after {seconds:g} s")
+
+    def limited(low: int, high: int, options: dict) -> int:
+        if not seconds:
+            return int(process(low, high, options))
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return int(process(low, high, options))
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 options = dict(row.options or {}) | {"partition_id": row.partition_id, "worker_id": row.worker_id}
                 try:
-                    out.append((row.partition_id, row.worker_id, "completed", int(process(row.min_id, row.max_id, options)), None))
+                    out.append((row.partition_id, row.worker_id, "completed", limited(row.min_id, row.max_id, options), None))
                 except Exception as e:  # a user's code may raise anything; the range carries it
                     out.append((row.partition_id, row.worker_id, "failed", 0, str(e)))
             yield pd.DataFrame(out, columns=["partition_id", "worker_id", "status", "n_items", "error"])

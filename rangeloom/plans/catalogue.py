@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, scalars
 from ..operators import archive, assign, breaker, gaps, metrics, planner, process, transitions
 from ..operators import ledger as led
-from ..operators.neighbours import bounds_of, ordinal
+from ..operators.neighbours import Layout, bounds_of, ordinal
 from ..sources.tables import keys_like, ledger_from_json, queue_head, read, to_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,8 +82,11 @@ RANGES = ISLANDS + ", ranges AS (SELECT row_number() OVER (ORDER BY min_id) AS p
 
 
 def numbered_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = bounds_of(read(spark, sf_dir, "lineitem"), "l_orderkey")
-    return ordinal(islands_of_lineitem(spark, sf_dir).select("min_id", "max_id"), "min_id", "partition_id", bounds=bounds)
+    return ordinal(islands_of_lineitem(spark, sf_dir).select("min_id", "max_id"), "min_id", "partition_id", bounds=_line_keys(spark, sf_dir))
+
+
+def _line_keys(spark: SparkSession, sf_dir: str) -> Layout:
+    return bounds_of(read(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 def every_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +349,7 @@ def gap_fill_every_order(spark, sf_dir):
 
 @query(RANGES + "SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt, lead(partition_id) OVER (ORDER BY min_id) AS np FROM ranges) WHERE max_id + 1 < nxt AND (partition_id > 200 OR np > 200)")
 def gaps_incremental(spark, sf_dir):
-    return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200)
+    return gaps.gaps_around_new(numbered_islands(spark, sf_dir), 200, _line_keys(spark, sf_dir))
 
 
 @query(EVERY_ORDER + """, starts AS (SELECT min_id AS place, max(n) AS n FROM (SELECT min_id, count(*) OVER (ORDER BY min_id) AS n FROM ranges) GROUP BY 1), ends AS (SELECT max_id AS place, max(n) AS n FROM (SELECT max_id, count(*) OVER (ORDER BY max_id) AS n FROM ranges) GROUP BY 1),
@@ -365,7 +368,7 @@ def adjacent_every_order(spark, sf_dir):
 @query(RANGES + """, n AS (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM ranges), first_break AS (SELECT min(min_id) AS place FROM n WHERE nxt IS NOT NULL AND max_id + 1 < nxt)
 SELECT coalesce(max(max_id), 0) AS confirmed_max_id FROM ranges WHERE min_id < coalesce((SELECT place FROM first_break), (SELECT max(min_id) FROM ranges))""")
 def contiguous_prefix(spark, sf_dir):
-    return gaps.contiguous_prefix(numbered_islands(spark, sf_dir))
+    return gaps.contiguous_prefix(numbered_islands(spark, sf_dir), _line_keys(spark, sf_dir))
 
 
 # --- assignment
@@ -910,9 +913,35 @@ def queue_scores(spark, sf_dir):
     return ledger(spark, sf_dir).select("partition_id", scalars.score(F.col("updated_at")).alias("score"))
 
 
+@query("SELECT event_id, 'cmd-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || substr(sha256(event_id || chr(0) || event_type), 1, 6) AS command_id, 'node-' || substr(sha256(user_id::VARCHAR), 1, 8) AS node_id FROM events WHERE event_type = 'error'")
+def content_ids(spark, sf_dir):
+    return read(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", hashing.command_id(F.col("ts"), F.col("event_id"), F.col("event_type")).alias("command_id"), hashing.short_id("node-", F.col("user_id")).alias("node_id"))
+
+
+@query("""WITH e AS (SELECT user_id % 3 AS lock_id, 'worker-' || (event_id % 7) AS owner, ts, event_id AS seq FROM events WHERE event_type = 'signup'), l AS (SELECT lock_id, ts, arg_max(owner, seq) AS owner FROM e GROUP BY 1, 2),
+t AS (SELECT user_id % 3 AS lock_id, ts, event_id FROM events WHERE event_type = 'purchase') SELECT t.lock_id, t.ts, t.event_id, l.owner FROM t ASOF LEFT JOIN l ON t.lock_id = l.lock_id AND t.ts >= l.ts""")
+def leader_at(spark, sf_dir):
+    """Who held each lock when a purchase came."""
+    events = read(spark, sf_dir, "events").withColumn("lock_id", F.col("user_id") % 3)
+    log = events.filter("event_type = 'signup'").select("lock_id", F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string")).alias("owner"), "ts", F.col("event_id").alias("seq"))
+    return led.holder_at(log, events.filter("event_type = 'purchase'").select("lock_id", "ts", "event_id"), "lock_id", "owner")
+
+
 # --- compressed batches
 
 
+@query(LEDGER + "SELECT partition_id, min_id, max_id, worker_id, status, error, cast(date_trunc('second', updated_at) AS TIMESTAMP) AS updated_at FROM ledger WHERE status = 'completed'")
+def archive_every_tier(spark, sf_dir):
+    """Finished ranges from both archive tiers: those of the compression plan out of their batches, the others as rows."""
+    done = archive.tiers(ledger(spark, sf_dir))[1]
+    codes = archive.worker_dictionary(_registered(spark, sf_dir))
+    plan = archive.compression_plan(done, threshold=12, batch=5)
+    columns = ["partition_id", "min_id", "max_id", "worker_id", "status", "error"]
+    packed = archive.decompress(archive.compress(done, plan, codes), codes).select(*columns, F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    loose = done.join(plan, "partition_id", "left_anti").select(*columns, F.date_trunc("second", "updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return loose.unionByName(packed)
+
+
 @query(LEDGER + "SELECT count(*) AS n_rows, cast(sum(29 + coalesce(strlen(error), 0)) AS BIGINT) AS binary_bytes, count(DISTINCT partition_id // 64) AS n_batches FROM ledger")
 def batch_binary_bytes(spark, sf_dir):
     blobs = _archive_round(spark, sf_dir)[0]

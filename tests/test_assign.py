@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -225,6 +226,17 @@ def test_processing(spark):
     assert rows(process.run_processor(ranges, work)) == [(1, "w", "completed", 9, None), (2, "w", "failed", 0, "no y")]
 
 
+def test_slow_ranges_are_interrupted(spark):
+    def work(low, high, options):
+        time.sleep(30 if low > 10 else 0)
+        return high - low
+
+    ranges = spark.createDataFrame([(1, 1, 10, "w", None), (2, 11, 20, "w", None)], "partition_id long, min_id long, max_id long, worker_id string, options map<string,string>")
+    start = time.time()
+    assert rows(process.run_processor(ranges, work, seconds=0.5)) == [(1, "w", "completed", 9, None), (2, "w", "failed", 0, "timed out after 0.5 s")]
+    assert time.time() - start < 25
+
+
 def test_trial_orders_shuffle_all_pending_ids(spark):
     """More than 1,000 pending ids against a plain Fisher-Yates."""
     who = spark.createDataFrame([("worker-1",), ("worker-2",)], "worker_id string")
