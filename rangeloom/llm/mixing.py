@@ -45,11 +45,12 @@ def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, pow
     rates = counts.withColumn("mean", mean).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN)).cast("int"))
     rates = rates.withColumn("part", F.col("mean") / F.col("draws"))
     rates = rates.select("source", "draws", cumulative(F.col("part")).alias("cdf"))
-    if sources <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
+    # The second key, which follows from the source, makes both sides of a join that is not broadcast pass an exchange of their own: Spark can split it where a source is frequent.
+    again = F.pmod(F.xxhash64("source"), F.lit(2)).alias("__again")
+    rates = F.broadcast(rates.select("*", again)) if sources <= BROADCAST_SOURCES else rates.select("*", again)
     one = lambda draw: F.size(F.filter("cdf", lambda c: c <= uniform(F.col("key"), seed, draw)))
     count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda total, draw: total + one(draw))
-    drawn = given.join(rates, "source").withColumn("copies", count).filter("copies > 0")
+    drawn = given.select("*", again).join(rates, ["source", "__again"]).withColumn("copies", count).filter("copies > 0")
     out = drawn.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     out = out.withColumn("place", F.xxhash64("key", "copy", F.lit(seed)))
     out = out.repartition(shuffle_width(spark), "place").sortWithinPartitions("place")

@@ -1,5 +1,7 @@
 """Operators held against SQL twins and plain models of their whole result, and what odd input does to them."""
 
+import hashlib
+import os
 import random
 from collections import Counter
 
@@ -200,3 +202,76 @@ def test_stages_take_odd_tables(spark, tmp_path, kind):
     assert mixed.columns == list(corpus_pipeline.COLUMNS) and (mixed.count() == 0) == (kind == "empty")
     packed = stages["packing"](spark, docs, str(tmp_path))
     assert packed.count() >= len(data) and (kind != "empty" or packed.count() == 0)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_with_or_without_broadcast(spark, monkeypatch, broadcast):
+    """The same rows come out whichever way the rates reach them."""
+    from rangeloom.llm import mixing
+
+    docs = frame(spark, corpus(11, 60)).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("s"), F.col("doc_id"))))
+    want = rows(mixing.mix_sources(docs).select("doc_id", "copy_no"))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000 if broadcast else 0)
+    assert rows(mixing.mix_sources(docs).select("doc_id", "copy_no")) == want and len(want) > 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_whole_run_of_the_pipeline(spark):
+    """run()'s rows recomputed stage by stage with plain models: near-duplicates, passages, draws, and the tokenizer's ids of every document."""
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from test_texts import passages_model
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = quality_rules(docs, spark.read.parquet(f"{folder}/labels.parquet")).filter("kept").select("doc_id")  # held against a model above
+    given = {r.doc_id: r for r in docs.join(kept, "doc_id").collect()}
+    near = [(i, given[i].text) for i, _, _, k in near_model([(i, r.text) for i, r in given.items()], 5, 80) if k]
+    texts = {}
+    spans = {i: gone for i, _, gone, _ in passages_model(near, 13)}
+    first = {}
+    for i, t in sorted(near):
+        w = words_of(t)
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    for i, t in near:
+        w = words_of(t)
+        gone = {x for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for x in range(j, j + 13)}
+        assert len(gone) == spans[i]
+        if len(gone) < len(w) or not w:
+            texts[i] = t if not gone else None, [x for j, x in enumerate(w) if j not in gone]
+    counts = Counter(given[i].source or "" for i in texts)
+    total, share = sum(counts.values()), {s: n**0.7 for s, n in counts.items()}
+    copies = {}
+    for i in texts:
+        source = given[i].source or ""
+        mean = share[source] * total / sum(share.values()) / counts[source]
+        u = int(hashlib.md5(f"{i}:17:1".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, np.exp(-mean)
+        c = p
+        while c <= u:
+            n += 1
+            p *= mean / n
+            c += p
+        copies[i] = n
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    by_sequence = {}
+    found = Counter()
+    for r in pieces:
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+        found[r.doc_id] += r.length
+    for i, (_, left) in texts.items():
+        ids = tokenizer.encode(" ".join(left), add_special_tokens=False).ids + [1]
+        assert found[i] == copies[i] * len(ids), i
+        data = np.array(ids, dtype="<u4").tobytes()
+        for r in pieces:
+            if r.doc_id == i:
+                assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(data[4 * r.start : 4 * (r.start + r.length)])
+    assert set(found) == {i for i, n in copies.items() if n}
+    for rows_ in by_sequence.values():
+        rows_.sort(key=lambda r: r.offset)
+        assert rows_[0].offset == 0 and all(a.offset + a.length == b.offset for a, b in zip(rows_, rows_[1:], strict=False)) and rows_[-1].offset + rows_[-1].length <= 2048
