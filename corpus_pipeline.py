@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES applied in order to the documents table, each stage's rows written and read again."""
+"""The corpus pipeline: STAGES applied in order to the documents table, each stage's rows written and read again.
+
+Every stage takes empty tables (no rows come out), nulls in any column, empty and very long texts, repeated rows and ids
+(each row is judged by its own id and text) and further columns of any name, which it leaves behind: all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, each row by its own verdict, whatever its id."""
+    """Documents that the quality rules reject go, each row by its own verdict, whatever its id; null and empty texts have too few words. Equal rows share their verdict."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = keyed(docs)
     kept = quality_rules(docs, labels, carry=("row_key",)).filter("kept").select("row_key").distinct()
@@ -34,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id. Texts that share an id are documents of their own."""
+    """One document of each near-duplicate group stays: that of the smallest id. Texts that share an id are documents of their own; rows of null id, null or empty text stay; rows that repeat id and text stay or go together."""
     docs = keyed(docs)
     texts = cut(docs.filter("doc_id is not null").select("doc_id", "row_key").distinct())
     if texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
@@ -47,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 13-word passages go from all documents but the first; a document of which no word is left goes too."""
+    """Repeated 13-word passages go from all documents but the first; a document of which no word is left goes too. Rows of null id count as the last; null, empty and short texts stay as they are. ``n_chars`` is counted anew where words went."""
     rows = repeated_passages(docs.withColumn("no_text", F.col("text").isNull()), k=13, full=True, carry=("lang", "source", "n_chars", "no_text"))
     touched = F.col("n_removed") > 0
     rows = rows.filter(~touched | (F.col("n_words") > F.col("n_removed")))
@@ -55,12 +60,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated to their target weights and shuffled globally."""
+    """Sources repeated to their target weights and shuffled globally; a null source is a source of its own name '', rows that repeat an id draw the same count, those of null id draw by their text."""
     return mix_sources(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, in the shuffled order."""
+    """Pieces of packed sequences, in the shuffled order: at least one per row, null and empty texts are their end mark alone."""
     return pack(docs, tokenizer_path())
 
 
@@ -71,10 +76,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what passes between stages is Parquet in the checkpoint folder."""
+    """All stages over the documents table; what passes between stages is Parquet in the checkpoint folder, of which the last stage's input alone is left there for the caller's reads."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:  # the stage before it is not read again
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
