@@ -113,7 +113,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.key, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat: list[np.ndarray] = []
+        self.flat = np.zeros(0, dtype=np.uint32)
         self.total = 0
 
     def pieces(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,18 +136,25 @@ class Encoder:
         end[:-1] = np.minimum(end[:-1], start[1:])
         return start, end, word
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each piece)."""
+        flat, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(pieces), 2000):
-            part = pieces[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(" \x01 ".join(x.decode() for x in part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0)
+            part = [x.decode() for x in pieces[lo : lo + 2000]]
+            ids = np.array(self._batch([" \x01 ".join(part)])[0].ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, dtype=np.int64)
             if len(cuts) == len(part) - 1:
-                found = np.split(ids, cuts)
-                out += [found[0], *(x[1:] for x in found[1:])]
+                flat.append(np.delete(ids, cuts))
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:  # a piece that holds the mark itself
-                out += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)]
-        return out
+                each = [e.ids for e in self._batch(part)]
+                flat += [np.array(x, dtype=np.uint32) for x in each]
+                sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _batch(self, texts: list[str]) -> list:
+        """Encodings without offsets, which nothing here needs."""
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each word)."""
@@ -160,10 +167,9 @@ class Encoder:
         if not have.all():
             new = np.flatnonzero(~have)
             data = texts.buf.tobytes()
-            found = self._encode([data[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            found, sizes = self._encode([data[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
             places = self.total + np.cumsum(sizes) - sizes
-            self.flat = [np.concatenate([*self.flat, *found])]
+            self.flat = np.concatenate([self.flat, found])
             self.total += int(sizes.sum())
             self.key, self.at, self.size = (np.insert(a, at[new], b) for a, b in ((self.key, keys[new]), (self.at, places), (self.size, sizes)))
             at = np.searchsorted(self.key, keys)
@@ -171,7 +177,13 @@ class Encoder:
         size = self.size[at] if len(at) else np.zeros(0, dtype=np.int64)
         if not len(size) or not self.total:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts.start), dtype=np.int64)
-        return self.flat[0][ranges(self.at[at], size)], np.bincount(word, weights=size, minlength=len(texts.start)).astype(np.int64)
+        return self.flat[ranges(self.at[at], size)], np.bincount(word, weights=size, minlength=len(texts.start)).astype(np.int64)
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One per worker process: what earlier tasks encoded need not be encoded again."""
+    return Encoder(path)
 
 
 def cut_places(texts: Texts, per_word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +217,7 @@ def _pack(path: str, end_id: int, window: int, block_bytes: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", block_bytes):
             texts = Texts(batch.column("text"))
