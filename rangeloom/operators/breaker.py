@@ -104,8 +104,19 @@ def failure_runs(events: DataFrame) -> DataFrame:
 
 
 def failure_windows(events: DataFrame, seconds: int) -> DataFrame:
-    """(seq, worker_id, n_failed): at each failure, the partitions that failed within the last ``seconds``, each counted once."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    recent = Window.partitionBy("worker_id").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    failures = events.filter("kind = 'failure'").withColumn("at", at)
-    return failures.select("seq", "worker_id", F.size(F.collect_set("partition_id").over(recent)).cast("long").alias("n_failed"))
+    """(seq, worker_id, n_failed): at each failure, the partitions that failed within the last ``seconds``, each counted once.
+
+    A failure counts from its time until its partition fails again or the window has passed, so the answer is a running
+    sum of such beginnings and ends; no set is held. The sums run inside days of a worker's log, one row per day carries on.
+    """
+    length, day = seconds * 1_000_000, 86_400_000_000
+    failures = events.filter("kind = 'failure'").select("seq", "worker_id", "partition_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    again = F.lead("at").over(Window.partitionBy("worker_id", "partition_id").orderBy("at", "seq"))
+    spans = failures.withColumn("end", F.least(F.coalesce(again, F.col("at") + length + 1), F.col("at") + length + 1))
+    turns = spans.select("worker_id", "seq", "at", F.lit(1).alias("step")).unionByName(spans.select("worker_id", F.lit(None).cast("long").alias("seq"), F.col("end").alias("at"), F.lit(-1).alias("step")))
+    turns = turns.withColumn("day", F.floor(F.col("at") / day))
+    inside = Window.partitionBy("worker_id", "day").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("worker_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = turns.groupBy("worker_id", "day").agg(F.sum("step").alias("all")).select("worker_id", "day", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+    sums = turns.withColumn("here", F.sum("step").over(inside)).filter("step = 1").join(days, ["worker_id", "day"])
+    return sums.select("seq", "worker_id", (F.col("here") + F.col("before")).cast("long").alias("n_failed"))

@@ -15,7 +15,7 @@ from ..functions import hashing, scalars
 from ..operators import archive, assign, breaker, gaps, metrics, planner, process, transitions
 from ..operators import ledger as led
 from ..operators.neighbours import Layout, bounds_of, ordinal
-from ..sources.tables import keys_like, ledger_from_json, queue_head, read, to_json
+from ..sources.tables import keys_like, ledger_from_json, ledger_from_json_map, queue_head, read, to_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -927,6 +927,41 @@ def leader_at(spark, sf_dir):
     return led.holder_at(log, events.filter("event_type = 'purchase'").select("lock_id", "ts", "event_id"), "lock_id", "owner")
 
 
+_ALLOCATE = LEDGER + ", s AS (SELECT max(max_id) AS top, max(partition_id) AS pid FROM ledger), f AS (SELECT coalesce(max(id), (SELECT top FROM s)) AS nxt FROM (SELECT DISTINCT o_custkey * 1000 AS id FROM orders WHERE o_custkey * 1000 > (SELECT top FROM s) ORDER BY 1 LIMIT 40))\n"
+
+
+@query(_ALLOCATE + ", n AS (SELECT *, (nxt - top + 499) // 500 AS n FROM s, f WHERE nxt > top), i AS (SELECT *, unnest(range(0, n)) AS i FROM n) SELECT pid + 1 + i AS partition_id, top + i * 500 + 1 AS min_id, CASE WHEN i = n - 1 THEN nxt ELSE top + (i + 1) * 500 END AS max_id FROM i")
+def allocate_next(spark, sf_dir):
+    """The next ranges over a sparse id space (customers of orders, 1,000 apart) above what the ledger covers."""
+    ids = read(spark, sf_dir, "orders").select((F.col("o_custkey") * 1000).alias("id"))
+    return planner.allocate(spark, ledger(spark, sf_dir), planner.RangeSource(ids, "id", 500), 40, threshold=10**9)
+
+
+@query(LEDGER + """, thin AS (SELECT * FROM ledger WHERE partition_id % 3 <> 1), gaps AS (SELECT max_id + 1 AS start_id, nxt - 1 AS end_id FROM (SELECT *, lead(min_id) OVER (ORDER BY min_id) AS nxt FROM thin) WHERE max_id + 1 < nxt),
+ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey <= (SELECT max(max_id) FROM thin)), tiles AS (SELECT a AS min_id, least(a + 39, end_id) AS max_id FROM (SELECT end_id, unnest(generate_series(start_id, end_id, 40)) AS a FROM gaps)),
+kept AS (SELECT * FROM tiles t WHERE EXISTS (SELECT 1 FROM ids WHERE id > t.min_id AND id <= t.max_id))
+SELECT (SELECT max(partition_id) FROM thin) + row_number() OVER (ORDER BY min_id) AS partition_id, min_id, max_id FROM kept""")
+def allocate_fillers(spark, sf_dir):
+    """Nothing lies above the ledger, a third of which is missing: the gaps that hold ids are planned."""
+    thin = ledger(spark, sf_dir).filter("partition_id % 3 <> 1")
+    top = thin.agg(F.max("max_id").alias("top"))
+    ids = read(spark, sf_dir, "lineitem").join(F.broadcast(top), F.col("l_orderkey") <= F.col("top"), "left_semi").select(F.col("l_orderkey").alias("id"))
+    return planner.allocate(spark, thin, planner.RangeSource(ids, "id", 40), 1000, threshold=10**9)
+
+
+@query("SELECT 0 AS n_ranges")
+def allocate_under_pressure(spark, sf_dir):
+    return planner.allocate(spark, ledger(spark, sf_dir), planner.RangeSource(read(spark, sf_dir, "orders"), "o_orderkey", 100), 1000, threshold=1).agg(F.count(F.lit(1)).cast("int").alias("n_ranges"))
+
+
+@query(LEDGER + "SELECT partition_id, min_id, max_id, worker_id, status, version FROM ledger")
+def ledger_json_map_scan(spark, sf_dir):
+    """The ledger kept as JSON maps of partition id to row, one map per ten ids."""
+    rows = ledger(spark, sf_dir)
+    entries = rows.groupBy(F.floor(F.col("partition_id") / 10).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("partition_id").cast("string"), F.struct(*rows.columns)))).alias("m"))  # ten rows a map
+    return ledger_from_json_map(entries.select(F.to_json("m").alias("value"))).select("partition_id", "min_id", "max_id", "worker_id", "status", "version")
+
+
 # --- compressed batches
 
 
