@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Texts, ranges, slices
+from .textkit import Texts, group_starts, ranges, slices
 
 #: Penalties in tokens.
 SENTENCE, ELSEWHERE = 4, 12
@@ -140,14 +140,14 @@ class Encoder:
         """(ids one after the other, number of ids of each piece)."""
         flat, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(pieces), 2000):
-            part = [x.decode() for x in pieces[lo : lo + 2000]]
-            ids = np.array(self._batch([" \x01 ".join(part)])[0].ids, dtype=np.uint32)
+            part = pieces[lo : lo + 2000]
+            ids = np.array(self._batch([b" \x01 ".join(part).decode()])[0].ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, dtype=np.int64)
             if len(cuts) == len(part) - 1:
                 flat.append(np.delete(ids, cuts))
                 sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:  # a piece that holds the mark itself
-                each = [e.ids for e in self._batch(part)]
+                each = [e.ids for e in self._batch([x.decode() for x in part])]
                 flat += [np.array(x, dtype=np.uint32) for x in each]
                 sizes.append(np.array([len(x) for x in each], dtype=np.int64))
         return np.concatenate(flat), np.concatenate(sizes)
@@ -159,7 +159,13 @@ class Encoder:
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each word)."""
         start, end, word = self.pieces(texts)
-        keys, first, inverse = np.unique(texts.runs(start, end), return_index=True, return_inverse=True)
+        h = texts.runs(start, end)
+        order = np.argsort(h)
+        groups = group_starts(h[order])
+        first = order[groups]  # any of equal pieces will do
+        keys = h[first]
+        inverse = np.empty(len(h), dtype=np.int64)
+        inverse[order] = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(h))))
         if self.total and len(self.key) + len(keys) > self.most:
             self.clear()
         at = np.searchsorted(self.key, keys)
@@ -180,12 +186,6 @@ class Encoder:
         return self.flat[ranges(self.at[at], size)], np.bincount(word, weights=size, minlength=len(texts.start)).astype(np.int64)
 
 
-@functools.cache
-def _encoder(path: str) -> Encoder:
-    """One per worker process: what earlier tasks encoded need not be encoded again."""
-    return Encoder(path)
-
-
 def cut_places(texts: Texts, per_word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, penalty) of the possible cuts and the place where each text ends; a text's last token is the end mark."""
     total = np.concatenate([[0], np.cumsum(per_word)])
@@ -217,7 +217,7 @@ def _pack(path: str, end_id: int, window: int, block_bytes: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(path)
+        encoder = Encoder(path)
         number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", block_bytes):
             texts = Texts(batch.column("text"))
