@@ -104,7 +104,7 @@ class Encoder:
         self.tokenizer, self.most = _tokenizer(path), most
         self.mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.clear()
-        probes = Texts(pa.array(PROBES))
+        probes = Texts(pa.array(PROBES), hashes=False)
         found, per_word = self.ids(probes)
         ends = np.concatenate([[0], np.cumsum(per_word)])[probes.w0]
         for text, a, b in zip(PROBES, ends, ends[1:], strict=False):
@@ -220,7 +220,7 @@ def _pack(path: str, end_id: int, window: int, block_bytes: int) -> callable:
         encoder = Encoder(path)
         number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text", block_bytes):
-            texts = Texts(batch.column("text"))
+            texts = Texts(batch.column("text"), hashes=False)
             words, per_word = encoder.ids(texts)
             places, penalty, ends = cut_places(texts, per_word, window)
             ids = np.full(int(ends[-1]), end_id, dtype="<u4")
