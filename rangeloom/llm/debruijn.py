@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import cut, shuffle_width
-from .textkit import Texts, U, group_starts, mix, run_hashes, slices
+from .textkit import Texts, U, group_starts, mix, release, run_hashes, slices
 
 #: Bytes of an edge's hash that are sent; the bucket holds the leading bits.
 _LOW = 6
@@ -223,6 +223,8 @@ def _match(numbers: np.ndarray) -> callable:
         pieces = Pieces.joined(found)
         pieces = pieces.take(np.lexsort((pieces.pos, pieces.h, pieces.id)))
         number, columns = pieces.encode((mix(pieces.h.view(np.uint64) ^ mix(pieces.id.view(np.uint64))) % U(len(numbers))).astype(np.int64))
+        del h, pos, doc, low, middle, high, part, found
+        release()
         return pa.table([pa.array(numbers[number]), *columns], names=["g", *(c.split()[0] for c in PIECES.split(", "))])
 
     return run

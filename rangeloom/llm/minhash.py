@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import setsketch
 from .components import connected, forest
 from .store import cut
-from .textkit import Texts, U, group_starts, mix, run_hashes, slices
+from .textkit import Texts, U, group_starts, mix, release, run_hashes, slices
 
 #: Classes in a block, about, and shingles of theirs.
 BLOCK, ITEMS = 192, 400_000
@@ -159,6 +159,9 @@ def _link_unit(percent: int) -> callable:
                 may[i, at] = setsketch.estimate(np.broadcast_to(registers[x], (len(y), registers.shape[1])), registers[y], np.full(len(y), sizes[x]), sizes[y]) >= least
         links = jaccard_links([sets[x] for x in left], [sets[y] for y in right], may, percent)
         i, j = forest(links)
+        del sets, blobs, registers
+        if len(sizes) > BLOCK // 2:
+            release()
         return pa.table([pa.array(ids[left[i]]), pa.array(ids[right[j]])], schema=schema)
 
     return run

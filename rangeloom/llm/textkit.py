@@ -7,6 +7,7 @@ gives the hash of any run. Equal runs always have equal hashes; different runs o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +142,16 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, counts)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives back to the system what the process' allocators hold unused: workers live on between tasks, and several of them share a machine's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text each (one text at least)."""
     for batch in batches:
@@ -151,6 +162,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
         cuts = [0, *(np.flatnonzero(np.diff(bin_of)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    release()
 
 
 def group_starts(ordered: np.ndarray) -> np.ndarray:
