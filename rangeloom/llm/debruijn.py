@@ -34,8 +34,8 @@ _LOW = 6
 LAST = (1 << 63) - 1
 #: Bytes of text in a slice for each bucket, within bounds: with more buckets slices grow, so that what goes to a bucket doesn't get too small.
 SLICE_PER_BUCKET, SLICE_LEAST, SLICE_MOST = 8 << 10, 2 << 20, 16 << 20
-#: Edges that a bucket sorts at a time.
-PART = 1 << 20
+#: Edges that a bucket sorts at a time, about.
+PART = 1 << 19
 
 
 def _pack(h: np.ndarray) -> np.ndarray:
@@ -49,8 +49,14 @@ def _unpack(low: np.ndarray) -> np.ndarray:
 
 
 def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """The binary values of a column one after the other."""
-    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+    """The binary values of a column one after the other, taken from its buffers."""
+    found = [np.zeros(0, dtype=np.uint8)]
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data is not None:
+            at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]])
+    return np.concatenate(found).view(kind)
 
 
 def _blobs(values: np.ndarray, cuts: np.ndarray, width: int | None = None) -> pa.Array:
@@ -190,6 +196,18 @@ def _send(k: int, numbers: np.ndarray, slice_bytes: int) -> callable:
     return run
 
 
+def _places(table: pa.Table, counts: np.ndarray) -> np.ndarray:
+    """Word positions of a bucket's edges from their steps; sums are taken modulo 2**32, below which positions are."""
+    pos = _flat(table.column("high"), np.uint16).astype(np.uint32)
+    for name in ("middle", "low"):
+        pos <<= np.uint32(8)
+        pos |= _flat(table.column(name), np.uint8)
+    np.cumsum(pos, dtype=np.uint32, out=pos)
+    run_at = np.cumsum(counts, dtype=np.int64) - counts
+    pos -= np.repeat(np.where(run_at > 0, pos[run_at - 1], np.uint32(0)), counts)
+    return pos
+
+
 def _match(numbers: np.ndarray) -> callable:
     """Step 2: the repeated edges of a bucket with their source, dealt by document."""
 
@@ -198,12 +216,9 @@ def _match(numbers: np.ndarray) -> callable:
         counts = _flat(table.column("counts"), np.uint32)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         h = _unpack(_flat(table.column("edges"), np.uint8))
-        low, middle, high = (_flat(table.column(c), kind).astype(np.int64) for c, kind in (("low", np.uint8), ("middle", np.uint8), ("high", np.uint16)))
-        pos = np.cumsum(low | middle << 8 | high << 16)
-        run_at = np.cumsum(counts, dtype=np.int64) - counts
-        pos -= np.repeat((np.append(0, pos)[run_at]), counts)
+        pos = _places(table, counts)
         parts = -(-len(h) // PART)
-        part = (mix(h) % U(max(1, parts))).astype(np.uint16) if parts > 1 else None
+        part = (h % U(parts)).astype(np.uint16) if parts > 1 else None  # hashes are mixed well
         found = [Pieces.decode(table)]
         for number in range(parts):
             mine = np.flatnonzero(part == number) if parts > 1 else np.arange(len(h))
@@ -223,7 +238,7 @@ def _match(numbers: np.ndarray) -> callable:
         pieces = Pieces.joined(found)
         pieces = pieces.take(np.lexsort((pieces.pos, pieces.h, pieces.id)))
         number, columns = pieces.encode((mix(pieces.h.view(np.uint64) ^ mix(pieces.id.view(np.uint64))) % U(len(numbers))).astype(np.int64))
-        del h, pos, doc, low, middle, high, part, found
+        del h, pos, doc, part, found
         release()
         return pa.table([pa.array(numbers[number]), *columns], names=["g", *(c.split()[0] for c in PIECES.split(", "))])
 
