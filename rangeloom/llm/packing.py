@@ -80,6 +80,13 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
 
+def _so_far(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, the end included; four bytes each, as a batch's texts stay below 2 GB."""
+    out = np.zeros(len(flags) + 1, dtype=np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
+
+
 @functools.cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,10 +131,10 @@ class Encoder:
         turn[1 : len(b)] = (letter[:-1] & other[1:]) | (other[:-1] & letter[1:])
         whole = b == 0x27
         whole[:-1] |= (b[:-1] == 0x3C) & (b[1:] == 0x7C)
-        at = np.concatenate([[0], np.cumsum(whole)])
-        split = np.repeat(at[texts.end] == at[texts.start], texts.end - texts.start)
-        inside = np.flatnonzero(texts.in_word)
-        turn[inside[~split]] = False
+        at = _so_far(whole)
+        kept = texts.in_word.copy()
+        kept[kept] = np.repeat(at[texts.end] != at[texts.start], texts.end - texts.start)
+        turn[:-1] &= ~kept
         turn[texts.start] = True
         turn[:-1] &= texts.in_word
         start = np.flatnonzero(turn[:-1])
@@ -190,7 +197,7 @@ def cut_places(texts: Texts, per_word: np.ndarray, window: int) -> tuple[np.ndar
     """(place, penalty) of the possible cuts and the place where each text ends; a text's last token is the end mark."""
     total = np.concatenate([[0], np.cumsum(per_word)])
     ends = total[texts.w0[1:]] + np.arange(1, texts.n + 1)
-    feeds = np.concatenate([[0], np.cumsum(texts.buf == 0x0A)])
+    feeds = _so_far(texts.buf == 0x0A)
     after = np.append(texts.start[1:], len(texts.buf))
     close = _STOP[texts.buf[texts.end - 1]] | (feeds[after] > feeds[texts.end]) if len(texts.start) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(close)
