@@ -12,7 +12,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_texts import corpus, frame, near_model, words_of
 
-from rangeloom.llm import linkgraph, minhash, packing, queries, store, toxicity
+from rangeloom.llm import linkgraph, minhash, packing, quality, queries, store, toxicity
 from rangeloom.llm.components import connected
 from rangeloom.llm.minhash import near_duplicates
 from rangeloom.llm.multiindex import near_vectors
@@ -71,6 +71,48 @@ def test_quality_equals_plain_counts(spark):
     assert not any(got[i].kept for i in range(0, 120, 7)) and sum(r.kept for r in got.values()) > 90
 
 
+def test_quality_uses_every_trusted_row(spark, monkeypatch):
+    """More rows labelled good than 20,000: score and threshold recomputed over all of them, whichever way their ids reach the counts."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefé") for _ in range(4)) for _ in range(40)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=24))) for i in range(24_000)]
+    docs += [(7, docs[7][1]), (None, docs[8][1]), (24_001, None)]  # a repeated row counts twice, a null id is no trusted one
+    labels = spark.createDataFrame([(i, 1) for i in range(23_000)] + [(None, 1), (23_500, 0)], "doc_id long, quality int")
+    part = {r.id: (r.h >> 7) % 2 for r in spark.range(23_000).select("id", F.xxhash64("id").alias("h")).collect()}
+    words = {w: word_hash(w) for w in vocabulary}
+    pairs = {(a, b): run_hash([x, y]) >> 54 for a, x in words.items() for b, y in words.items()}
+    slots = []
+    for i, t in docs:
+        w = words_of(t)
+        slots.append((i, np.array([words[x] >> 54 for x in w] + [pairs[p] for p in zip(w, w[1:], strict=False)], dtype=np.int64)))
+    raw = np.bincount(np.concatenate([x for _, x in slots]), minlength=1024)
+    target = np.bincount(np.concatenate([x for i, x in slots if part.get(i) == 0]), minlength=1024)
+    ratio = np.log((target + 1) / (target.sum() + 1024)) - np.log((raw + 1) / (raw.sum() + 1024))
+    score = [(i, ratio[x].mean() if len(x) else 0.0) for i, x in slots]
+    low, middle = np.quantile([s for i, s in score if part.get(i) == 1], [0.001, 0.5])
+    assert sum(p == 0 for p in part.values()) > 10_000 < sum(p == 1 for p in part.values())
+    for ids, scores in ((quality.TRUSTED_IDS, quality.SCORES), (100, 1000)):
+        monkeypatch.setattr(quality, "TRUSTED_IDS", ids)
+        monkeypatch.setattr(quality, "SCORES", scores)
+        got = quality_rules(frame(spark, docs), labels, bits=10).select("doc_id", "score", "threshold", "base_failed", "kept").collect()
+        assert len(got) == len(docs)
+        assert [r.threshold for r in got[:1]] == [pytest.approx(low - 0.5 * (middle - low), abs=1e-9)]
+        assert all(r.kept == (not r.base_failed and r.score >= r.threshold) for r in got)
+        order = lambda x: (x[0] is None, x[0] or 0)
+        np.testing.assert_allclose([s for _, s in sorted(((r.doc_id, r.score) for r in got), key=order)], [s for _, s in sorted(score, key=order)], atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "clusters", "one"])
+def test_quantiles_are_exact(spark, monkeypatch, kind):
+    rng = random.Random(kind)
+    values = {"spread": [rng.gauss(0, 1) for _ in range(3000)], "ties": [rng.choice([-0.5, 0.0, 0.25]) for _ in range(3000)], "clusters": [rng.choice([0, 1e9]) + rng.random() * 1e-3 for _ in range(3000)] + [-1e12], "one": [0.3]}[kind]
+    df = spark.createDataFrame([(x,) for x in values], "score double")
+    shares = [0.001, 0.5, 1.0]
+    for most in (1 << 18, 10):
+        monkeypatch.setattr(quality, "SCORES", most)
+        assert quality.quantiles(df, shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+
+
 def linked_pages(seed=5, n=400):
     """Pages of hosts that link to each other, to themselves and to hosts without pages."""
     rng = random.Random(seed)
