@@ -447,6 +447,20 @@ def test_stages_keep_rows_without_id(spark, tmp_path):
     assert set(got) == {"s0", "s1", "s3"} and got["s1"].text == _words(2, 5) and got["s1"].n_chars == len(_words(2, 5)) and got["s3"].text is None
 
 
+def test_quality_stage_trusts_every_labelled_row(spark, tmp_path):
+    """A kind of text that only labelled rows beyond the first 20,000 by hash have is trusted text too."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    plain, other, junk = ([f"{kind}{i}" for i in range(40)] for kind in ("plain", "other", "junk"))
+    order = [r.id for r in spark.range(23_000).withColumn("h", F.xxhash64("id")).orderBy("h", "id").collect()]
+    kinds = {i: plain if n < 20_000 else other for n, i in enumerate(order)} | {i: other if i < 23_100 else junk for i in range(23_000, 23_200)}
+    docs = _docs(spark, [(i, " ".join(rng.choices(words, k=24))) for i, words in kinds.items()])
+    spark.createDataFrame([(i, 1) for i in order], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {i for i, words in kinds.items() if words is not junk}
+
+
 def test_stages_keep_texts_that_share_an_id(spark, tmp_path):
     import corpus_pipeline
 
